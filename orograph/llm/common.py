@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_STR_SPACE = re.compile(r"\s")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +59,24 @@ def learning_rows(doc_id) -> F.Column:
     return ~F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def within_share(h, share: float) -> F.Column:
+    """True for about that share of the values of a 64-bit hash; for all at 1."""
+    return h <= F.lit(min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64))))
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes of the text or binary column each."""
+    size = np.asarray(pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0))
+    part = np.cumsum(size, dtype=np.int64) // most
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def word_blocks(text: bytes | None, carry: int = 0, size: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
     """Lists of the words of a whole text, each list beginning with the last carry words before it.
 
@@ -84,6 +101,26 @@ def word_blocks(text: bytes | None, carry: int = 0, size: int = BLOCK_BYTES) ->
             tail = tail[len(tail) - carry :] if carry else []
 
 
+def text_blocks(text: str | None, size: int = BLOCK_BYTES) -> Iterator[str]:
+    """A whole text in parts of about so many characters, each ending at white space or the end."""
+    at = 0
+    while text and at < len(text):
+        end = at + size
+        if end < len(text) and (found := _STR_SPACE.search(text, end)):
+            end = found.end()
+        elif end < len(text):
+            end = len(text)
+        yield text[at:end] if at or end < len(text) else text
+        at = end
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder and read again."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node reachable.
 

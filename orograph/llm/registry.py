@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.llm import langid, sentencepiece, simhash, urlfilter
-from orograph.llm.common import learning_rows, table
+from orograph.llm import decontam, langid, licences, lmscore, sentencepiece, shards, simhash, toxicity, urlfilter, vectors
+from orograph.llm.common import learning_rows, new_path, table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), chosen)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(learning_rows(F.col("doc_id"))))
@@ -26,15 +35,44 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(learning_rows(F.col("doc_id"))))
+    told = toxicity.score(docs, model)
+    return told.select("doc_id", (~learning_rows(F.col("doc_id"))).alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, URL_RULES))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shards.ShardStore(spark, new_path(spark, "shards"))
+    store.append(table(spark, sf_dir, "documents"), arrivals=4)
+    done = store.compact()
+    store.vacuum()
+    return store.shards(["doc_id"], done).withColumn("version", F.lit(done.version))
+
+
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
+    "op7_embeddings": op7_embeddings,
     "op8_url_filter": op8_url_filter,
+    "op9_licences": op9_licences,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL = {

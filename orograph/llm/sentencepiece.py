@@ -27,11 +27,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import cut
+from orograph.llm.common import cut, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -244,15 +243,6 @@ def _lists(ids: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), flat, mask=mask)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes of text (column 1) each."""
-    size = np.asarray(pc.binary_length(batch.column(1).cast(pa.binary())).fill_null(0))
-    part = np.cumsum(size) // most
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-    for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
-        yield batch.slice(a, b - a)
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """(id_col, ids, n_tokens, round_trip) for every row of docs.
 
@@ -270,7 +260,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model_file)
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, 1):
                 texts = part.column(1).to_pylist()
                 ids = [None if t is None else p.encode(t) for t in texts]
                 n = [None if x is None else len(x) // 4 for x in ids]
