@@ -68,12 +68,18 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def spans(values: np.ndarray) -> list[tuple[int, int]]:
+    """(first, one past the last) of each run of equal values."""
+    if not len(values):
+        return []
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist()
+    return list(zip(starts, [*starts[1:], len(values)], strict=True))
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many bytes of the text or binary column each."""
     size = np.asarray(pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0))
-    part = np.cumsum(size, dtype=np.int64) // most
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-    for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+    for a, b in spans(np.cumsum(size, dtype=np.int64) // most):
         yield batch.slice(a, b - a)
 
 

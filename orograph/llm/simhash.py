@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import as_bytes, components, cut, word_blocks
+from orograph.llm.common import as_bytes, components, cut, fresh, stored, word_blocks
 
 SEED = 42
 N_PIVOTS = 16
 #: Reference fingerprints, from a fixed rule.
-PIVOTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, N_PIVOTS, dtype=np.uint64, endpoint=False)
+PIVOTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (4, N_PIVOTS), dtype=np.uint64, endpoint=False)
 #: Bits of each block of a 64-bit fingerprint; a key is two blocks. Within radius 4 two of six blocks agree.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 RADIUS = 4
@@ -36,6 +36,13 @@ RADIUS = 4
 CAP = 4096
 #: Runs up to this size are compared by shifted arrays.
 SMALL = 32
+#: For near_duplicates(): words of a shingle, least Jaccard similarity, 64-bit words of a fingerprint.
+SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
+#: Differing bits of 256 that a pair may have before its texts are compared; 38 are expected at a similarity of 0.8.
+WIDE_RADIUS = 64
+#: Keys of a text, and least hashes that make one; at a similarity of 0.8 all keys differ once in 3,000 pairs.
+BANDS, ROWS = 20, 5
+_MIX = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # ---- fingerprints -------------------------------------------------------------------------
@@ -106,8 +113,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int = 4, words:
 
 
 def pivot_table(fp: np.ndarray) -> np.ndarray:
-    """Hamming distances of fingerprints (rows of 64-bit words) to each pivot, by their first word."""
-    return np.bitwise_count(fp[:, :1] ^ PIVOTS[None, :]).astype(np.int16)
+    """Hamming distances of fingerprints (rows of up to four 64-bit words) to each pivot."""
+    return sum(np.bitwise_count(fp[:, w : w + 1] ^ PIVOTS[w][None, :]).astype(np.int16) for w in range(fp.shape[1]))
 
 
 def far_by_pivots(c: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,3 +273,113 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = cut(named.groupBy("component").agg(F.min("rep").alias("component_id")))
     known = cut(named.join(least, "component").select("fp", "component_id"))
     return prints.join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- near duplicates by similarity ---------------------------------------------------------
+
+
+def signature(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint of WORDS words, BANDS keys); the keys are hashes of the least of ROWS hashes each."""
+    sums, n = np.zeros((WORDS, 64), np.int64), 0
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for h in shingle_hashes(text, SHINGLE):
+        n += len(h)
+        for w in range(WORDS):
+            sums[w] += bit_sums(mixed(h, w))
+        h = np.unique(h)
+        for i in range(0, len(h), 2048):
+            x = h[i : i + 2048, None] * _MIX[0] + _MIX[1]
+            least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=0))
+    keys = least.reshape(BANDS, ROWS)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        out = mixed(out ^ keys[:, r], r + 1)
+    return np.packbits(2 * sums > n, axis=1, bitorder="little").view(np.uint64)[:, 0], out
+
+
+def shingles(text: bytes | None) -> set[int]:
+    return {x for h in shingle_hashes(text, SHINGLE) for x in h.tolist()}
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) have at least that Jaccard similarity of shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, set[int]] = (None, set())
+        for batch in batches:
+            keep = []
+            for node, left, right in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
+                if last[0] != node:
+                    last = (node, shingles(left))
+                other = shingles(right)
+                both = len(last[1] & other)
+                keep.append(both >= similarity * (len(last[1]) + len(other) - both))
+            out = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(out.columns[:2], ["a", "b"])
+
+    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def banded_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, cap: int = CAP) -> DataFrame:
+    """Distinct pairs (a, b) of nodes (node, fp, keys) that share a key and differ in radius bits at most.
+
+    They form a minimum spanning forest of each key's nodes rather than all its pairs. A key with
+    more than cap nodes is cut into blocks, every two of which are compared in a task of their own.
+    """
+    keyed = nodes.select(F.explode("keys").alias("g"), "node", *[F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(WORDS)])
+    sizes = keyed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = cut(sizes.where(F.col("n") > cap))
+    calm = keyed
+    if crowded.head(1):
+        calm = keyed.join(crowded, "g", "left_anti")
+        hot = keyed.join(crowded, "g").withColumn("blocks", F.ceil(F.col("n") / (cap // 2)).cast("int"))
+        own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+        hot = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        hot = hot.withColumn("g", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
+        calm = calm.union(hot.select(calm.columns))
+    runs = calm.repartition(F.col("g")).sortWithinPartitions("g", "node")
+    return runs.mapInArrow(linked_runs(WORDS, radius), "a long, b long, d long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, row_col: str, text_col: str = "text", similarity: float = SIMILARITY, cap: int = CAP) -> DataFrame:
+    """(row_col, component) for every row of docs: rows with the same component are near duplicates.
+
+    Texts link where their sets of five-word shingles (lower-cased; fewer words: the whole
+    sequence) have a Jaccard similarity of 0.8 or more. Fingerprints of 256 bits stand for the
+    texts, equal ones for each other. Bits alone would need too many keys at this similarity, so
+    pairs are formed by keys of least shingle hashes; the pivot table and the bits discard most
+    of them, and the shingles of the two texts decide. row_col must be unique. Texts that are
+    null or without a word are one another's duplicates.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(t) for t in as_bytes(batch.column(1))]
+            fp, keys = (pa.array([x[k].view(np.int64) for x in found], pa.list_(pa.int64())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, keys], ["row", "fp", "keys"])
+
+    rows = docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    signed = stored(rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}, fp array<long>, keys array<long>"), "signatures")
+    nodes = signed.groupBy("fp").agg(F.min("row").alias("node"), F.first("keys").alias("keys"))
+    nodes = stored(nodes, "nodes")
+    pairs = cut(banded_pairs(nodes, cap=cap))
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    texts = rows.join(ends, "row", "left_semi").select(F.col("row").alias("node"), "text")
+    linked = components(similar(pairs, texts, similarity))
+    named = nodes.select("fp", "node").join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    return signed.select("row", "fp").join(named, "fp").select(F.col("row").alias(row_col), "component")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, all columns, with one row of each group of near duplicates.
+
+    That with the smallest id stays, one with a null id only if there is no other; of repeated
+    rows one stays.
+    """
+    row = fresh(docs, "row")
+    held = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(held, row, text_col, similarity).join(held.select(row, F.col(id_col).alias("id_")), row)
+    first = F.min(F.struct(F.col("id_").isNull().alias("none"), F.col("id_").alias("id"), F.col(row).alias("row")))
+    kept = groups.groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return held.join(cut(kept), row, "left_semi").select(docs.columns)

@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ DRIFT = 0.5
 #: Tokens whose log-odds are nearer to zero than this many standard errors count as unknown.
 LEAST_Z = 2.0
 #: Pseudo-counts of the prior of a stem and of a token.
-PRIOR_STEM, PRIOR_TOKEN = 20.0, 4.0
+PRIOR_STEM, PRIOR_TOKEN = 2.0, 4.0
+#: Largest log-odds.
+MOST = 8.0
 #: Labelled rows of each class that are learned from, at most: two thirds of them for the log-odds, the others for the calibration.
 ROWS_PER_CLASS = 12_000
 #: Longer texts teach nothing.
@@ -153,16 +156,20 @@ def log_odds(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> tupl
         s[1] += c
     base = toxic / max(1, toxic + clean)
 
-    def shrunk(t, c, rate, strength):
+    def shrunk(t: int, c: int, rate: float, strength: float) -> tuple[float, float, float]:
         a, b = t + strength * rate, c + strength * (1 - rate)
         odds = math.log(a / max(1, toxic)) - math.log(b / max(1, clean))
-        return odds, abs(odds) / math.sqrt(1 / a + 1 / b), a / (a + b)
+        return min(max(odds, -MOST), MOST), abs(odds) / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), a / (a + b)
 
-    stem_all = {s: shrunk(t, c, base, PRIOR_STEM * 0.1) for s, (t, c) in stems.items()}
-    tok = {w: shrunk(t, c, min(max(stem_all[w[:STEM]][2], 1e-6), 1 - 1e-6), PRIOR_TOKEN) for w, (t, c) in counts.items()}
-    keep = lambda d: dict(sorted(((w, o) for w, (o, z, _) in d.items() if z >= LEAST_Z), key=lambda x: (-abs(x[1]), x[0]))[:VOCABULARY])
-    known = {w: 0.0 for w in tok if tok[w][1] < LEAST_Z}
-    return keep(tok) | dict(sorted(known.items())[:VOCABULARY]), keep({s: v for s, v in stem_all.items() if len(s) == STEM})
+    stem_odds = {s: shrunk(t, c, base, PRIOR_STEM) for s, (t, c) in stems.items()}
+    token_odds = {w: shrunk(t, c, stem_odds[w[:STEM]][2], PRIOR_TOKEN) for w, (t, c) in counts.items()}
+
+    def significant(found: dict[str, tuple[float, float, float]]) -> dict[str, float]:
+        kept = [(w, o) for w, (o, z, _) in found.items() if z >= LEAST_Z]
+        return dict(sorted(kept, key=lambda x: (-abs(x[1]), x[0]))[:VOCABULARY])
+
+    neutral = sorted(w for w, (_, z, _) in token_odds.items() if z < LEAST_Z and stem_odds[w[:STEM]][1] >= LEAST_Z)
+    return significant(token_odds) | dict.fromkeys(neutral[:VOCABULARY], 0.0), significant({s: x for s, x in stem_odds.items() if len(s) == STEM})
 
 
 def extreme_values(clean: list[tuple[np.ndarray, int]], scores_of_clean: np.ndarray) -> tuple[float, float]:
@@ -262,3 +269,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, score double, predicted int, segments array<struct<first:int,end:int,score:double>>")
+
+
+def scorer(docs: DataFrame, model: Model):
+    """A column function: text -> score, as score() gives it."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        scores = Scores(m)
+        for texts in parts:
+            found = np.array([evidence(t, scores, m)[:2] for t in texts]).reshape(-1, 2)
+            yield pd.Series(probability(found[:, 0], found[:, 1], m))
+
+    return run

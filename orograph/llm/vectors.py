@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import components, cut, stored, within_share
+from orograph.llm.common import components, cut, spans, stored, within_share
 
 SEED = 42
 TREES = 6
@@ -67,8 +67,7 @@ def fit(sample: np.ndarray, depth: int, trees: int = TREES, seed: int = SEED) ->
             # a level's table is as long as the nodes that the sample reaches, and one for all others
             median = np.zeros(min(1 << level, 4 * len(sample)) + 1)
             order = np.lexsort((at, node))
-            starts = np.flatnonzero(np.r_[True, np.diff(node[order]) != 0]) if len(order) else []
-            for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+            for a, b in spans(node[order]):
                 if node[order[a]] < len(median) - 1 and b - a >= 2:
                     median[node[order[a]]] = np.median(at[order[a:b]])
             medians.append(median)
@@ -145,8 +144,7 @@ def _compare(threshold: float, crossed: bool):
                 yield from out
 
     def groups(g, side, node, unit):
-        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else []
-        for a, b in zip(starts, [*starts[1:], len(g)], strict=True):
+        for a, b in spans(g):
             if b - a > 1:
                 yield found(side[a:b], node[a:b], np.frombuffer(b"".join(unit[a:b]), np.float64).reshape(b - a, -1))
 
