@@ -4,6 +4,11 @@ An item with a budget of e edits is split into e + 1 pieces: e edits leave at le
 whole, so that every occurrence within the budget holds an exact piece. One Aho-Corasick pass
 over a text finds all pieces of all items; each hit fixes a window of the text, and Myers'
 bit-parallel algorithm gives the least edit distance of the item to any part of that window.
+
+Verification is hierarchical: 2, then 4, then 8 pieces in a row (and so on) that hold the hit are
+compared first, j pieces with a budget of j - 1. An occurrence within the whole budget has some
+piece for which all of these fit, as the budgets of pieces side by side, each plus one, add up to
+the whole budget plus one. So chance hits cost a few steps and no occurrence is lost.
 """
 
 from __future__ import annotations
@@ -78,6 +83,27 @@ def myers(bits: dict[str, int], m: int, window: str) -> tuple[int, int]:
     return best, end
 
 
+def fits(bits: dict[str, int], m: int, window: str, budget: int) -> bool:
+    """Whether the pattern is within the budget of some part of the window."""
+    mask, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score = mask, 0, m
+    get = bits.get
+    for c in window:
+        eq = get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+            if score <= budget:
+                return True
+        ph, mh = ph << 1, mh << 1
+        pv, mv = (mh | ~(xv | ph)) & mask, ph & xv & mask
+    return False
+
+
 class Matcher:
     """All items of a block, searched for in one pass."""
 
@@ -85,9 +111,23 @@ class Matcher:
         self.items = items
         self.bits = [patterns(x.text) for x in items]
         found: dict[str, list[tuple[int, int]]] = {}
+        # of each item and piece: (first, end, budget, bits) of 2, 4, 8, ... pieces in a row that hold it
+        self.above: dict[tuple[int, int], list[tuple[int, int, int, dict[str, int]]]] = {}
         for n, item in enumerate(items):
-            for offset, piece in pieces(item.text, item.budget):
+            parts = pieces(item.text, item.budget)
+            ends = [a for a, _ in parts] + [len(item.text)]
+            for offset, piece in parts:
                 found.setdefault(piece, []).append((n, offset))
+                self.above[n, offset] = []
+            span = 2
+            while span < len(parts):
+                for i in range(0, len(parts), span):
+                    j = min(i + span, len(parts))
+                    if j - i > span // 2:
+                        row = (ends[i], ends[j], j - i - 1, patterns(item.text[ends[i] : ends[j]]))
+                        for offset, _ in parts[i:j]:
+                            self.above[n, offset].append(row)
+                span *= 2
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -121,6 +161,8 @@ class Matcher:
                 cell = start // (item.budget + 1)
                 if (n, cell) in done:
                     continue
+                if not all(fits(bits, b - a, text[max(0, start + a - e) : start + b + e], e) for a, b, e, bits in self.above[n, offset]):
+                    continue
                 done.add((n, cell))
                 base = cell * (item.budget + 1)
                 a, b = max(0, base - item.budget), base + 2 * item.budget + 1 + len(item.text)
