@@ -30,7 +30,9 @@ class Windows:
         return w * self.stride + self.offset
 
     def covering(self, at: Column) -> Column:
-        return F.sequence(self.lowest(at), self.highest(at + 1))
+        """Numbers of all windows that hold a place; none where windows leave gaps."""
+        low, high = self.lowest(at), self.highest(at + 1)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
 
 def tent(local: Column, size: int) -> Column:
