@@ -35,7 +35,7 @@ PRIOR_STEM, PRIOR_TOKEN = 2.0, 4.0
 #: Largest log-odds.
 MOST = 8.0
 #: Labelled rows of each class that are learned from, at most: two thirds of them for the log-odds, the others for the calibration.
-ROWS_PER_CLASS = 12_000
+ROWS_PER_CLASS = 6_000
 #: Longer texts teach nothing.
 LEARN_CHARS = 50_000
 #: Tokens and stems that are kept, by their z value.
