@@ -14,6 +14,7 @@ fingerprints than ``cap`` goes another exact way (see ``ball_edges`` and ``block
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import as_bytes, components, cut, fresh, stored, word_blocks
+from orograph.llm.common import as_bytes, components, cut, fresh, spans, stored, word_blocks
 
 SEED = 42
 N_PIVOTS = 16
@@ -38,8 +39,8 @@ CAP = 4096
 SMALL = 32
 #: For near_duplicates(): words of a shingle, least Jaccard similarity, 64-bit words of a fingerprint.
 SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
-#: Differing bits of 256 that a pair may have before its texts are compared; 38 are expected at a similarity of 0.8.
-WIDE_RADIUS = 64
+#: Differing bits of 256 that a pair may have before its texts are compared; at a similarity of 0.8, 38 are expected, 48 where the texts have four and five shingles.
+WIDE_RADIUS = 72
 #: Keys of a text, and least hashes that make one; at a similarity of 0.8 all keys differ once in 3,000 pairs.
 BANDS, ROWS = 20, 5
 _MIX = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -173,27 +174,34 @@ def run_edges(group: np.ndarray, fp: np.ndarray, radius: int, sides: np.ndarray
     return np.concatenate(a or [none]), np.concatenate(b or [none])
 
 
-def linked_runs(words: int, radius: int):
-    """For mapInArrow: rows (g, id, fp...) sorted by g; gives edges (a, b, d) between ids."""
+def whole_runs(batches: Iterable[pa.RecordBatch], words: int, before: int) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first, in parts that end at the end of a run of equal values.
+
+    The columns from number before on, words of them, come as one array of fingerprints.
+    """
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [np.asarray(x) for x in batch.columns]
+        now = [*now[:before], np.stack(now[before : before + words], axis=1).view(np.uint64)]
+        held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+        if len(held[0]):
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield [x[:last] for x in held]
+                held = [x[last:] for x in held]
+    if held and len(held[0]):
+        yield held
+
+
+def linked_runs(words: int, radius: int, with_group: bool = False):
+    """For mapInArrow: rows (g, id, fp...) sorted by g; gives edges (a, b, d) between ids, and g if asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(g, ids, fp):
+        for g, ids, fp in whole_runs(batches, words, 2):
             i, j = run_edges(g, fp, radius)
             if len(i):
-                d = distance(fp, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(d)], ["a", "b", "d"])
-
-        held = None
-        for batch in batches:
-            now = [np.asarray(x) for x in batch.columns]
-            now = [now[0], now[1], np.stack(now[2 : 2 + words], axis=1).view(np.uint64)]
-            held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
-            if len(held[0]):
-                last = int(np.searchsorted(held[0], held[0][-1]))
-                yield from found(*(x[:last] for x in held))
-                held = [x[last:] for x in held]
-        if held and len(held[0]):
-            yield from found(*held)
+                out = {"a": ids[i], "b": ids[j], "d": distance(fp, i, j)} | ({"g": g[i]} if with_group else {})
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.values()], list(out))
 
     return run
 
@@ -278,68 +286,138 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # ---- near duplicates by similarity ---------------------------------------------------------
 
 
+def shingles(text: bytes | None) -> np.ndarray:
+    """The different shingle hashes of a whole text, sorted."""
+    found = np.zeros(0, np.uint64)
+    for h in shingle_hashes(text, SHINGLE):
+        found = np.unique(np.concatenate([found, h]))
+    return found
+
+
 def signature(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of WORDS words, BANDS keys); the keys are hashes of the least of ROWS hashes each."""
-    sums, n = np.zeros((WORDS, 64), np.int64), 0
+    """(fingerprint of WORDS words, BANDS keys); the keys are hashes of the least of ROWS hashes each.
+
+    Both come from the set of the text's shingles, so that lines repeated often weigh no more than others.
+    """
+    held = shingles(text)
+    sums = np.stack([bit_sums(mixed(held, w)) for w in range(WORDS)])
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for h in shingle_hashes(text, SHINGLE):
-        n += len(h)
-        for w in range(WORDS):
-            sums[w] += bit_sums(mixed(h, w))
-        h = np.unique(h)
-        for i in range(0, len(h), 2048):
-            x = h[i : i + 2048, None] * _MIX[0] + _MIX[1]
-            least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=0))
+    for i in range(0, len(held), 2048):
+        x = held[i : i + 2048, None] * _MIX[0] + _MIX[1]
+        least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=0))
     keys = least.reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         out = mixed(out ^ keys[:, r], r + 1)
-    return np.packbits(2 * sums > n, axis=1, bitorder="little").view(np.uint64)[:, 0], out
-
-
-def shingles(text: bytes | None) -> set[int]:
-    return {x for h in shingle_hashes(text, SHINGLE) for x in h.tolist()}
+    return np.packbits(2 * sums > len(held), axis=1, bitorder="little").view(np.uint64)[:, 0], out
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts (node, text) have at least that Jaccard similarity of shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, set[int]] = (None, set())
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             keep = []
             for node, left, right in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
                 if last[0] != node:
                     last = (node, shingles(left))
                 other = shingles(right)
-                both = len(last[1] & other)
+                both = len(np.intersect1d(last[1], other, assume_unique=True))
                 keep.append(both >= similarity * (len(last[1]) + len(other) - both))
             out = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(out.columns[:2], ["a", "b"])
 
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = texts.join(ends, "node", "left_semi")
     left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def banded_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, cap: int = CAP) -> DataFrame:
-    """Distinct pairs (a, b) of nodes (node, fp, keys) that share a key and differ in radius bits at most.
+def banded(nodes: DataFrame, cap: int = CAP) -> DataFrame:
+    """(g, node, f0...) for nodes (node, fp, keys): those with the same g are to be compared.
 
-    They form a minimum spanning forest of each key's nodes rather than all its pairs. A key with
-    more than cap nodes is cut into blocks, every two of which are compared in a task of their own.
+    A key with more than cap nodes is cut into blocks; every two blocks have a g of their own.
     """
     keyed = nodes.select(F.explode("keys").alias("g"), "node", *[F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(WORDS)])
     sizes = keyed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     crowded = cut(sizes.where(F.col("n") > cap))
-    calm = keyed
-    if crowded.head(1):
-        calm = keyed.join(crowded, "g", "left_anti")
-        hot = keyed.join(crowded, "g").withColumn("blocks", F.ceil(F.col("n") / (cap // 2)).cast("int"))
-        own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-        hot = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        hot = hot.withColumn("g", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
-        calm = calm.union(hot.select(calm.columns))
-    runs = calm.repartition(F.col("g")).sortWithinPartitions("g", "node")
-    return runs.mapInArrow(linked_runs(WORDS, radius), "a long, b long, d long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if not crowded.head(1):
+        return keyed
+    calm = keyed.join(crowded, "g", "left_anti")
+    hot = keyed.join(crowded, "g").withColumn("blocks", F.ceil(F.col("n") / (cap // 2)).cast("int"))
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    hot = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hot = hot.withColumn("g", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
+    return calm.union(hot.select(calm.columns))
+
+
+def in_order(a, b) -> list[F.Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def forest_pairs(groups: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(a, b, g): pairs of each g that differ in radius bits at most; of a g with many nodes a minimum spanning forest."""
+    runs = groups.repartition(F.col("g")).sortWithinPartitions("g", "node")
+    return runs.mapInArrow(linked_runs(WORDS, radius, with_group=True), "a long, b long, d long, g long").select(*in_order("a", "b"), "g")
+
+
+def open_pairs(groups: DataFrame, radius: int, most: int | None) -> DataFrame:
+    """Distinct pairs (a, b) within the radius, of one g and of different comp; of each two comps the most closest, if given."""
+
+    def found(ids: np.ndarray, comp: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        c = pivot_table(fp)
+        held: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for i in range(len(ids) - 1):
+            rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            _, j = far_by_pivots(c, np.full(len(rest), i), rest, radius)
+            d = distance(fp, j, i)
+            j, d = j[d <= radius], d[d <= radius]
+            if not len(j):
+                continue
+            if most is None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[i])), pa.array(ids[j])], ["a", "b"])
+                continue
+            for k in np.argsort(d, kind="stable").tolist():
+                two = (min(comp[i], comp[j[k]]), max(comp[i], comp[j[k]]))
+                best = held.setdefault(two, [])
+                if len(best) < most:
+                    heapq.heappush(best, (-int(d[k]), int(ids[i]), int(ids[j[k]])))
+                elif -int(d[k]) > best[0][0]:
+                    heapq.heapreplace(best, (-int(d[k]), int(ids[i]), int(ids[j[k]])))
+        rows = [x for best in held.values() for x in best]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, ids, comp, fp in whole_runs(batches, WORDS, 3):
+            for s, e in spans(g):
+                yield from found(ids[s:e], comp[s:e], fp[s:e])
+
+    runs = groups.select("g", "node", "comp", *[f"f{w}" for w in range(WORDS)]).repartition(F.col("g")).sortWithinPartitions("g", "node")
+    return runs.mapInArrow(run, "a long, b long").select(*in_order("a", "b")).distinct()
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, cap: int = CAP) -> DataFrame:
+    """Links (a, b) of similar texts that connect what all such pairs with a common key and within the radius connect.
+
+    First come the edges of a forest of each key's nodes. Where all of a key's edges pass, it is
+    done. A key with an edge that fails is looked at again: pairs across what links so far, the 16
+    closest of each two components, then all that are left. Near copies are in one component by then.
+    """
+    groups = stored(banded(nodes, cap), "bands")
+    edges = cut(forest_pairs(groups, radius))
+    links = cut(similar(cut(edges.select("a", "b").distinct()), texts, similarity))
+    failed = edges.join(links, ["a", "b"], "left_anti").select("g").distinct()
+    left = cut(groups.join(failed, "g", "left_semi"))
+    for most in (16, None):
+        if not left.head(1):
+            break
+        linked = components(links)
+        found = left.join(linked, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        pairs = cut(open_pairs(found, radius, most).join(edges.select("a", "b").distinct(), ["a", "b"], "left_anti"))
+        links = cut(links.union(similar(pairs, texts, similarity)))
+    return links
 
 
 def near_duplicates(docs: DataFrame, row_col: str, text_col: str = "text", similarity: float = SIMILARITY, cap: int = CAP) -> DataFrame:
@@ -347,9 +425,9 @@ def near_duplicates(docs: DataFrame, row_col: str, text_col: str = "text", simil
 
     Texts link where their sets of five-word shingles (lower-cased; fewer words: the whole
     sequence) have a Jaccard similarity of 0.8 or more. Fingerprints of 256 bits stand for the
-    texts, equal ones for each other. Bits alone would need too many keys at this similarity, so
-    pairs are formed by keys of least shingle hashes; the pivot table and the bits discard most
-    of them, and the shingles of the two texts decide. row_col must be unique. Texts that are
+    texts; texts that have them and all keys equal are one node. Bits alone would need too many
+    keys at this similarity, so pairs are formed by keys of least shingle hashes; the pivot table
+    and the bits discard most of them, and the shingles of the two texts decide. row_col must be unique. Texts that are
     null or without a word are one another's duplicates.
     """
 
@@ -361,14 +439,11 @@ def near_duplicates(docs: DataFrame, row_col: str, text_col: str = "text", simil
 
     rows = docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     signed = stored(rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}, fp array<long>, keys array<long>"), "signatures")
-    nodes = signed.groupBy("fp").agg(F.min("row").alias("node"), F.first("keys").alias("keys"))
-    nodes = stored(nodes, "nodes")
-    pairs = cut(banded_pairs(nodes, cap=cap))
-    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = rows.join(ends, "row", "left_semi").select(F.col("row").alias("node"), "text")
-    linked = components(similar(pairs, texts, similarity))
-    named = nodes.select("fp", "node").join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return signed.select("row", "fp").join(named, "fp").select(F.col("row").alias(row_col), "component")
+    nodes = stored(signed.groupBy("fp", "keys").agg(F.min("row").alias("node")), "nodes")
+    texts = rows.select(F.col("row").alias("node"), "text")
+    linked = components(similar_links(nodes, texts, similarity, cap=cap))
+    named = nodes.join(linked, "node", "left").select("fp", "keys", F.coalesce("component", "node").alias("component"))
+    return signed.join(named, ["fp", "keys"]).select(F.col("row").alias(row_col), "component")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
