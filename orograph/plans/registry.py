@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orograph.functions import climate, mapping, seasons
-from orograph.operators import diffusion, grid, noise, raster, search, voxel
+from orograph.operators import borders, diffusion, fields, grid, noise, raster, search, voxel
 from orograph.sources.tables import cells, sites, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -271,6 +271,43 @@ def local_lapse(spark, sf_dir):
     return raster.local_lapse(cells(spark, sf_dir), "temp_c", "elev_m").select("i", "j", F.round("base", 4).alias("base"), F.round("beta", 6).alias("beta"))
 
 
+R_AXIS = "r{a} AS (SELECT t, s - floor(s) AS f, greatest(0, least({n} - 1, CAST(floor(s) AS BIGINT))) AS a0, greatest(0, least({n} - 1, CAST(floor(s) AS BIGINT) + 1)) AS a1 FROM (SELECT t, (t + 0.5) * {n} / {to} - 0.5 AS s FROM (SELECT unnest(range({to})) AS t)))"
+
+
+@query(f"""WITH {CELLS}, p1 AS (SELECT i, j, elev_m AS v FROM cells
+      UNION ALL SELECT -1, j, sum(CASE WHEN i = 0 THEN 2 * elev_m ELSE -elev_m END) FROM cells WHERE i <= 1 GROUP BY j
+      UNION ALL SELECT {ROWS}, j, sum(CASE WHEN i = {ROWS} - 1 THEN 2 * elev_m ELSE -elev_m END) FROM cells WHERE i >= {ROWS} - 2 GROUP BY j),
+    p2 AS (SELECT * FROM p1
+      UNION ALL SELECT i, -1, sum(CASE WHEN j = 0 THEN 2 * v ELSE -v END) FROM p1 WHERE j <= 1 GROUP BY i
+      UNION ALL SELECT i, 50, sum(CASE WHEN j = 49 THEN 2 * v ELSE -v END) FROM p1 WHERE j >= 48 GROUP BY i),
+    pad AS (SELECT i + 1 AS i, j + 1 AS j, v FROM p2), {R_AXIS.format(a="i", n=f"({ROWS} + 2)", to=f"({ROWS} * 2 + 4)")}, {R_AXIS.format(a="j", n=52, to=78)}
+    SELECT ri.t - 2 AS i, rj.t - 2 AS j, round((1 - ri.f) * (1 - rj.f) * c00.v + (1 - ri.f) * rj.f * c01.v + ri.f * (1 - rj.f) * c10.v + ri.f * rj.f * c11.v, 4) AS elev_m
+    FROM ri, rj JOIN pad c00 ON c00.i = ri.a0 AND c00.j = rj.a0 JOIN pad c01 ON c01.i = ri.a0 AND c01.j = rj.a1 JOIN pad c10 ON c10.i = ri.a1 AND c10.j = rj.a0 JOIN pad c11 ON c11.i = ri.a1 AND c11.j = rj.a1
+    WHERE ri.t BETWEEN 2 AND {ROWS} * 2 + 1 AND rj.t BETWEEN 2 AND 76""")
+def extrapolated_resize(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    n = grid_rows(c)
+    return borders.resize_extrapolated(c, "elev_m", n, 50, 2 * n, 75).select("i", "j", F.round("elev_m", 4).alias("elev_m"))
+
+
+@query(f"""WITH {CELLS}, ch AS (SELECT CAST(floor(j / 4.0) AS BIGINT) AS cx, CAST(floor(i / 4.0) AS BIGINT) AS cz, j % 4 AS x, i % 4 AS z, elev_m AS h FROM cells),
+    g AS (SELECT * FROM ch WHERE (cx + 3 * cz) % 7 = 0), gc AS (SELECT DISTINCT cx, cz FROM g), r AS (SELECT DISTINCT cx, cz FROM ch WHERE (cx + 3 * cz) % 7 <> 0),
+    d AS (SELECT dx, dz FROM (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dz) WHERE dx <> 0 OR dz <> 0),
+    near AS (SELECT r.cx, r.cz, dx, dz FROM r, d JOIN gc ON gc.cx = r.cx + dx AND gc.cz = r.cz + dz),
+    kept AS (SELECT * FROM near n WHERE dx = 0 OR dz = 0 OR NOT EXISTS (SELECT 1 FROM near m WHERE m.cx = n.cx AND m.cz = n.cz AND ((m.dx = n.dx AND m.dz = 0) OR (m.dx = 0 AND m.dz = n.dz)))),
+    t AS (SELECT kept.*, x, z, CASE dx WHEN 0 THEN x WHEN 1 THEN 0 ELSE 3 END AS hx, CASE dz WHEN 0 THEN z WHEN 1 THEN 0 ELSE 3 END AS hz,
+      CASE dx WHEN 0 THEN 0.0 WHEN 1 THEN 1 - (x + 1) / 4.0 ELSE x / 4.0 END + CASE dz WHEN 0 THEN 0.0 WHEN 1 THEN 1 - (z + 1) / 4.0 ELSE z / 4.0 END AS gap
+      FROM kept, (SELECT unnest(range(4)) AS x), (SELECT unnest(range(4)) AS z)),
+    v AS (SELECT t.cx, t.cz, t.x, t.z, g.h, power(greatest(0.0, 1 - gap), 2) AS w FROM t JOIN g ON g.cx = t.cx + dx AND g.cz = t.cz + dz AND g.x = hx AND g.z = hz)
+    SELECT cx, cz, x, z, round(sum((h + 0.5) * greatest(0.0001, w)) / greatest(0.0001, sum(w)), 4) AS y, round(CAST(max(w) AS DOUBLE), 6) AS weight FROM v GROUP BY cx, cz, x, z""")
+def border_taper(spark, sf_dir):
+    part = lambda c: F.floor(F.col(c) / 4).cast("long")
+    ch = cells(spark, sf_dir).select(part("j").alias("cx"), part("i").alias("cz"), (F.col("j") % 4).alias("x"), (F.col("i") % 4).alias("z"), F.col("elev_m").alias("height"))
+    done = (F.col("cx") + 3 * F.col("cz")) % 7 == 0
+    out = borders.border_taper(ch.where(done), ch.where(~done), size=4)
+    return out.select("cx", "cz", F.col("x").cast("long").alias("x"), F.col("z").cast("long").alias("z"), F.round("y", 4).alias("y"), F.round("weight", 6).alias("weight"))
+
+
 # ---- searches ------------------------------------------------------------------------------
 
 BAND_SQL = "bands(code, min_c, max_c) AS (VALUES ('hot', 28.0, 32.0), ('warm', 19.0, 23.0), ('temperate', 6.0, 14.0), ('cool', -5.0, 1.0), ('icy', -15.0, -10.0))"
@@ -404,3 +441,9 @@ def perlin_fbm(spark, sf_dir):
 @query()
 def diffusion_stage(spark, sf_dir):
     return diffusion.sample_stage(cells(spark, sf_dir), "elev_m", grid.Windows(16, 12), seed=5)
+
+
+@query()
+def noise_fields(spark, sf_dir):
+    named = {"value": fields.field_column("value", 11, 1 / 16, 3), "cellular": fields.field_column("cellular", 12, 1 / 8), "ridged": fields.field_column("gradient", 13, 1 / 24, 3, "ridged"), "ping_pong": fields.field_column("gradient", 14, 1 / 24, 2, "ping_pong"), "warped": fields.field_column("gradient", 15, 1 / 24, 2, warp=6.0)}
+    return cells(spark, sf_dir).select("i", "j", *[f("i", "j").alias(k) for k, f in named.items()])
