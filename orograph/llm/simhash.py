@@ -403,7 +403,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILA
 
     First come the edges of a forest of each key's nodes. Where all of a key's edges pass, it is
     done. A key with an edge that fails is looked at again: pairs across what links so far, the 16
-    closest of each two components, then all that are left. Near copies are in one component by then.
+    closest of each two components, then all that are left: quadratic in a large group of texts that
+    stay apart around the threshold.
     """
     groups = stored(banded(nodes, cap), "bands")
     edges = cut(forest_pairs(groups, radius))
