@@ -1,30 +1,39 @@
 """Cross-entropy difference of documents under two matched n-gram models.
 
-A target and a background bigram model share one vocabulary: the most frequent words of all
-documents, everything else being one unknown word. Both models hash their bigrams to the same
-slots, so that they collide alike. Each token's loss under the target model less that under the
-background model, averaged, scores a document: the lower, the more like the target (Moore and
-Lewis).
+A target and a background bigram model share one vocabulary: all words of all documents. Each
+token's loss under the target model less that under the background model, averaged, scores a
+document: the lower, the more like the target (Moore and Lewis).
+
+Nothing is capped or hashed together: n-grams travel as text. Documents are packed into chunks
+with their own dictionaries; each chunk sends its different n-grams once, with their counts, to
+the buckets of their hashes, which send the totals back in the same order. So a common n-gram
+costs a bucket one entry a chunk, and no task holds more than a chunk or a bucket.
+
+Given both n_words and n_slots, bounded models are counted instead: the most frequent words,
+everything else being one unknown word, and bigrams hashed to slots.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import as_bytes, cut, slices, stored, text_blocks
+from orograph.llm.common import as_bytes, cut, slices, spans, stored, text_blocks
 
-#: Words of the shared vocabulary at most; word 0 is the unknown word.
-VOCABULARY = 32_768
-#: Slots of hashed bigrams.
-SLOTS = 1 << 20
+#: Bytes of text that are packed into a chunk.
+PACKED = 1 << 23
+#: Buckets of n-grams.
+BUCKETS = 1 << 10
 #: Dirichlet smoothing of a bigram by the unigram, in counts.
 MU = 200.0
 #: Counts that travel in one row.
@@ -57,7 +66,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, text_col: str, most: int = VOCABULARY) -> list[str]:
+def vocabulary(docs: DataFrame, text_col: str, most: int) -> list[str]:
     """The most frequent words, as many as whole count classes (sixteenths of a power of two) allow, by count and name."""
     counts = cut(word_counts(docs, text_col).where("n > 1"))
     level = F.floor(F.log2("n") * 16).cast("int")
@@ -163,18 +172,162 @@ def losses(words: np.ndarray, before: np.ndarray, counted: np.ndarray, n_words:
     return -np.log((pair + MU * p[words]) / (context + MU))
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = VOCABULARY, n_slots: int = SLOTS) -> DataFrame:
+def squeezed(data: bytes | pa.Buffer) -> bytes:
+    """Zstandard, after the eight bytes of the length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(chunk, ids, size, words, names) from (id, text): texts as numbers of the chunk's own words, 4 bytes each, squeezed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for batch in (part for whole in batches for part in slices(whole, 1, PACKED)):
+            index: defaultdict[str, int] = defaultdict()
+            index.default_factory = index.__len__
+            words, size = [], []
+            for text in as_bytes(batch.column(1)):
+                parts = [np.fromiter(map(index.__getitem__, _WORD.findall(part.lower())), np.uint32) for part in text_blocks(text.decode("utf-8", "replace") if text else None)]
+                words += parts
+                size.append(sum(map(len, parts)))
+            flat = np.concatenate(words).tobytes() if words else b""
+            ends = pa.array([0, batch.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, c) for c in (batch.column(0), pa.array(size, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists, pa.array([squeezed(flat)], pa.binary()), pa.array([" ".join(index)], pa.string())], ["chunk", "ids", "size", "words", "names"])
+            at += 1
+
+    return rows.mapInArrow(run, f"chunk long, ids array<{rows.dtypes[0][1]}>, size array<long>, words binary, names string")
+
+
+def numbered(words: np.ndarray, size: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens that follow another, different pairs, number of the pair of each such token, order of words and then pairs by bucket, buckets in that order)."""
+    follows = np.ones(len(words), bool)
+    follows[(np.cumsum(size) - size)[size > 0]] = False
+    at = np.flatnonzero(follows)
+    pairs, pair = np.unique(words[at - 1].astype(np.int64) * len(names) + words[at], return_inverse=True)
+    h = np.fromiter((zlib.crc32(w.encode()) for w in names), np.uint64, len(names))
+    first, second = np.divmod(pairs, max(1, len(names)))
+    # pairs of one first word go to few buckets, where they stand together and squeeze well
+    x = np.concatenate([h, (h[first] << np.uint64(4) | h[second] % np.uint64(16)) + np.uint64(1 << 40)]) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    bucket = ((x >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    return at, pairs, pair, order, bucket[order]
+
+
+def gram_counts(chunks: DataFrame) -> DataFrame:
+    """(chunk, bucket, grams, target, n): the n-grams of a chunk, each with a line end, and their counts, four bytes each; all squeezed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                names = batch.column(4)[r].as_py().split()
+                if not names:
+                    continue
+                size = np.asarray(batch.column(2)[r].values)
+                words = np.frombuffer(unsqueezed(batch.column(3)[r].as_py()), np.uint32)
+                flags = np.zeros(len(size), bool)
+                flags[np.asarray(batch.column(1)[r].as_py() or [], np.int64)] = True
+                chosen = np.repeat(flags, size)
+                at, pairs, pair, order, bucket = numbered(words, size, names)
+                total = [np.concatenate([np.bincount(words[k], minlength=len(names)), np.bincount(pair[k[at]], minlength=len(pairs))])[order].astype(np.uint32) for k in (chosen, np.ones(len(words), bool))]
+                text = pa.array(names, pa.large_string())
+                first, second = np.divmod(pairs, len(names))
+                nothing, space, end = (pa.scalar(x, pa.large_string()) for x in ("", " ", "\n"))
+                ended = pc.binary_join_element_wise(text, end, nothing)
+                grams = pa.concat_arrays([ended, pc.binary_join_element_wise(text.take(pa.array(first)), ended.take(pa.array(second)), space)]).take(pa.array(order))
+                runs = spans(bucket)
+                ends = np.frombuffer(grams.buffers()[1], np.int64)[: len(grams) + 1].tolist()
+                data = grams.buffers()[2]
+                parts = [[squeezed(data[ends[a] : ends[b]]) for a, b in runs], *[[squeezed(n[a:b].tobytes()) for a, b in runs] for n in total]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[r].as_py()] * len(runs), pa.int64()), pa.array([bucket[a] for a, _ in runs], pa.int32()), *[pa.array(x, pa.binary()) for x in parts]],
+                    ["chunk", "bucket", "grams", "target", "n"],
+                )
+
+    return chunks.select("chunk", "chosen", "size", "words", "names").mapInArrow(run, "chunk long, bucket int, grams binary, target binary, n binary")
+
+
+def gram_totals(counted: DataFrame) -> DataFrame:
+    """(chunk, bucket, target, n): for each n-gram of a chunk and bucket its counts over all chunks, eight bytes each, squeezed."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [unsqueezed(x) for x in t.column("grams").to_pylist()]
+        data = b"".join(parts)
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+        starts = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes())
+        grams = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, starts, pa.py_buffer(data)])
+        at = np.asarray(grams.dictionary_encode().indices)
+        edge = np.searchsorted(ends, np.cumsum([len(x) for x in parts]), "right").tolist()
+        out = []
+        for c in ("target", "n"):
+            total = np.zeros(int(at.max()) + 1, np.int64)
+            np.add.at(total, at, np.frombuffer(b"".join(map(unsqueezed, t.column(c).to_pylist())), np.uint32).astype(np.int64))
+            whole = total[at]
+            out.append(pa.array([squeezed(whole[a:b].tobytes()) for a, b in zip([0, *edge], edge, strict=False)], pa.binary()))
+        return pa.table([t.column("chunk"), t.column("bucket"), *out], ["chunk", "bucket", "target", "n"])
+
+    return counted.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, target binary, n binary")
+
+
+def scored(chunks: DataFrame, totals: DataFrame, id_col: str, n_tokens: tuple[int, int], n_words: int) -> DataFrame:
+    """The rows of cross_entropy_difference; n_tokens: of the target and of all, n_words: different ones and the unknown word."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, size = left.column("ids").combine_chunks().values, np.asarray(left.column("size").combine_chunks().values)
+        words = np.frombuffer(unsqueezed(left.column("words")[0].as_py()), np.uint32)
+        sums = [np.zeros(len(size))] * 2
+        if len(words):
+            names = left.column("names")[0].as_py().split()
+            at, _, pair, order, _ = numbered(words, size, names)
+            right = right.sort_by("bucket")
+            owner = np.repeat(np.arange(len(size)), size)
+            for m, c in enumerate(("target", "n")):
+                total = np.empty(len(order), np.int64)
+                total[order] = np.frombuffer(b"".join(map(unsqueezed, right.column(c).to_pylist())), np.int64)
+                unigram, bigram = total[: len(names)], total[len(names) :]
+                p = ((unigram + 1.0) / (n_tokens[m] + n_words))[words]
+                loss = -np.log(p)
+                loss[at] = -np.log((bigram[pair] + MU * p[at]) / (unigram[words[at - 1]] + MU))
+                sums[m] = np.bincount(owner, loss, len(size)) / np.maximum(size, 1)
+        return pa.table([ids, pa.array(size), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[0] - sums[1])], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
+
+    id_type = dict(chunks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+    schema = f"`{id_col}` {id_type}, n_tokens long, target_loss double, background_loss double, score double"
+    return chunks.select("chunk", "ids", "size", "words", "names").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int | None = None, n_slots: int | None = None) -> DataFrame:
     """(id_col, n_tokens, target_loss, background_loss, score) for every row of docs.
 
     target_ids: ids (column id_col) of the documents that the target model is counted from; the
-    background model is counted from all. Losses are nats a token, score their difference. A
-    text without words (null, empty) has 0 tokens and zeros. Null ids are scored and belong to
-    the background. Repeated rows each count and get their row; repeated target ids count once.
-    Columns beside those named are ignored. Texts of any length are read whole.
+    background model is counted from all. Losses are nats a token, score their difference; the
+    first word of a text is told by its unigram. A text without words (null, empty) has 0 tokens
+    and zeros. Null ids are scored and belong to the background. Repeated rows each count and get
+    their row; repeated target ids count once. Columns beside those named are ignored. Texts of
+    any length are read whole. All words and bigrams count, however many there are; given both
+    n_words and n_slots, bounded models do.
     """
+    chosen = target_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("chosen", F.lit(True))
+    if n_words and n_slots:
+        return bounded(docs, chosen, id_col, text_col, n_words, n_slots)
+    chunks = stored(packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))), "lm-chunks")
+    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "size")).alias("at", "d")).select("chunk", "at", F.col("d.ids").alias("id"), F.col("d.size").alias("size"))
+    flags = cut(rows.join(chosen.hint("merge"), "id").groupBy("chunk").agg(F.collect_list("at").alias("chosen"), F.sum("size").alias("tokens")))
+    n_tokens = [df.agg(F.sum(c)).first()[0] or 0 for df, c in ((flags, "tokens"), (rows, "size"))]
+    n_names = chunks.select(F.explode(F.split("names", " ")).alias("w")).where("w <> ''").distinct().count()
+    counted = gram_counts(chunks.join(flags, "chunk", "left"))
+    return scored(chunks, gram_totals(counted), id_col, (n_tokens[0], n_tokens[1]), n_names + 1)
+
+
+def bounded(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, n_words: int, n_slots: int) -> DataFrame:
+    """cross_entropy_difference by models of a fixed size."""
     words = vocabulary(docs, text_col, n_words - 1)
     ids = stored(word_ids(docs, id_col, text_col, words), "word-ids")
-    chosen = target_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("chosen", F.lit(True))
     flagged = ids.join(chosen.hint("merge"), "id", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
     counted = counts(flagged, "chosen", n_words, n_slots)
     shared = docs.sparkSession.sparkContext.broadcast(counted.astype(np.float64 if counted.max() > 1 << 24 else np.float32))

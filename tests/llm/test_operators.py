@@ -76,6 +76,34 @@ def test_lm_score_against_counts(spark, docs):
     assert Counter((r["doc_id"], r["n_tokens"], round(r["target_loss"], 4), round(r["background_loss"], 4)) for r in got) == want
 
 
+def test_lm_score_keeps_every_word_and_bigram(spark, docs):
+    many = [(100 + i, " ".join(f"w{j}" for j in range(i * 9_000, i * 9_000 + 12_000)) + " rare pair") for i in range(4)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(many, "doc_id long, text string")).repartition(5)
+    keep = {1, 6, 101}
+    got = lmscore.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in (1, 1, 6, 101, None)], "doc_id long")).collect()
+    rows = [(r["doc_id"], lmscore._WORD.findall((r["text"] or "").lower())) for r in df.collect()]
+    n_words = len({w for _, ws in rows for w in ws}) + 1
+    assert n_words > 32_768
+    want: Counter = Counter()
+    models = []
+    for chosen in (keep, None):
+        uni, big = Counter(), Counter()
+        for i, ws in rows:
+            if chosen is None or i in chosen:
+                uni.update(ws)
+                big.update(zip(ws, ws[1:], strict=False))
+        models.append((uni, big, sum(uni.values()) + n_words))
+    for i, ws in rows:
+        loss = [0.0, 0.0]
+        for m, (uni, big, total) in enumerate(models):
+            for k, w in enumerate(ws):
+                p = (uni[w] + 1) / total
+                loss[m] -= math.log((big[ws[k - 1], w] + lmscore.MU * p) / (uni[ws[k - 1]] + lmscore.MU) if k else p)
+        n = max(1, len(ws))
+        want[i, len(ws), round(loss[0] / n, 6), round(loss[1] / n, 6)] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], round(r["target_loss"], 6), round(r["background_loss"], 6)) for r in got) == want
+
+
 def test_lm_score_of_nothing(nothing):
     assert lmscore.cross_entropy_difference(nothing, nothing.select("doc_id")).count() == 0
 
