@@ -7,13 +7,16 @@ temperature on damaged notices it hasn't seen; a paragraph with less than a give
 ``unknown``. A prediction is confirmed where the paragraph holds enough of the two-grams of a
 template of the predicted family.
 
-Only paragraphs with an anchor word are judged: an anchor is a word that licence notices can't do
-without. Equal paragraphs are judged once, however often they occur.
+Every paragraph is judged by the grams that it shares with the model; paragraphs that share the
+same ones are judged once. Before that, those go that can't be a notice: none of the families can
+reach the class of no licence with what they share.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -31,7 +34,7 @@ TEMPERATURES = (0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 LEAST_PROBABILITY = 0.7
 #: Share of a template's two-grams that a confirmed paragraph holds.
 LEAST_SIMILARITY = 0.6
-#: Lower-case stems; a paragraph with none of them is no notice.
+#: Lower-case stems; a paragraph with one of them is reported even where it is no notice.
 ANCHORS = ("licen", "copyright", "warrant", "redistribut", "public domain", "all rights reserved", "cc by", "cc0", "permission is hereby granted")
 
 #: Short notices of public licences.
@@ -39,7 +42,7 @@ TEMPLATES = {
     "apache": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', "This project is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"],
     "mit": ["Released under the MIT License.", "Licensed under the MIT License. See LICENSE for details.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software', "SPDX-License-Identifier: MIT"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GPL v2 or later.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GPL v2 or later.", "Released under the GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
@@ -51,6 +54,8 @@ TEMPLATES = {
 }
 #: Paragraphs with anchor words or their like that are no notices.
 OTHERS = ["He lost his driving licence after the accident.", "She is a licensed nurse and works at the hospital.", "The warranty covers repairs for two years.", "The band released a new album under its own label last week.", "The court issued a search warrant for the house.", "The question of copyright was discussed at the conference.", "The restaurant applied for a licence to sell alcohol.", "They redistributed the land among the farmers.", "The film entered the public domain last year, critics said.", "The Apache helicopter was released for export.", "A general election was held under the new version of the law.", "The software was free to use during the trial.", "Thank you for reading this article about copyright law in the digital age.", "Permission to build the bridge was granted by the city.", "The village has a church, a school and two shops.", "This version of the story is told in many countries.", "It rained all day and the game was postponed.", "Subscribe to our newsletter for more news."]
+#: Everyday texts in four languages; the empty ones stand for texts without any word of the model.
+OTHERS += [""] * 24 + ["The house is on the hill and it was built by his father.", "This is not what they said at the time, but you can be sure of it.", "He is the one that was with me in the city and as a child he had this.", "It is of use to have a copy of the book with you at all times.", "They are in this or that place, by the sea or on the way to it.", "For it is not by him that these are made, and be it as it may, as for you.", "In 2019 and 2020 the number of people in the city was 4 or 5 times as large.", "A new part of the work is to be done by the end of 2020.", "Is it that or this? Not that, and not in the way you are used to.", "From 1 to 3 of the 5 rooms are free to use.", "La casa de la ciudad es de los que no se han ido por el camino con una carta.", "En el pueblo que no es de todos se come a las dos y por la tarde.", "Der Hund und die Katze sind in dem Haus, das nicht von mir ist.", "Sie ist mit dem Zug in die Stadt gefahren und war an dem Tag nicht da.", "Le chat est dans la maison de la ville et il ne sort pas par la porte.", "Un jour elle est venue avec les enfants de la rue, et on a parlé du temps."]
 
 
 def words_of(text) -> F.Column:
@@ -125,38 +130,61 @@ def train(spark: SparkSession) -> tuple[list[str], list[tuple[str, list[float]]]
     return _MODELS[key]
 
 
+def template_pairs() -> set[str]:
+    """Two-grams of all templates."""
+    words = [[w for w in re.split(r"[\W_]+", t.lower()) if w] for ts in TEMPLATES.values() for t in ts]
+    return {f"{a} {b}" for ws in words for a, b in zip(ws, ws[1:], strict=False)}
+
+
+def shared_grams(words, weights: list[tuple[str, list[float]]]) -> F.Column:
+    """The different grams of a paragraph that the model or a template has: all that a verdict depends on."""
+    known = sorted({g for g, _ in weights} | template_pairs())
+    return F.filter(F.array_distinct(grams(words)), lambda g: g.isin(known))
+
+
+def most_lead(shared, weights: list[tuple[str, list[float]]], bias: list[float]) -> F.Column:
+    """At least the lead of the best family over none: each gram counts with its best family, rounded up to half a power of two."""
+    levels: dict[int, list[str]] = {}
+    for g, w in weights:
+        if (best := max(w[1:]) - w[0]) > 0:
+            levels.setdefault(math.ceil(math.log2(max(best, 1 / 64)) * 2), []).append(g)
+    terms = (F.size(F.filter(shared, lambda g: g.isin(held))) * (2 ** (k / 2)) for k, held in sorted(levels.items()))  # noqa: B023
+    return reduce(lambda a, b: a + b, terms, F.lit(max(bias[1:]) - bias[0]))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_probability: float = LEAST_PROBABILITY, least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
-    """(id_col, paragraph, family, probability, similarity, confirmed) for each candidate paragraph of docs.
+    """(id_col, paragraph, family, probability, similarity, confirmed) for each paragraph of docs that is a notice or holds an anchor.
 
-    Paragraphs are the lines of a text, numbered from 1; a candidate holds an anchor. family is
-    ``none``, one of TEMPLATES or ``unknown``. similarity: the share of two-grams of the family's
+    Paragraphs are the lines of a text, numbered from 1; all are judged. family is one of TEMPLATES,
+    ``unknown`` or, for those with an anchor, ``none``. similarity: the share of two-grams of the family's
     best template in the paragraph, 0 for none and unknown. Null and empty texts have no
     paragraphs. Repeated rows each give theirs. Whole texts and paragraphs of any length are read.
     Columns beside those named are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where(has_anchor(F.lower("text"))).select("id", F.posexplode(F.split("text", r"\n")).alias("n", "line"))
-    # the text of a paragraph is needed once for each; elsewhere its hash stands for it
-    rows = rows.where(has_anchor(F.lower("line"))).select("id", (F.col("n") + 1).alias("paragraph"), "line", F.sha2("line", 256).alias("h"))
-    rows = cut(rows)
-    distinct = rows.groupBy("h").agg(F.first("line").alias("line")).withColumn("words", words_of("line")).select("h", "words")
-    distinct = cut(distinct)
-
     families, weights, bias, t = train(spark)
+    rows = rows.select("id", F.posexplode(F.split("text", r"\n")).alias("n", "line"))
+    rows = rows.select("id", (F.col("n") + 1).alias("paragraph"), has_anchor(F.lower("line")).alias("anchor"), words_of("line").alias("words"))
+    rows = rows.withColumn("grams", shared_grams(F.col("words"), weights)).drop("words")
+    rows = rows.where(F.col("anchor") | (most_lead("grams", weights, bias) >= 0))
+    # elsewhere the hash of the grams stands for them
+    rows = cut(rows.withColumn("grams", F.array_sort("grams")).withColumn("h", F.sha2(F.array_join("grams", "\n"), 256)))
+    distinct = cut(rows.groupBy("h").agg(F.first("grams").alias("grams")))
+
     table = literal_rows(spark, "gram string, w array<double>", weights)
-    found = distinct.select("h", F.explode(F.array_distinct(grams(F.col("words")))).alias("gram")).join(F.broadcast(table), "gram")
+    found = distinct.select("h", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
     sums = found.groupBy("h").agg(*[F.sum(F.get("w", F.lit(k))).alias(f"s{k}") for k in range(len(families))])
     scored = distinct.join(sums, "h", "left")
     logits = [(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + float(b)) / t for k, b in enumerate(bias)]
     top = F.greatest(*logits)
     total = reduce(lambda a, b: a + b, [F.exp(x - top) for x in logits])
     guess = F.array_max(F.array(*[F.struct(x.alias("x"), F.lit(f).alias("f")) for x, f in zip(logits, families, strict=True)]))
-    scored = scored.select("h", "words", guess["f"].alias("guess"), (1 / total).alias("probability"))
+    scored = scored.select("h", "grams", guess["f"].alias("guess"), (1 / total).alias("probability"))
 
     kept = templates(spark).select("family", F.xxhash64("template").alias("template"), F.array_distinct(pairs_of(words_of("template"))).alias("pairs"))
     sizes = kept.select(F.col("family").alias("guess"), "template", F.size("pairs").alias("size"), F.explode("pairs").alias("pair"))
-    seen = scored.where(F.col("guess") != NONE).select("h", "guess", F.explode(F.array_distinct(pairs_of(F.col("words")))).alias("pair"))
+    seen = scored.where(F.col("guess") != NONE).select("h", "guess", F.explode("grams").alias("pair"))
     shared = seen.join(F.broadcast(sizes), ["guess", "pair"]).groupBy("h", "template").agg((F.count("*") / F.first("size")).alias("share"))
     best = shared.groupBy("h").agg(F.max("share").alias("similarity"))
     judged = scored.select("h", "guess", "probability").join(best, "h", "left")
@@ -165,4 +193,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     family = F.when(F.col("guess") == NONE, NONE).when(known, F.col("guess")).otherwise(UNKNOWN)
     judged = judged.select("h", family.alias("family"), F.round("probability", 6).alias("probability"), F.round(similarity, 6).alias("similarity"))
     judged = cut(judged.withColumn("confirmed", F.col("similarity") >= least_similarity))
-    return rows.select("id", "paragraph", "h").join(judged, "h").select(F.col("id").alias(id_col), "paragraph", "family", "probability", "similarity", "confirmed")
+    return rows.select("id", "paragraph", "anchor", "h").join(judged, "h").where((F.col("family") != NONE) | F.col("anchor")).select(F.col("id").alias(id_col), "paragraph", "family", "probability", "similarity", "confirmed")

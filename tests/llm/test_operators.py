@@ -355,6 +355,16 @@ def test_licences(spark, docs, nothing):
     assert licences.scan(docs).count() == 0 and licences.scan(nothing).count() == 0
 
 
+def test_licences_without_anchor_words(spark):
+    notices = {"Released under the GPL v3.": "gpl", "Distributed under the terms of the GNU GPL version 3.": "gpl", "Content under CC-BY 4.0.": "cc-by", "CC-BY-SA 4.0": "cc-by-sa", "(c) 2020 Example Corp.": "proprietary", "Creative Commons Attribution 4.0 International": "cc-by", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited.": "proprietary"}
+    notices |= {t: f for f, ts in licences.TEMPLATES.items() for t in ts}
+    got = licences.scan(spark.createDataFrame([(t, f"{text(5)}\n{t}") for t in notices], "doc_id string, text string")).collect()
+    found = {x["doc_id"]: x["family"] for x in got if x["family"] != "none"}
+    assert {x["paragraph"] for x in got} == {2} and found.keys() == notices.keys()
+    unsure = {t for t, f in found.items() if f == "unknown"}
+    assert all(f in (notices[t], "unknown") for t, f in found.items()) and not unsure & {t for ts in licences.TEMPLATES.values() for t in ts}
+
+
 # ---- shards --------------------------------------------------------------------------------
 
 
