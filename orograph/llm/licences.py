@@ -7,7 +7,8 @@ temperature on damaged notices it hasn't seen; a paragraph with less than a give
 ``unknown``. A prediction is confirmed where the paragraph holds enough of the two-grams of a
 template of the predicted family.
 
-Every paragraph is judged by the grams that it shares with the model; paragraphs that share the
+Paragraphs are the lines of a text, and the blocks of lines between lines without a word, as a
+notice may be wrapped. Every paragraph is judged by the grams that it shares with the model; paragraphs that share the
 same ones are judged once. Before that, those go that can't be a notice: none of the families can
 reach the class of no licence with what they share.
 """
@@ -152,10 +153,24 @@ def most_lead(shared, weights: list[tuple[str, list[float]]], bias: list[float])
     return reduce(lambda a, b: a + b, terms, F.lit(max(bias[1:]) - bias[0]))
 
 
+def paragraphs(rows: DataFrame) -> DataFrame:
+    """(id, paragraph, lines, line) from (id, split): each line, and each block of two lines or more joined by spaces."""
+    rows = rows.withColumn("worded", F.transform("split", lambda x: x.rlike(r"[\p{L}\p{N}]")))
+    n = F.size("split")
+    is_worded = lambda i: F.coalesce(F.get("worded", i - 1), F.lit(False))
+    numbers = F.when(n > 0, F.sequence(F.lit(1), n))
+    rows = rows.withColumn("first", F.filter(numbers, lambda i: is_worded(i) & ~is_worded(i - 1)))
+    rows = rows.withColumn("last", F.filter(numbers, lambda i: is_worded(i) & ~is_worded(i + 1)))
+    block = F.zip_with("first", "last", lambda a, b: F.struct(a.alias("paragraph"), (b - a + 1).alias("lines"), F.array_join(F.slice("split", a, b - a + 1), " ").alias("line")))
+    line = F.transform("split", lambda x, i: F.struct((i + 1).alias("paragraph"), F.lit(1).alias("lines"), x.alias("line")))
+    return rows.select("id", F.inline(F.concat(line, F.filter(block, lambda b: b["lines"] > 1))))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_probability: float = LEAST_PROBABILITY, least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
-    """(id_col, paragraph, family, probability, similarity, confirmed) for each paragraph of docs that is a notice or holds an anchor.
+    """(id_col, paragraph, lines, family, probability, similarity, confirmed) for each paragraph of docs that is a notice or holds an anchor.
 
-    Paragraphs are the lines of a text, numbered from 1; all are judged. family is one of TEMPLATES,
+    Paragraphs are the lines of a text, numbered from 1, and its blocks of two lines or more, with the
+    number of their first line; lines says how many they have. All are judged. family is one of TEMPLATES,
     ``unknown`` or, for those with an anchor, ``none``. similarity: the share of two-grams of the family's
     best template in the paragraph, 0 for none and unknown. Null and empty texts have no
     paragraphs. Repeated rows each give theirs. Whole texts and paragraphs of any length are read.
@@ -164,9 +179,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     families, weights, bias, t = train(spark)
-    rows = rows.select("id", F.posexplode(F.split("text", r"\n")).alias("n", "line"))
-    rows = rows.select("id", (F.col("n") + 1).alias("paragraph"), has_anchor(F.lower("line")).alias("anchor"), words_of("line").alias("words"))
-    rows = rows.withColumn("grams", shared_grams(F.col("words"), weights)).drop("words")
+    rows = paragraphs(rows.select("id", F.split("text", r"\n").alias("split")))
+    rows = rows.select("id", "paragraph", "lines", has_anchor(F.lower("line")).alias("anchor"), F.explode(F.array(words_of("line"))).alias("words"))
+    # exploded, so that the filter isn't pushed below, which would work out the grams anew for each of its terms
+    rows = rows.select("id", "paragraph", "lines", "anchor", F.explode(F.array(shared_grams(F.col("words"), weights))).alias("grams"))
     rows = rows.where(F.col("anchor") | (most_lead("grams", weights, bias) >= 0))
     # elsewhere the hash of the grams stands for them
     rows = cut(rows.withColumn("grams", F.array_sort("grams")).withColumn("h", F.sha2(F.array_join("grams", "\n"), 256)))
@@ -193,4 +209,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     family = F.when(F.col("guess") == NONE, NONE).when(known, F.col("guess")).otherwise(UNKNOWN)
     judged = judged.select("h", family.alias("family"), F.round("probability", 6).alias("probability"), F.round(similarity, 6).alias("similarity"))
     judged = cut(judged.withColumn("confirmed", F.col("similarity") >= least_similarity))
-    return rows.select("id", "paragraph", "anchor", "h").join(judged, "h").where((F.col("family") != NONE) | F.col("anchor")).select(F.col("id").alias(id_col), "paragraph", "family", "probability", "similarity", "confirmed")
+    return rows.select("id", "paragraph", "lines", "anchor", "h").join(judged, "h").where((F.col("family") != NONE) | F.col("anchor")).select(F.col("id").alias(id_col), "paragraph", "lines", "family", "probability", "similarity", "confirmed")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 from collections import Counter
 from itertools import combinations
 
@@ -358,13 +359,24 @@ def test_licences(spark, docs, nothing):
 def test_licences_without_anchor_words(spark):
     notices = {"Released under the GPL v3.": "gpl", "Distributed under the terms of the GNU GPL version 3.": "gpl", "Content under CC-BY 4.0.": "cc-by", "CC-BY-SA 4.0": "cc-by-sa", "(c) 2020 Example Corp.": "proprietary", "Creative Commons Attribution 4.0 International": "cc-by", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited.": "proprietary"}
     notices |= {t: f for f, ts in licences.TEMPLATES.items() for t in ts}
-    got = licences.scan(spark.createDataFrame([(t, f"{text(5)}\n{t}") for t in notices], "doc_id string, text string")).collect()
+    got = licences.scan(spark.createDataFrame([(t, f"{text(5)}\n\n{t}") for t in notices], "doc_id string, text string")).collect()
     found = {x["doc_id"]: x["family"] for x in got if x["family"] != "none"}
-    assert {x["paragraph"] for x in got} == {2} and found.keys() == notices.keys()
+    assert {x["paragraph"] for x in got} == {3} and found.keys() == notices.keys()
     unsure = {t for t, f in found.items() if f == "unknown"}
     assert all(f in (notices[t], "unknown") for t, f in found.items()) and not unsure & {t for ts in licences.TEMPLATES.values() for t in ts}
 
 
+def test_licences_in_wrapped_blocks(spark):
+    whole = {f: licences.TEMPLATES[f][i] for f, i in (("mit", 2), ("bsd", 0), ("gpl", 1))}
+    rows = []
+    for f, t in whole.items():
+        lines = textwrap.wrap(t, 60)
+        rows += [(f, "\n".join([text(6, 12), "", *lines, "", text(7, 12)])), (f + " #", "\n".join(["#!/bin/sh", "#", *(f"# {x}" for x in lines), "#", "exit"]))]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    found = {(x["doc_id"], x["paragraph"], x["lines"]) for x in got if x["confirmed"] and x["family"] == x["doc_id"].split()[0]}
+    assert found >= {(f + c, 3, len(textwrap.wrap(t, 60))) for f, t in whole.items() for c in ("", " #")}
+
+
 # ---- shards --------------------------------------------------------------------------------
 
 
