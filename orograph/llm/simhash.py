@@ -14,7 +14,7 @@ fingerprints than ``cap`` goes another exact way (see ``ball_edges`` and ``block
 
 from __future__ import annotations
 
-import heapq
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import as_bytes, components, cut, fresh, spans, stored, word_blocks
+from orograph.llm.common import as_bytes, components, cut, fresh, slices, spans, stored, word_blocks
 
 SEED = 42
 N_PIVOTS = 16
@@ -39,10 +39,26 @@ CAP = 4096
 SMALL = 32
 #: For near_duplicates(): words of a shingle, least Jaccard similarity, 64-bit words of a fingerprint.
 SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
-#: Differing bits of 256 that a pair may have before its texts are compared; at a similarity of 0.8, 38 are expected, 48 where the texts have four and five shingles.
-WIDE_RADIUS = 72
+#: Largest share of differing bits expected of two sets with a similarity of 0.8: four shingles and one more, as 3 of 16 pairs of sums straddle the half.
+LARGEST_SHARE = 3 / 16
+#: Nodes of a group, and bytes of their sets, that are compared in one part.
+PART, PART_BYTES = 512, 32 << 20
 #: Keys of a text, and least hashes that make one; at a similarity of 0.8 all keys differ once in 3,000 pairs.
 BANDS, ROWS = 20, 5
+
+
+def safe_radius(bits: int, share: float, risk: float) -> int:
+    """The least radius that so many bits, each differing with that probability, exceed with at most that risk."""
+    tail = 0.0
+    for k in range(bits, 0, -1):
+        tail += math.comb(bits, k) * share**k * (1 - share) ** (bits - k)
+        if tail > risk:
+            return k
+    return 0
+
+
+#: Differing bits of 256 that a pair may have: a similar pair exceeds them once in 10^9.
+WIDE_RADIUS = safe_radius(64 * WORDS, LARGEST_SHARE, 1e-9)
 _MIX = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -150,7 +166,7 @@ def forest(fp: np.ndarray, c: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def run_edges(group: np.ndarray, fp: np.ndarray, radius: int, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def run_edges(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that join what links within each run of equal, sorted group numbers."""
     c = pivot_table(fp)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -193,15 +209,14 @@ def whole_runs(batches: Iterable[pa.RecordBatch], words: int, before: int) -> It
         yield held
 
 
-def linked_runs(words: int, radius: int, with_group: bool = False):
-    """For mapInArrow: rows (g, id, fp...) sorted by g; gives edges (a, b, d) between ids, and g if asked for."""
+def linked_runs(words: int, radius: int):
+    """For mapInArrow: rows (g, id, fp...) sorted by g; gives edges (a, b) between ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, ids, fp in whole_runs(batches, words, 2):
             i, j = run_edges(g, fp, radius)
             if len(i):
-                out = {"a": ids[i], "b": ids[j], "d": distance(fp, i, j)} | ({"g": g[i]} if with_group else {})
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.values()], list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
 
     return run
 
@@ -261,7 +276,7 @@ def fingerprint_edges(distinct: DataFrame, radius: int = RADIUS, blocks: tuple[i
     # the key bits of table t are all in key, so that t and key in one number can stay apart: sort by both, number by hash
     runs = calm.select(F.xxhash64("t", "key").alias("g"), F.col("fp").alias("id"), "fp")
     runs = runs.repartition(F.col("g")).sortWithinPartitions("g", "id")
-    edges = runs.mapInArrow(linked_runs(1, radius), "a long, b long, d long").select("a", "b")
+    edges = runs.mapInArrow(linked_runs(1, radius), "a long, b long")
     return edges.union(hot_edges) if hot_edges is not None else edges
 
 
@@ -294,8 +309,8 @@ def shingles(text: bytes | None) -> np.ndarray:
     return found
 
 
-def signature(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of WORDS words, BANDS keys); the keys are hashes of the least of ROWS hashes each.
+def signature(text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(fingerprint of WORDS words, BANDS keys, different shingles); the keys are hashes of the least of ROWS hashes each.
 
     Both come from the set of the text's shingles, so that lines repeated often weigh no more than others.
     """
@@ -309,126 +324,161 @@ def signature(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     out = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         out = mixed(out ^ keys[:, r], r + 1)
-    return np.packbits(2 * sums > len(held), axis=1, bitorder="little").view(np.uint64)[:, 0], out
+    return np.packbits(2 * sums > len(held), axis=1, bitorder="little").view(np.uint64)[:, 0], out, len(held)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) have at least that Jaccard similarity of shingles."""
+def similar_forest(fp: np.ndarray, held: list[np.ndarray], comp: np.ndarray, similarity: float, radius: int) -> tuple[list[int], list[int]]:
+    """Index pairs of sets of that Jaccard similarity; with what comp has joined they connect all that such pairs connect.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in batches:
-            keep = []
-            for node, left, right in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
-                if last[0] != node:
-                    last = (node, shingles(left))
-                other = shingles(right)
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(both >= similarity * (len(last[1]) + len(other) - both))
-            out = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(out.columns[:2], ["a", "b"])
-
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = texts.join(ends, "node", "left_semi")
-    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def banded(nodes: DataFrame, cap: int = CAP) -> DataFrame:
-    """(g, node, f0...) for nodes (node, fp, keys): those with the same g are to be compared.
-
-    A key with more than cap nodes is cut into blocks; every two blocks have a g of their own.
+    A search from each set in turn through the sets that nothing has reached yet; set sizes, pivots
+    and bits discard, the elements in common decide.
     """
-    keyed = nodes.select(F.explode("keys").alias("g"), "node", *[F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(WORDS)])
-    sizes = keyed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = cut(sizes.where(F.col("n") > cap))
-    if not crowded.head(1):
-        return keyed
-    calm = keyed.join(crowded, "g", "left_anti")
-    hot = keyed.join(crowded, "g").withColumn("blocks", F.ceil(F.col("n") / (cap // 2)).cast("int"))
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    hot = hot.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    hot = hot.withColumn("g", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
-    return calm.union(hot.select(calm.columns))
-
-
-def in_order(a, b) -> list[F.Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def forest_pairs(groups: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(a, b, g): pairs of each g that differ in radius bits at most; of a g with many nodes a minimum spanning forest."""
-    runs = groups.repartition(F.col("g")).sortWithinPartitions("g", "node")
-    return runs.mapInArrow(linked_runs(WORDS, radius, with_group=True), "a long, b long, d long, g long").select(*in_order("a", "b"), "g")
-
-
-def open_pairs(groups: DataFrame, radius: int, most: int | None) -> DataFrame:
-    """Distinct pairs (a, b) within the radius, of one g and of different comp; of each two comps the most closest, if given."""
-
-    def found(ids: np.ndarray, comp: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        c = pivot_table(fp)
-        held: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for i in range(len(ids) - 1):
-            rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            _, j = far_by_pivots(c, np.full(len(rest), i), rest, radius)
-            d = distance(fp, j, i)
-            j, d = j[d <= radius], d[d <= radius]
-            if not len(j):
-                continue
-            if most is None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[i])), pa.array(ids[j])], ["a", "b"])
+    n = len(held)
+    size = np.fromiter(map(len, held), np.int64, n)
+    values, flat = np.unique(np.concatenate(held), return_inverse=True)
+    end = np.cumsum(size)
+    own = [flat[e - k : e] for e, k in zip(end.tolist(), size.tolist(), strict=True)]
+    label = np.unique(comp, return_inverse=True)[1]
+    mates = np.split(np.argsort(label, kind="stable"), np.cumsum(np.bincount(label))[:-1])
+    c, mark, least = pivot_table(fp), np.zeros(len(values), np.uint8), similarity - 1e-9
+    left, starts = np.arange(n), end - size
+    fresh_, seen = len(left), np.zeros(n, bool)
+    a: list[int] = []
+    b: list[int] = []
+    for seed in range(n):
+        if seen[seed]:
+            continue
+        queue = mates[label[seed]].tolist()
+        seen[queue] = True
+        while queue:
+            i = queue.pop()
+            rest = left[~seen[left]]
+            if not len(rest):
+                return a, b
+            near = rest[(size[rest] >= least * size[i]) & (size[i] >= least * size[rest])]
+            _, near = far_by_pivots(c, np.full(len(near), i), near, radius)
+            near = near[distance(fp, near, i) <= radius]
+            if not len(near):
                 continue
-            for k in np.argsort(d, kind="stable").tolist():
-                two = (min(comp[i], comp[j[k]]), max(comp[i], comp[j[k]]))
-                best = held.setdefault(two, [])
-                if len(best) < most:
-                    heapq.heappush(best, (-int(d[k]), int(ids[i]), int(ids[j[k]])))
-                elif -int(d[k]) > best[0][0]:
-                    heapq.heapreplace(best, (-int(d[k]), int(ids[i]), int(ids[j[k]])))
-        rows = [x for best in held.values() for x in best]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64())], ["a", "b"])
+            if 2 * len(rest) < fresh_:  # what is left stands side by side
+                left, fresh_ = rest, len(rest)
+                flat = np.concatenate([own[k] for k in rest.tolist()])
+                starts = np.cumsum(size[rest]) - size[rest]
+            mark[own[i]] = 1
+            if len(near) * 8 < len(left):
+                both = np.fromiter((mark[own[k]].sum(dtype=np.int64) for k in near.tolist()), np.int64, len(near))
+            else:
+                both = np.add.reduceat(mark[flat], starts, dtype=np.int64)[np.searchsorted(left, near)]
+            mark[own[i]] = 0
+            for j in near[both >= similarity * (size[i] + size[near] - both)].tolist():
+                if not seen[j]:
+                    a.append(i)
+                    b.append(j)
+                    queue += mates[label[j]].tolist()
+                    seen[mates[label[j]]] = True
+    return a, b
+
+
+def by_group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """All rows of each value of the first column, by which they are sorted."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        g = np.asarray(batch.column(0))
+        for s, e in spans(g):
+            if held and g[s] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = g[s]
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, held, f0...): the sorted shingle hashes of each of the nodes, as bytes, from (node, text)."""
+    prints = [F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(WORDS)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            held = pa.array([shingles(t).tobytes() for t in as_bytes(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), held, *batch.columns[2:]], ["node", "held", *(f"f{w}" for w in range(WORDS))])
+
+    rows = texts.join(nodes.select("node", *prints), "node").select("node", "text", *(f"f{w}" for w in range(WORDS)))
+    return rows.mapInArrow(run, "node long, held binary, " + ", ".join(f"f{w} long" for w in range(WORDS)))
+
+
+def compared(groups: DataFrame, sets: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) that join, over comp, what pairs of one g connect. groups: (g, node, comp); sets: see shingle_sets()."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, ids, comp, fp in whole_runs(batches, WORDS, 3):
-            for s, e in spans(g):
-                yield from found(ids[s:e], comp[s:e], fp[s:e])
+        for t in by_group(batches):
+            node, comp = (t.column(k).to_numpy() for k in ("node", "comp"))
+            fp = np.stack([t.column(f"f{w}").to_numpy() for w in range(WORDS)], axis=1).view(np.uint64)
+            a, b = similar_forest(fp, [np.frombuffer(x, np.uint64) for x in t.column("held").to_pylist()], comp, similarity, radius)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    rows = groups.join(sets, "node").select("g", "node", "comp", "held", *(f"f{w}" for w in range(WORDS)))
+    return rows.repartition(F.col("g")).sortWithinPartitions("g", "node").mapInArrow(run, "a long, b long")
+
 
-    runs = groups.select("g", "node", "comp", *[f"f{w}" for w in range(WORDS)]).repartition(F.col("g")).sortWithinPartitions("g", "node")
-    return runs.mapInArrow(run, "a long, b long").select(*in_order("a", "b")).distinct()
+def key_groups(nodes: DataFrame, cap: int) -> DataFrame:
+    """(g, node, n, per, leader) for (node, keys, size): the n nodes with a common key, in parts of up to per nodes.
+
+    Keys with the same nodes give one group. leader: the smallest node. per is cap, or less where sets are large.
+    """
+    keyed = nodes.where("size > 0").select(F.explode("keys").alias("g"), "node", "size")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    groups = keyed.groupBy("g").agg(F.count("*").alias("n"), *same, F.sum(F.col("size").cast("long")).alias("total"), F.min("node").alias("leader")).where("n > 1")
+    once = groups.groupBy("n", "x0", "x1").agg(F.min("g").alias("g"), F.first("total").alias("total"), F.first("leader").alias("leader"))
+    per = F.greatest(F.lit(1), F.least(F.lit(cap), F.floor(F.lit(PART_BYTES / 8) * F.col("n") / F.col("total"))))
+    return keyed.select("g", "node").join(once.select("g", "n", per.alias("per"), "leader"), "g")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, cap: int = CAP) -> DataFrame:
-    """Links (a, b) of similar texts that connect what all such pairs with a common key and within the radius connect.
+def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, cap: int = PART) -> DataFrame:
+    """Links (a, b) of similar texts that connect all that pairs with a common key connect.
 
-    First come the edges of a forest of each key's nodes. Where all of a key's edges pass, it is
-    done. A key with an edge that fails is looked at again: pairs across what links so far, the 16
-    closest of each two components, then all that are left: quadratic in a large group of texts that
-    stay apart around the threshold.
+    A group of more than cap nodes is cut into parts, each compared with the group's leader among
+    it. Mostly that joins nearly all; what then isn't in the group's largest component is compared
+    with the whole group, part by part. So no link is lost, and a group is compared with itself as
+    a whole only where it stays apart. No pairs leave a task but the edges of its forest.
     """
-    groups = stored(banded(nodes, cap), "bands")
-    edges = cut(forest_pairs(groups, radius))
-    links = cut(similar(cut(edges.select("a", "b").distinct()), texts, similarity))
-    failed = edges.join(links, ["a", "b"], "left_anti").select("g").distinct()
-    left = cut(groups.join(failed, "g", "left_semi"))
-    for most in (16, None):
-        if not left.head(1):
-            break
-        linked = components(links)
-        found = left.join(linked, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        pairs = cut(open_pairs(found, radius, most).join(edges.select("a", "b").distinct(), ["a", "b"], "left_anti"))
-        links = cut(links.union(similar(pairs, texts, similarity)))
+    members = stored(key_groups(nodes, cap), "members")
+    ends = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    sets = stored(shingle_sets(texts, ends), "shingles")
+    parts = F.ceil(F.col("n") / F.col("per")).cast("int")
+    place = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")
+    dealt = members.withColumn("parts", parts)
+    at = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(place))
+    first = dealt.select("node", F.col("node").alias("comp"), F.col("g"), "parts", F.explode(at).alias("part"))
+    first = first.select(F.when(F.col("parts") == 1, F.col("g")).otherwise(F.xxhash64("g", "part")).alias("g"), "node", "comp")
+    links = cut(compared(first, sets, similarity, radius))
+    large = dealt.where("parts > 1")
+    if large.head(1):
+        large = cut(large.join(components(links), "node", "left").select("g", "node", "per", F.coalesce("component", "node").alias("comp")))
+        sizes = large.groupBy("g", "comp").agg(F.count("*").alias("n")).groupBy("g")
+        sizes = sizes.agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"))
+        sizes = sizes.select("g", F.col("most.comp").alias("main"), F.col("most.n").alias("joined"), (F.col("n") - F.col("most.n")).alias("apart")).where("apart > 0")
+        large = large.join(sizes, "g").withColumn("loose", F.col("comp") != F.col("main"))
+        blocks = {k: F.ceil(F.col(k) / F.col("per")).cast("int") for k in ("joined", "apart")}
+        h = F.xxhash64("node", F.lit(4))
+        # blocks of what is apart are numbered from 0, those of the main component from -1 down
+        large = large.withColumn("own", F.when(F.col("loose"), F.pmod(h, blocks["apart"])).otherwise(-1 - F.pmod(h, blocks["joined"])).cast("int"))
+        large = large.withColumn("other", F.explode(F.sequence(F.when(F.col("loose"), -blocks["joined"]).otherwise(F.lit(0)), blocks["apart"] - 1)))
+        again = large.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "comp")
+        links = cut(links.union(compared(again, sets, similarity, radius)))
     return links
 
 
-def near_duplicates(docs: DataFrame, row_col: str, text_col: str = "text", similarity: float = SIMILARITY, cap: int = CAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, row_col: str, text_col: str = "text", similarity: float = SIMILARITY, cap: int = PART) -> DataFrame:
     """(row_col, component) for every row of docs: rows with the same component are near duplicates.
 
     Texts link where their sets of five-word shingles (lower-cased; fewer words: the whole
     sequence) have a Jaccard similarity of 0.8 or more. Fingerprints of 256 bits stand for the
     texts; texts that have them and all keys equal are one node. Bits alone would need too many
     keys at this similarity, so pairs are formed by keys of least shingle hashes; the pivot table
-    and the bits discard most of them, and the shingles of the two texts decide. row_col must be unique. Texts that are
+    and the bits discard, and the shingles of the two texts decide. row_col must be unique. Texts that are
     null or without a word are one another's duplicates.
     """
 
@@ -436,18 +486,18 @@ def near_duplicates(docs: DataFrame, row_col: str, text_col: str = "text", simil
         for batch in batches:
             found = [signature(t) for t in as_bytes(batch.column(1))]
             fp, keys = (pa.array([x[k].view(np.int64) for x in found], pa.list_(pa.int64())) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, keys], ["row", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, keys, pa.array([x[2] for x in found], pa.int32())], ["row", "fp", "keys", "size"])
 
     rows = docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}, fp array<long>, keys array<long>"), "signatures")
-    nodes = stored(signed.groupBy("fp", "keys").agg(F.min("row").alias("node")), "nodes")
+    signed = stored(rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}, fp array<long>, keys array<long>, size int"), "signatures")
+    nodes = stored(signed.groupBy("fp", "keys").agg(F.min("row").alias("node"), F.max("size").alias("size")), "nodes")
     texts = rows.select(F.col("row").alias("node"), "text")
     linked = components(similar_links(nodes, texts, similarity, cap=cap))
     named = nodes.join(linked, "node", "left").select("fp", "keys", F.coalesce("component", "node").alias("component"))
     return signed.join(named, ["fp", "keys"]).select(F.col("row").alias(row_col), "component")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, cap: int = PART) -> DataFrame:
     """The rows of docs, all columns, with one row of each group of near duplicates.
 
     That with the smallest id stays, one with a null id only if there is no other; of repeated
@@ -455,7 +505,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     row = fresh(docs, "row")
     held = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(held, row, text_col, similarity).join(held.select(row, F.col(id_col).alias("id_")), row)
+    groups = near_duplicates(held, row, text_col, similarity, cap).join(held.select(row, F.col(id_col).alias("id_")), row)
     first = F.min(F.struct(F.col("id_").isNull().alias("none"), F.col("id_").alias("id"), F.col(row).alias("row")))
     kept = groups.groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias(row))
     return held.join(cut(kept), row, "left_semi").select(docs.columns)

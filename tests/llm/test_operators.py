@@ -252,12 +252,61 @@ def test_near_duplicates_against_jaccard(spark, docs, nothing):
     want = {root(i) for i in range(len(rows))}
     got = {x["doc_id"] for x in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+    # groups in many parts, most of them apart
+    assert {x["doc_id"] for x in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), cap=7).collect()} == want
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == ["1", "3", "6", "7", "8", "None"]
     assert simhash.deduplicated(nothing).count() == 0
 
 
+def test_short_and_many_near_duplicates_against_jaccard(spark):
+    r = random.Random(9)
+    rows = []
+    for _ in range(120):  # texts of four to ten shingles, and each with one more
+        words = [f"s{r.randrange(10**6)}" for _ in range(r.randint(8, 14))]
+        rows += [" ".join(words), " ".join([*words, "more"])]
+    for _ in range(4):  # 500 copies each around the threshold: three of about 70 words are others
+        words = [f"m{r.randrange(10**6)}" for _ in range(70)]
+        for _ in range(500):
+            copy = list(words)
+            for _ in range(r.choice([1, 1, 2, 3])):
+                copy[r.randrange(len(copy))] = f"o{r.randrange(4)}"
+            rows.append(" ".join(copy))
+    sets = [simhash.shingles(t.encode()) for t in rows]
+    fp = np.zeros((len(rows), simhash.WORDS), np.uint64)
+    a, b = simhash.similar_forest(fp, sets, np.arange(len(rows)), 0.8, 256)
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        parent[max(root(x), root(y))] = min(root(x), root(y))
+    plain = [set(x.tolist()) for x in sets]
+    for i, j in [(r.randrange(len(rows)), r.randrange(len(rows))) for _ in range(100_000)]:
+        both = len(plain[i] & plain[j])
+        assert i == j or both < 0.8 * (len(plain[i]) + len(plain[j]) - both) or root(i) == root(j)
+    want = {root(i) for i in range(len(rows))}
+    got = {x["doc_id"] for x in simhash.deduplicated(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == want and 4 <= len(want) < len(rows)
+
+
+def test_the_radius_of_similar_sets():
+    # the largest expected share of differing bits over all pairs of small sets with a similarity of 0.8
+    def share(both: int, left: int, right: int) -> float:
+        def sums(n):
+            return [math.comb(n, k) / 2**n for k in range(n + 1)]
+
+        return sum(p * q * w for c, p in enumerate(sums(both)) for x, q in enumerate(sums(left)) for y, w in enumerate(sums(right)) if (2 * (c + x) > both + left) != (2 * (c + y) > both + right))
+
+    shares = [share(c, x, y) for c in range(1, 41) for x in range(11) for y in range(x, 11) if x + y and 5 * c >= 4 * (c + x + y)]
+    assert max(shares) == simhash.LARGEST_SHARE
+    assert simhash.WIDE_RADIUS == simhash.safe_radius(256, simhash.LARGEST_SHARE, 1e-9) < 96
+
+
 # ---- toxicity ------------------------------------------------------------------------------
 
 
