@@ -15,7 +15,8 @@ text exactly.
 
 Within a chunk, paths must pass the places between a non-mark and a mark (▁, the space), as no
 piece crosses them. The text between two such places is a word; the path through a word is found
-once and kept.
+once and kept. Nor does a piece cross a border of letters and other characters, so that a word's
+parts are found apart.
 """
 
 from __future__ import annotations
@@ -23,24 +24,30 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import cut, slices
+from orograph.llm.common import as_bytes, cut, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of a chunk; longer texts are giant.
 CHUNK = 32_768
-#: Words whose path a Python worker keeps.
-KEPT_WORDS = 300_000
+#: Words whose path a Python worker keeps in each of two generations; a word that is used again moves to the younger.
+KEPT_WORDS = 200_000
+#: Chunks that travel in one batch.
+SENT = 64
 
 #: Words: marks and what follows them.
 _WORD = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Parts of a word: letters, or none, each with the marks before it.
+_PART = re.compile(rf"{MARK}*[^\W\d_]+|{MARK}*(?:(?!{MARK})[\W\d_])+|{MARK}+")
 #: Stands for a true U+2581 of a text while it is encoded; no valid text holds it.
 TRUE_MARK = "\udc81"
 NEG = -np.inf
@@ -68,13 +75,23 @@ class Pieces:
         self.longest = max(map(len, self.piece))
         #: What a piece begins with: () unless it is a piece itself.
         self.begins = {t[:n]: self.piece.get(t[:n], ()) for t in self.piece for n in range(1, len(t) + 1)}
+        # no piece crosses the parts of a word, in most vocabularies
+        self.apart = all(len(_PART.findall(t)) == 1 for t in self.piece)
+        self.chars = {t for t in self.piece if len(t) == 1}
+        self.finder = ahocorasick.Automaton()
+        for t, (s, i) in self.piece.items():
+            self.finder.add_word(t, (len(t), s, i))
+        self.finder.make_automaton()
+        #: Paths of words, of words that follow a single space, and of parts: the younger generation and the elder.
         self.known: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.elder: dict[int, dict[str, bytes]] = {}
         self.of_byte = {i: b for b, i in self.byte.items()}
         # a byte that begins a character bears the cost of the character
         self.cost = np.array([(self.unknown if self.of_byte[i] & 0xC0 != 0x80 else 0.0) if i in self.of_byte else self.piece.get(t, (0.0, 0))[0] for i, t in enumerate(self.text)])
-        # bytes that are a character by themselves, or text; None for parts of characters
-        self.plain = [(chr(self.of_byte[i]) if self.of_byte[i] < 128 else None) if i in self.of_byte else t.replace(MARK, " ") for i, t in enumerate(self.text)]
+        #: The bytes of each piece.
+        self.plain = pa.array([bytes([self.of_byte[i]]) if i in self.of_byte else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)], pa.large_binary())
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte[b] for b in (MARK if char == TRUE_MARK else char).encode()]
@@ -108,13 +125,33 @@ class Pieces:
 
     def best(self, word: str) -> list[int]:
         n = len(word)
-        return self.path(word, self.lattice(word, {0: 0.0}, n, n)[1], n, 0)
+        if not self.chars.issuperset(word):
+            return self.path(word, self.lattice(word, {0: 0.0}, n, n)[1], n, 0)
+        # all pieces in the word, by their ends and the longest first
+        total, back = [0.0] + [NEG] * n, [(0, 0)] * (n + 1)
+        for last, (size, s, k) in self.finder.iter(word):
+            start = last + 1 - size
+            if (here := total[start] + s) > total[last + 1]:
+                total[last + 1], back[last + 1] = here, (start, k)
+        ids = []
+        while n:
+            n, k = back[n]
+            ids.append(k)
+        return ids[::-1]
 
     def keep(self, kept: dict[str, bytes], word: str, key: str) -> bytes:
         """The ids of a whole word as int32 bytes, kept unless the word is long."""
-        ids = np.array(self.best(word), np.int32).tobytes()
+        elder = self.elder.setdefault(id(kept), {})
+        ids = elder.get(key)
+        if ids is None:
+            parts = _PART.findall(word) if self.apart and kept is not self.parts else ()
+            if len(parts) > 1:
+                ids = b"".join([self.parts.get(x) or self.keep(self.parts, x, x) for x in parts])
+            else:
+                ids = np.array(self.best(word), np.int32).tobytes()
         if len(word) <= 64:
             if len(kept) >= KEPT_WORDS:
+                self.elder[id(kept)] = dict(kept)
                 kept.clear()
             kept[key] = ids
         return ids
@@ -138,16 +175,15 @@ class Pieces:
         """The total of a marked text's ids; a run of byte pieces is as many unknown characters as it encodes."""
         return float(self.cost[ids].sum())
 
-    def decode(self, ids: Iterable[int]) -> str:
-        plain, of_byte = self.plain, self.of_byte
-        try:
-            out = "".join([plain[i] for i in ids])
-        except TypeError:
-            parts: list[bytes] = []
-            for i in ids:
-                parts.append(bytes([of_byte[i]]) if plain[i] is None else plain[i].encode())
-            out = b"".join(parts).decode("utf-8", "replace")
-        return out[1:] if out[:1] == " " else out
+    def decode(self, ids: list[bytes | None]) -> Iterator[memoryview | None]:
+        """The bytes of the text that each row of int32 bytes stands for."""
+        found = self.plain.take(pa.array(np.frombuffer(b"".join(x or b"" for x in ids), np.int32)))
+        ends = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1]
+        data, at = memoryview(found.buffers()[2] or b"").cast("B"), 0
+        for x, stop in zip(ids, ends[np.cumsum([len(x or b"") // 4 for x in ids], dtype=np.int64)].tolist(), strict=True):
+            # the space that was put before the text goes
+            yield None if x is None else data[at + (stop > at and data[at] == 32) : stop]
+            at = stop
 
     # ---- chunks ---------------------------------------------------------------------------
 
@@ -261,10 +297,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         p = pieces(model_file)
         for batch in batches:
             for part in slices(batch, 1):
-                texts = part.column(1).to_pylist()
-                ids = [None if t is None else p.encode(t) for t in texts]
+                ids = [None if t is None else p.encode(t) for t in part.column(1).to_pylist()]
                 n = [None if x is None else len(x) // 4 for x in ids]
-                same = [None if x is None else p.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(ids, texts, strict=True)]
+                same = [None if x is None else x == t for x, t in zip(p.decode(ids), as_bytes(part.column(1)), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), pa.array(n, pa.int64()), pa.array(same, pa.bool_())], ["id", "ids", "n_tokens", "round_trip"])
 
     schema = f"id {kind}, ids array<int>, n_tokens long, round_trip boolean"
@@ -282,15 +317,19 @@ def encode_giant(texts: DataFrame, model_file: str, chunk: int) -> DataFrame:
 
     def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ahead = pieces(model_file).longest - 1
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = marked(text.as_py())
-                last = max(0, (len(text) - 1) // chunk)
-                for n in range(last + 1):
-                    part = text[n * chunk : (n + 1) * chunk + ahead]
-                    own = min(chunk, len(text) - n * chunk)
-                    part = part.encode("utf-8", "surrogatepass")
-                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([n], pa.int32()), pa.array([last], pa.int32()), pa.array([own], pa.int32()), pa.array([part], pa.binary())], ["key", "n", "last", "own", "part"])
+        schema = pa.schema([("key", pa.string()), ("n", pa.int32()), ("last", pa.int32()), ("own", pa.int32()), ("part", pa.binary())])
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    text = marked(text.as_py())
+                    last = max(0, (len(text) - 1) // chunk)
+                    for n in range(last + 1):
+                        part = text[n * chunk : (n + 1) * chunk + ahead]
+                        yield key, n, last, min(chunk, len(text) - n * chunk), part.encode("utf-8", "surrogatepass")
+
+        for some in batched(rows(), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
 
     split = texts.mapInArrow(chunks, "key string, n int, last int, own int, part binary")
     split = cut(split.repartition(F.col("key"), F.col("n")))
@@ -343,8 +382,8 @@ def decode_column(model_file: str = MODEL):
 
     @F.pandas_udf("string")
     def decoded(ids: pd.Series) -> pd.Series:
-        p = pieces(model_file)
-        return pd.Series([None if x is None else p.decode(np.asarray(x).tolist()) for x in ids], dtype=object)
+        found = pieces(model_file).decode([None if x is None else np.asarray(x, np.int32).tobytes() for x in ids])
+        return pd.Series([None if x is None else str(x, "utf-8", "replace") for x in found], dtype=object)
 
     return decoded
 

@@ -119,6 +119,32 @@ def test_pieces_round_trip_and_chunks(docs, nothing):
     for k, r in whole.items():
         assert r["ids"] == cut[k]["ids"] and r["round_trip"] is (None if k[0] == 3 else True)
     assert sentencepiece.encode(nothing).count() == 0
+    texts = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    assert Counter((r["doc_id"], r["text"]) for r in sentencepiece.decode(sentencepiece.encode(docs)).collect()) == texts
+    assert [r["text"] for r in sentencepiece.decode(docs.limit(1).selectExpr("doc_id", "cast(null as array<int>) as ids")).collect()] == [None]
+
+
+def test_pieces_against_all_segmentations():
+    p = sentencepiece.pieces(sentencepiece.MODEL)
+
+    def totals(marked: str) -> list[float]:
+        """Of every segmentation into pieces and unknown characters."""
+        if not marked:
+            return [0.0]
+        out = []
+        for n in range(1, len(marked) + 1):
+            here = p.piece[marked[:n]][0] if marked[:n] in p.piece else p.unknown if n == 1 else None
+            if here is not None:
+                out += [here + x for x in totals(marked[n:])]
+        return out
+
+    r = random.Random(8)
+    some = ["hello world", "don't stop", "a,b.c\nd", "  two  ", "x\u2581y", "\u0001\u0002a", "łódź größe", "the_end(x)", "snake__case", "$_x ._y", "1234 5,6"]
+    some += ["".join(r.choice("aetinsro ,.\n_9é\u2581\u4e2d\U0001f600") for _ in range(r.randint(1, 12))) for _ in range(150)]
+    for t in some:
+        ids = np.frombuffer(p.encode(t), np.int32)
+        assert p.score(ids) == max(totals(sentencepiece.marked(t))), t
+        assert bytes(next(p.decode([ids.tobytes()]))).decode() == t
 
 
 # ---- decontamination -----------------------------------------------------------------------
