@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a new local one, on one machine (local mode) only."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
@@ -95,16 +97,18 @@ def word_blocks(text: bytes | None, carry: int = 0, size: int = BLOCK_BYTES) ->
         if words := text.split():
             yield words
         return
-    at, tail = 0, []
+    at, tail, more = 0, [], False
     while at < len(text):
         found = _SPACE.search(text, min(at + size, len(text)))
         end = found.start() if found else len(text)
         words = text[at:end].split()
         at = end + 1
-        if words:
-            tail += words
+        tail += words
+        more |= bool(words)
+        # too few words wait for the next block, so that those carried never come alone
+        if more and (len(tail) > carry or at >= len(text)):
             yield tail
-            tail = tail[len(tail) - carry :] if carry else []
+            tail, more = tail[-carry:] if carry else [], False
 
 
 def text_blocks(text: str | None, size: int = BLOCK_BYTES) -> Iterator[str]:
