@@ -2,24 +2,23 @@
 
 A target and a background bigram model share one vocabulary: all words of all documents. Each
 token's loss under the target model less that under the background model, averaged, scores a
-document: the lower, the more like the target (Moore and Lewis).
+document: the lower, the more like the target (Moore and Lewis). The background holds all
+documents that aren't in the target, and a document's own n-grams are taken off the counts of its
+model before it is scored, so that no document is told by itself.
 
 Nothing is capped or hashed together: n-grams travel as text. Documents are packed into chunks
-with their own dictionaries; each chunk sends its different n-grams once, with their counts, to
-the buckets of their hashes, which send the totals back in the same order. So a common n-gram
-costs a bucket one entry a chunk, and no task holds more than a chunk or a bucket.
-
-Given both n_words and n_slots, bounded models are counted instead: the most frequent words,
-everything else being one unknown word, and bigrams hashed to slots.
+with their own dictionaries; each chunk sends its different n-grams once, in alphabetical order
+and with their counts, to the buckets of their hashes, which send the totals back in the same
+order. So a common n-gram costs a bucket one entry a chunk, and no task holds more than a chunk
+or a bucket.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,153 +31,55 @@ from orograph.llm.common import as_bytes, cut, slices, spans, stored, text_block
 
 #: Bytes of text that are packed into a chunk.
 PACKED = 1 << 23
-#: Buckets of n-grams.
-BUCKETS = 1 << 10
+#: Buckets of n-grams, at least; more than eight times as many chunks have an eighth of their number.
+BUCKETS = 128
+#: Buckets that the pairs of one first word go to, at most.
+SPREAD = 4
+#: Of Zstandard.
+LEVEL = 3
 #: Dirichlet smoothing of a bigram by the unigram, in counts.
 MU = 200.0
-#: Counts that travel in one row.
-CHUNK = 1 << 14
-#: Different words that a task counts before it passes them on.
-HELD = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) over all texts, counted in each task first."""
+def squeezed(data: bytes) -> bytes:
+    """Zstandard, after the eight bytes of the length."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["word", "n"])
 
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                for part in text_blocks(text.decode("utf-8", "replace") if text else None):
-                    counts.update(_WORD.findall(part.lower()))
-            if len(counts) > HELD:
-                yield rows(counts)
-                counts.clear()
-        if counts:
-            yield rows(counts)
-
-    texts = docs.select(F.col(text_col).cast("string"))
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, text_col: str, most: int) -> list[str]:
-    """The most frequent words, as many as whole count classes (sixteenths of a power of two) allow, by count and name."""
-    counts = cut(word_counts(docs, text_col).where("n > 1"))
-    level = F.floor(F.log2("n") * 16).cast("int")
-    sizes = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
-    total, least = 0, None
-    for at, words in sizes:
-        total += words
-        if total >= most:
-            break
-        least = at
-    if least is None:
-        return []
-    return [r["word"] for r in sorted(counts.where(level >= least).collect(), key=lambda r: (-r["n"], r["word"]))]
-
-
-def word_ids(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
-    """(id, ids): the vocabulary numbers of each whole text, two bytes each; empty for null."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = {w: i for i, w in enumerate(shared.value, 1)}.get
-        for batch in batches:
-            out = []
-            for text in as_bytes(batch.column(1)):
-                parts = []
-                for part in text_blocks(text.decode("utf-8", "replace") if text else None):
-                    parts.append(np.fromiter(map(get, _WORD.findall(part.lower()), repeat(0)), np.uint16).tobytes())
-                out.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "ids"])
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.dtypes[0][1]}, ids binary")
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of four bytes, squeezed byte by byte: the high ones are mostly zero."""
+    return squeezed(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
 
-def slots(before: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    """The slot of each bigram; word numbers are below 2^16."""
-    x = before.astype(np.uint64) << np.uint64(16) | word.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(29))) % np.uint64(n)).astype(np.int64)
 
+def from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(unsqueezed(data), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0]
 
-def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words of all rows one after another, word before each or 0 at a start, words of each row)."""
-    parts = as_bytes(column)
-    words = np.frombuffer(b"".join(parts), np.uint16)
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
-    before = np.concatenate([np.zeros(1, np.uint16), words[:-1]]) if len(words) else words.copy()
-    starts = (np.cumsum(size) - size)[size > 0]
-    before[starts] = 0
-    return words, before, size
 
+def lines(words: pa.Array) -> bytes:
+    """Words, each with a line end."""
+    ended = pc.binary_join_element_wise(words, *(pa.scalar(x, words.type) for x in ("\n", "")))
+    ends = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
+    return ended.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if len(ended) else b""
 
-def counts(ids: DataFrame, target: str, n_words: int, n_slots: int) -> np.ndarray:
-    """Row 0: background counts of words, then of slots; row 1: those of rows where target is true.
 
-    Tasks count all their rows, send the counts in chunks, and add up the chunks that they are
-    dealt as these come; no task holds more than its chunks.
-    """
-    width = n_words + n_slots
-    pieces = -(-width // CHUNK)
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, pieces * CHUNK), np.int64)
-        for batch in (part for whole in batches for part in slices(whole, 0)):
-            words, before, size = joined(batch.column(0))
-            if not len(words):
-                continue
-            chosen = np.repeat(np.asarray(batch.column(1).to_pylist(), bool), size)
-            at = slots(before, words, n_slots)
-            total[0, :n_words] += np.bincount(words, minlength=n_words)
-            total[0, n_words:width] += np.bincount(at, minlength=n_slots)
-            if chosen.any():
-                total[1, :n_words] += np.bincount(words[chosen], minlength=n_words)
-                total[1, n_words:width] += np.bincount(at[chosen], minlength=n_slots)
-        for k in range(pieces):
-            part = total[:, k * CHUNK : (k + 1) * CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["k", "n"])
-
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(n, np.int64).reshape(2, CHUNK)
-                total[k] = total[k] + part if k in total else part
-        for k, part in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["k", "n"])
-
-    partial = ids.select("ids", target).mapInArrow(count, "k int, n binary")
-    summed = partial.repartition(F.col("k")).mapInArrow(add, "k int, n binary")
-    out = np.zeros((2, pieces * CHUNK), np.int64)
-    for r in summed.collect():
-        out[:, r["k"] * CHUNK : (r["k"] + 1) * CHUNK] = np.frombuffer(r["n"], np.int64).reshape(2, CHUNK)
-    return out[:, :width]
-
-
-def losses(words: np.ndarray, before: np.ndarray, counted: np.ndarray, n_words: int) -> np.ndarray:
-    """Nats of loss of each word after the one before it."""
-    unigram, bigram = counted[:n_words], counted[n_words:]
-    p = (unigram + 1.0) / (unigram.sum() + n_words)
-    context = unigram[before]
-    pair = np.minimum(bigram[slots(before, words, len(bigram))], context)
-    return -np.log((pair + MU * p[words]) / (context + MU))
-
-
-def squeezed(data: bytes | pa.Buffer) -> bytes:
-    """Zstandard, after the eight bytes of the length."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+def from_lines(data: bytes) -> pa.Array:
+    """The words of lines."""
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    at = pa.py_buffer(np.concatenate([[0], ends + 1]).astype(np.int64).tobytes())
+    whole = pa.Array.from_buffers(pa.large_string(), len(ends), [None, at, pa.py_buffer(data)])
+    return pc.utf8_rtrim(whole, "\n")
 
 
-def unsqueezed(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+def grams_of(words: pa.Array, first: pa.Array, runs: np.ndarray, second: pa.Array) -> pa.Array:
+    """The words, and the pairs: each of the first words with as many of the second as its run."""
+    both = pc.binary_join_element_wise(first.take(pa.array(np.repeat(np.arange(len(runs)), runs))), second, pa.scalar(" ", pa.large_string()))
+    return pa.concat_arrays([words, both])
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -194,16 +95,20 @@ def packed(rows: DataFrame) -> DataFrame:
                 parts = [np.fromiter(map(index.__getitem__, _WORD.findall(part.lower())), np.uint32) for part in text_blocks(text.decode("utf-8", "replace") if text else None)]
                 words += parts
                 size.append(sum(map(len, parts)))
-            flat = np.concatenate(words).tobytes() if words else b""
+            # numbered by the alphabet, so that n-grams that stand together have much in common
+            names = sorted(index)
+            number = np.empty(len(names), np.uint32)
+            number[[index[w] for w in names]] = np.arange(len(names), dtype=np.uint32)
+            flat = number[np.concatenate(words)] if words else number[:0]
             ends = pa.array([0, batch.num_rows], pa.int32())
             lists = [pa.ListArray.from_arrays(ends, c) for c in (batch.column(0), pa.array(size, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists, pa.array([squeezed(flat)], pa.binary()), pa.array([" ".join(index)], pa.string())], ["chunk", "ids", "size", "words", "names"])
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists, pa.array([planes(flat)], pa.binary()), pa.array([squeezed(" ".join(names).encode())], pa.binary())], ["chunk", "ids", "size", "words", "names"])
             at += 1
 
-    return rows.mapInArrow(run, f"chunk long, ids array<{rows.dtypes[0][1]}>, size array<long>, words binary, names string")
+    return rows.mapInArrow(run, f"chunk long, ids array<{rows.dtypes[0][1]}>, size array<long>, words binary, names binary")
 
 
-def numbered(words: np.ndarray, size: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def numbered(words: np.ndarray, size: np.ndarray, names: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens that follow another, different pairs, number of the pair of each such token, order of words and then pairs by bucket, buckets in that order)."""
     follows = np.ones(len(words), bool)
     follows[(np.cumsum(size) - size)[size > 0]] = False
@@ -212,132 +117,138 @@ def numbered(words: np.ndarray, size: np.ndarray, names: list[str]) -> tuple[np.
     h = np.fromiter((zlib.crc32(w.encode()) for w in names), np.uint64, len(names))
     first, second = np.divmod(pairs, max(1, len(names)))
     # pairs of one first word go to few buckets, where they stand together and squeeze well
-    x = np.concatenate([h, (h[first] << np.uint64(4) | h[second] % np.uint64(16)) + np.uint64(1 << 40)]) * np.uint64(0x9E3779B97F4A7C15)
+    x = np.concatenate([h, (h[first] << np.uint64(4) | h[second] % np.uint64(SPREAD)) + np.uint64(1 << 40)]) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    bucket = ((x >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int32)
+    bucket = ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     return at, pairs, pair, order, bucket[order]
 
 
-def gram_counts(chunks: DataFrame) -> DataFrame:
-    """(chunk, bucket, grams, target, n): the n-grams of a chunk, each with a line end, and their counts, four bytes each; all squeezed."""
+def gram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, bucket, n_words, words, first, runs, second, target, n): the n-grams of a chunk and bucket, see grams_of(), and their counts; all squeezed."""
+    names_of = ["chunk", "bucket", "words", "first", "runs", "second", "target", "n"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                names = batch.column(4)[r].as_py().split()
+                names = unsqueezed(batch.column("names")[r].as_py()).decode().split()
                 if not names:
                     continue
-                size = np.asarray(batch.column(2)[r].values)
-                words = np.frombuffer(unsqueezed(batch.column(3)[r].as_py()), np.uint32)
+                size = np.asarray(batch.column("size")[r].values)
+                words = from_planes(batch.column("words")[r].as_py())
                 flags = np.zeros(len(size), bool)
-                flags[np.asarray(batch.column(1)[r].as_py() or [], np.int64)] = True
+                flags[np.asarray(batch.column("chosen")[r].as_py() or [], np.int64)] = True
                 chosen = np.repeat(flags, size)
-                at, pairs, pair, order, bucket = numbered(words, size, names)
-                total = [np.concatenate([np.bincount(words[k], minlength=len(names)), np.bincount(pair[k[at]], minlength=len(pairs))])[order].astype(np.uint32) for k in (chosen, np.ones(len(words), bool))]
+                at, pairs, pair, order, bucket = numbered(words, size, names, buckets)
+                total = [np.concatenate([np.bincount(words[k], minlength=len(names)), np.bincount(pair[k[at]], minlength=len(pairs))])[order] for k in (chosen, np.ones(len(words), bool))]
                 text = pa.array(names, pa.large_string())
                 first, second = np.divmod(pairs, len(names))
-                nothing, space, end = (pa.scalar(x, pa.large_string()) for x in ("", " ", "\n"))
-                ended = pc.binary_join_element_wise(text, end, nothing)
-                grams = pa.concat_arrays([ended, pc.binary_join_element_wise(text.take(pa.array(first)), ended.take(pa.array(second)), space)]).take(pa.array(order))
+                parts: list[list[bytes]] = [[] for _ in range(6)]
                 runs = spans(bucket)
-                ends = np.frombuffer(grams.buffers()[1], np.int64)[: len(grams) + 1].tolist()
-                data = grams.buffers()[2]
-                parts = [[squeezed(data[ends[a] : ends[b]]) for a, b in runs], *[[squeezed(n[a:b].tobytes()) for a, b in runs] for n in total]]
+                for a, b in runs:
+                    own = order[a:b]
+                    own, both = own[own < len(names)], own[own >= len(names)] - len(names)
+                    heads = first[both]
+                    starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]][: len(heads)])
+                    parts[0].append(squeezed(lines(text.take(pa.array(own)))))
+                    parts[1].append(squeezed(lines(text.take(pa.array(heads[starts])))))
+                    parts[2].append(planes(np.diff(np.r_[starts, len(heads)])))
+                    parts[3].append(squeezed(lines(text.take(pa.array(second[both])))))
+                    for k, n in enumerate(total):
+                        parts[4 + k].append(planes(n[a:b]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[r].as_py()] * len(runs), pa.int64()), pa.array([bucket[a] for a, _ in runs], pa.int32()), *[pa.array(x, pa.binary()) for x in parts]],
-                    ["chunk", "bucket", "grams", "target", "n"],
+                    [pa.array([batch.column("chunk")[r].as_py()] * len(runs), pa.int64()), pa.array([bucket[a] for a, _ in runs], pa.int32()), *[pa.array(x, pa.binary()) for x in parts]], names_of
                 )
 
-    return chunks.select("chunk", "chosen", "size", "words", "names").mapInArrow(run, "chunk long, bucket int, grams binary, target binary, n binary")
+    return chunks.mapInArrow(run, "chunk long, bucket int, words binary, first binary, runs binary, second binary, target binary, n binary")
 
 
 def gram_totals(counted: DataFrame) -> DataFrame:
     """(chunk, bucket, target, n): for each n-gram of a chunk and bucket its counts over all chunks, eight bytes each, squeezed."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [unsqueezed(x) for x in t.column("grams").to_pylist()]
-        data = b"".join(parts)
-        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
-        starts = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes())
-        grams = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, starts, pa.py_buffer(data)])
-        at = np.asarray(grams.dictionary_encode().indices)
-        edge = np.searchsorted(ends, np.cumsum([len(x) for x in parts]), "right").tolist()
+        columns = [t.column(c).to_pylist() for c in ("words", "first", "runs", "second", "target", "n")]
+        grams = [grams_of(from_lines(unsqueezed(w)), from_lines(unsqueezed(f)), from_planes(r), from_lines(unsqueezed(s))) for w, f, r, s in zip(*columns[:4], strict=True)]
+        edge = np.cumsum([0, *map(len, grams)]).tolist()
+        at = np.asarray(pa.concat_arrays(grams).dictionary_encode().indices)
         out = []
-        for c in ("target", "n"):
+        for c in columns[4:]:
             total = np.zeros(int(at.max()) + 1, np.int64)
-            np.add.at(total, at, np.frombuffer(b"".join(map(unsqueezed, t.column(c).to_pylist())), np.uint32).astype(np.int64))
+            np.add.at(total, at, np.concatenate([from_planes(x) for x in c]).astype(np.int64))
             whole = total[at]
-            out.append(pa.array([squeezed(whole[a:b].tobytes()) for a, b in zip([0, *edge], edge, strict=False)], pa.binary()))
+            out.append(pa.array([squeezed(whole[a:b].tobytes()) for a, b in zip(edge, edge[1:], strict=False)], pa.binary()))
         return pa.table([t.column("chunk"), t.column("bucket"), *out], ["chunk", "bucket", "target", "n"])
 
     return counted.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, target binary, n binary")
 
 
-def scored(chunks: DataFrame, totals: DataFrame, id_col: str, n_tokens: tuple[int, int], n_words: int) -> DataFrame:
+def own_counts(owner: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """How often each token's n-gram occurs in the token's own document."""
+    _, at, n = np.unique(owner * (int(gram.max(initial=0)) + 1) + gram, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def scored(chunks: DataFrame, totals: DataFrame, id_col: str, n_tokens: tuple[int, int], n_words: int, buckets: int) -> DataFrame:
     """The rows of cross_entropy_difference; n_tokens: of the target and of all, n_words: different ones and the unknown word."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, size = left.column("ids").combine_chunks().values, np.asarray(left.column("size").combine_chunks().values)
-        words = np.frombuffer(unsqueezed(left.column("words")[0].as_py()), np.uint32)
+        words = from_planes(left.column("words")[0].as_py())
         sums = [np.zeros(len(size))] * 2
         if len(words):
-            names = left.column("names")[0].as_py().split()
-            at, _, pair, order, _ = numbered(words, size, names)
+            names = unsqueezed(left.column("names")[0].as_py()).decode().split()
+            at, _, pair, order, _ = numbered(words, size, names, buckets)
             right = right.sort_by("bucket")
             owner = np.repeat(np.arange(len(size)), size)
+            mine = np.zeros(len(size), bool)
+            mine[np.asarray(left.column("chosen")[0].as_py() or [], np.int64)] = True
+            total = np.empty((2, len(order)), np.int64)
             for m, c in enumerate(("target", "n")):
-                total = np.empty(len(order), np.int64)
-                total[order] = np.frombuffer(b"".join(map(unsqueezed, right.column(c).to_pylist())), np.int64)
-                unigram, bigram = total[: len(names)], total[len(names) :]
-                p = ((unigram + 1.0) / (n_tokens[m] + n_words))[words]
+                total[m, order] = np.frombuffer(b"".join(map(unsqueezed, right.column(c).to_pylist())), np.int64)
+            total[1] -= total[0]
+            own, own_pair = own_counts(owner, words), own_counts(owner[at], pair)
+            for m, tokens in enumerate((n_tokens[0], n_tokens[1] - n_tokens[0])):
+                # whose counts hold the document itself
+                self_ = mine if m == 0 else ~mine
+                off = self_[owner]
+                unigram, bigram = total[m, : len(names)][words] - own * off, total[m, len(names) :][pair] - own_pair * off[at]
+                p = (unigram + 1.0) / (tokens - (size * self_)[owner] + n_words)
                 loss = -np.log(p)
-                loss[at] = -np.log((bigram[pair] + MU * p[at]) / (unigram[words[at - 1]] + MU))
+                loss[at] = -np.log((bigram + MU * p[at]) / (unigram[at - 1] + MU))
                 sums[m] = np.bincount(owner, loss, len(size)) / np.maximum(size, 1)
         return pa.table([ids, pa.array(size), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[0] - sums[1])], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
 
     id_type = dict(chunks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
     schema = f"`{id_col}` {id_type}, n_tokens long, target_loss double, background_loss double, score double"
-    return chunks.select("chunk", "ids", "size", "words", "names").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(run, schema)
+    return chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def different_words(chunks: DataFrame) -> int:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(unsqueezed(names).decode().split(), pa.string())], ["w"])
 
+    return chunks.select("names").mapInArrow(run, "w string").distinct().count()
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int | None = None, n_slots: int | None = None) -> DataFrame:
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, target_loss, background_loss, score) for every row of docs.
 
     target_ids: ids (column id_col) of the documents that the target model is counted from; the
-    background model is counted from all. Losses are nats a token, score their difference; the
-    first word of a text is told by its unigram. A text without words (null, empty) has 0 tokens
-    and zeros. Null ids are scored and belong to the background. Repeated rows each count and get
-    their row; repeated target ids count once. Columns beside those named are ignored. Texts of
-    any length are read whole. All words and bigrams count, however many there are; given both
-    n_words and n_slots, bounded models do.
+    background model is counted from all others, and neither from the row that is scored. Losses are
+    nats a token, score their difference; the first word of a text is told by its unigram. A text
+    without words (null, empty) has 0 tokens and zeros. Null ids are scored and belong to the
+    background. Repeated rows each count and get their row; repeated target ids count once. Columns
+    beside those named are ignored. Texts of any length are read whole. All words and bigrams count,
+    however many there are.
     """
-    chosen = target_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("chosen", F.lit(True))
-    if n_words and n_slots:
-        return bounded(docs, chosen, id_col, text_col, n_words, n_slots)
+    chosen = target_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     chunks = stored(packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))), "lm-chunks")
     rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "size")).alias("at", "d")).select("chunk", "at", F.col("d.ids").alias("id"), F.col("d.size").alias("size"))
     flags = cut(rows.join(chosen.hint("merge"), "id").groupBy("chunk").agg(F.collect_list("at").alias("chosen"), F.sum("size").alias("tokens")))
     n_tokens = [df.agg(F.sum(c)).first()[0] or 0 for df, c in ((flags, "tokens"), (rows, "size"))]
-    n_names = chunks.select(F.explode(F.split("names", " ")).alias("w")).where("w <> ''").distinct().count()
-    counted = gram_counts(chunks.join(flags, "chunk", "left"))
-    return scored(chunks, gram_totals(counted), id_col, (n_tokens[0], n_tokens[1]), n_names + 1)
-
-
-def bounded(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, n_words: int, n_slots: int) -> DataFrame:
-    """cross_entropy_difference by models of a fixed size."""
-    words = vocabulary(docs, text_col, n_words - 1)
-    ids = stored(word_ids(docs, id_col, text_col, words), "word-ids")
-    flagged = ids.join(chosen.hint("merge"), "id", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
-    counted = counts(flagged, "chosen", n_words, n_slots)
-    shared = docs.sparkSession.sparkContext.broadcast(counted.astype(np.float64 if counted.max() > 1 << 24 else np.float32))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = shared.value
-        for batch in (part for whole in batches for part in slices(whole, 1)):
-            words, before, size = joined(batch.column(1))
-            owner = np.repeat(np.arange(len(size)), size)
-            out = [np.bincount(owner, losses(words, before, both[m], n_words), len(size)) / np.maximum(size, 1) for m in (1, 0)] if len(words) else [np.zeros(len(size))] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(out[0]), pa.array(out[1]), pa.array(out[0] - out[1])], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
-
-    return ids.select("id", "ids").mapInArrow(run, f"`{id_col}` {ids.dtypes[0][1]}, n_tokens long, target_loss double, background_loss double, score double")
+    buckets = max(BUCKETS, chunks.count() // 8)
+    # both steps read the same columns, so that the chunks are shuffled once for both
+    flagged = chunks.join(flags.drop("tokens"), "chunk", "left").select("chunk", "ids", "size", "words", "names", "chosen")
+    return scored(flagged, gram_totals(gram_counts(flagged, buckets)), id_col, (n_tokens[0], n_tokens[1]), different_words(chunks) + 1, buckets)

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from orograph.llm import decontam, langid, licences, lmscore, sentencepiece, shards, simhash, toxicity, urlfilter, vectors
 from orograph.llm.common import components
 
@@ -48,35 +50,6 @@ def test_components(spark):
 # ---- LM scoring ----------------------------------------------------------------------------
 
 
-def test_lm_score_against_counts(spark, docs):
-    chosen = spark.createDataFrame([(1,), (1,), (6,), (None,)], "doc_id long")
-    got = lmscore.cross_entropy_difference(docs, chosen, n_words=64, n_slots=1 << 14).collect()
-    rows = [(r["doc_id"], lmscore._WORD.findall((r["text"] or "").lower())) for r in docs.collect()]
-    words = lmscore.vocabulary(docs, "text", 63)
-    number = {w: i for i, w in enumerate(words, 1)}
-    assert words and len(words) < 64
-    models = []
-    for keep in (lambda i: i in (1, 6), lambda i: True):
-        uni, big = np.zeros(64), np.zeros(1 << 14)
-        for i, ws in rows:
-            ids = [number.get(w, 0) for w in ws]
-            if keep(i):
-                for a, b in zip([0, *ids], ids, strict=False):
-                    uni[b] += 1
-                    big[lmscore.slots(np.array([a]), np.array([b]), 1 << 14)[0]] += 1
-        models.append((uni, big))
-    want = Counter()
-    for i, ws in rows:
-        ids, loss = [number.get(w, 0) for w in ws], [0.0, 0.0]
-        for a, b in zip([0, *ids], ids, strict=False):
-            for m, (uni, big) in enumerate(models):
-                pair = min(big[lmscore.slots(np.array([a]), np.array([b]), 1 << 14)[0]], uni[a])
-                loss[m] -= math.log((pair + lmscore.MU * (uni[b] + 1) / (uni.sum() + 64)) / (uni[a] + lmscore.MU))
-        n = max(1, len(ids))
-        want[i, len(ids), round(loss[0] / n, 4), round(loss[1] / n, 4)] += 1
-    assert Counter((r["doc_id"], r["n_tokens"], round(r["target_loss"], 4), round(r["background_loss"], 4)) for r in got) == want
-
-
 def test_lm_score_keeps_every_word_and_bigram(spark, docs):
     many = [(100 + i, " ".join(f"w{j}" for j in range(i * 9_000, i * 9_000 + 12_000)) + " rare pair") for i in range(4)]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(many, "doc_id long, text string")).repartition(5)
@@ -86,20 +59,18 @@ def test_lm_score_keeps_every_word_and_bigram(spark, docs):
     n_words = len({w for _, ws in rows for w in ws}) + 1
     assert n_words > 32_768
     want: Counter = Counter()
-    models = []
-    for chosen in (keep, None):
-        uni, big = Counter(), Counter()
-        for i, ws in rows:
-            if chosen is None or i in chosen:
-                uni.update(ws)
-                big.update(zip(ws, ws[1:], strict=False))
-        models.append((uni, big, sum(uni.values()) + n_words))
-    for i, ws in rows:
+    for k, (i, ws) in enumerate(rows):
         loss = [0.0, 0.0]
-        for m, (uni, big, total) in enumerate(models):
-            for k, w in enumerate(ws):
+        for m in (0, 1):
+            uni, big = Counter(), Counter()
+            for j, (other, their) in enumerate(rows):
+                if j != k and (other in keep) == (m == 0):
+                    uni.update(their)
+                    big.update(zip(their, their[1:], strict=False))
+            total = sum(uni.values()) + n_words
+            for n, w in enumerate(ws):
                 p = (uni[w] + 1) / total
-                loss[m] -= math.log((big[ws[k - 1], w] + lmscore.MU * p) / (uni[ws[k - 1]] + lmscore.MU) if k else p)
+                loss[m] -= math.log((big[ws[n - 1], w] + lmscore.MU * p) / (uni[ws[n - 1]] + lmscore.MU) if n else p)
         n = max(1, len(ws))
         want[i, len(ws), round(loss[0] / n, 6), round(loss[1] / n, 6)] += 1
     assert Counter((r["doc_id"], r["n_tokens"], round(r["target_loss"], 6), round(r["background_loss"], 6)) for r in got) == want
@@ -174,7 +145,7 @@ def test_matcher_against_dynamic_programming():
         assert decontam.Matcher([decontam.Item(1, p, k)]).search(t) == ({0: d} if d <= k else {})
 
 
-def test_decontamination(spark, docs, nothing):
+def test_decontamination(spark, docs, nothing, monkeypatch):
     item = " ".join(text(3, 30_000).split()[20_000:20_030])
     items = spark.createDataFrame([(1, item), (2, text(77)), (3, None), (4, "!!"), (None, "x"), (5, text(1).upper())], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.matches(docs, items).collect()}
@@ -182,6 +153,13 @@ def test_decontamination(spark, docs, nothing):
     kept = decontam.clean(docs, items)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "5", "7", "8", "None"]
     assert decontam.matches(nothing, items).count() == 0 and decontam.matches(docs, items.limit(0)).count() == 0
+    named = items.selectExpr("concat('item ', item_id) as item_id", "text").union(spark.createDataFrame([("item 5", text(1)[5:] + "x"), ("item 5", text(1)[:-2])], "item_id string, text string"))
+    want = {(i, f"item {k}", d) for i, k, d in got if i != 9} | {(9, "item 5", 3)}
+    for size in (20_000, 1):
+        monkeypatch.setattr(decontam, "BLOCK_ITEMS", size)
+        found = [(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.matches(docs, named).collect()]
+        assert set(found) == want and len(found) == len(want) + 1  # row 2 stands twice
+    assert {r["item_id"] for r in decontam.matches(docs, items.selectExpr("cast(item_id as int) item_id", "text")).collect()} == {1, 5}
 
 
 # ---- language ------------------------------------------------------------------------------
@@ -218,7 +196,7 @@ def test_language(docs, nothing):
 # ---- SimHash -------------------------------------------------------------------------------
 
 
-def test_simhash_against_all_pairs(spark, nothing):
+def test_simhash_against_all_pairs(spark, docs, nothing):
     base = [text(i, 40 + i) for i in range(6)]
     rows = [(i, base[i % 6] + (" tail" if i % 4 == 0 else "") + (f" {i}" if i % 7 == 0 else "")) for i in range(60)] + [(60, None), (61, ""), (62, "One"), (63, "one")]
     want = {}
@@ -242,6 +220,19 @@ def test_simhash_against_all_pairs(spark, nothing):
         got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.simhash_components(df, cap=cap).collect()}
         assert got == {i: (fp, root(i)) for i, fp in want.items()}
     assert simhash.simhash_components(nothing).count() == 0
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.simhash_components(docs).collect())
+    assert got == Counter({(1, 1): 1, (2, 1): 2, (None, None): 1, (3, 3): 1, (4, 3): 1, (5, 3): 1, (6, 6): 1, (7, 7): 1, (8, 8): 1, (9, got_of_nine(got)): 1})
+
+
+def got_of_nine(got: Counter) -> int:
+    return next(c for i, c in got if i == 9)
+
+
+def test_shingles_of_long_words():
+    # words so long that the first blocks hold fewer than a shingle's
+    words = [bytes([97 + i]) * (1 << 20) for i in range(6)]
+    got = np.concatenate(list(simhash.shingle_hashes(b" ".join(words), 4)))
+    assert got.tolist() == [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(3)]
 
 
 def test_near_duplicates_against_jaccard(spark, docs, nothing):
@@ -400,6 +391,26 @@ def test_embeddings_against_all_pairs(spark):
         assert all(x["kept"] == (x["component_id"] == i) for i, x in got.items())
     assert got[900_006]["component_id"] == 900_005 and got[900_004]["n_links"] == 0
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, [1.0, 0.0], 1, 5), (7, [1.0, 0.0], 1, 5), (7, [2.0, 0.0], 1, 5), (8, [1.0, 0.1], 1, 5), (None, [0.0, 1.0], 2, 5)], "vec_id long, embedding array<double>, label int, node long")
+    got = Counter((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in vectors.near_duplicates(odd).collect())
+    assert got == Counter({(None, 3, 7, False): 1, (7, 3, 7, True): 2, (8, 3, 7, False): 1, (None, 0, None, True): 1})
+
+
+def test_embeddings_recall_with_deep_trees(spark):
+    # 64 wide, pairs at 0.93 to 0.95, one label with most of the rows; leaves as small as for millions of rows
+    r = np.random.default_rng(11)
+    x = r.normal(size=(24_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = r.uniform(0.931, 0.95, len(x) // 2)
+    away = r.normal(size=(len(x) // 2, 64))
+    away -= (away * x[::2]).sum(axis=1, keepdims=True) * x[::2]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x[1::2] = x[::2] * cosine[:, None] + away * np.sqrt(1 - cosine**2)[:, None]
+    rows = [(i, v.tolist(), int(i % 20 < 2)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for leaf in (vectors.LEAF, 24):
+        got = vectors.near_duplicates(df, leaf=leaf).agg(F.sum("n_links"), F.sum(F.col("kept").cast("long"))).first()
+        assert 0.99 * len(x) <= got[0] <= len(x) and got[1] == len(x) - got[0] // 2
 
 
 # ---- URL rules -----------------------------------------------------------------------------
@@ -418,6 +429,11 @@ def test_url_rules_against_a_loop(spark):
         fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert (got[i]["host"], got[i]["path"]) == (host, path)
         assert (got[i]["rule"], got[i]["verdict"]) == (max(fit)[1:] if fit else (None, "allow"))
+    frame = urlfilter.rules_frame(spark, rules)
+    odd = spark.createDataFrame([(None, "http://b.com/de/xy", "h", "r"), (1, "http://b.com/", "h", "r"), (1, "http://b.com/", "h", "r")], "page_id long, url string, host string, rule string")
+    got = Counter((x["page_id"], x["host"], x["path"], x["rule"], x["verdict"]) for x in urlfilter.judge(odd, frame).collect())
+    assert got == Counter({(None, "b.com", "/de/xy", "b.com/de/x", "block"): 1, (1, "b.com", "/", None, "allow"): 2})
+    assert urlfilter.judge(odd.limit(0), frame).count() == 0 and {x["verdict"] for x in urlfilter.judge(odd, frame.limit(0)).collect()} == {"allow"}
 
 
 # ---- licences ------------------------------------------------------------------------------
@@ -469,7 +485,41 @@ def test_shards(spark, docs, nothing, tmp_path):
     with pytest.raises(shards.Conflict):
         store.commit(before, ())
     assert store.append(nothing).runs == done.runs
-    assert store.shards(["doc_id"]).count() == 3 * docs.count()
+    found = store.shards(["doc_id"]).collect()
+    assert len(found) == 3 * docs.count() and {x["shard"] for x in found} <= set(range(sum(r.parts for r in done.runs)))
+    empty = shards.ShardStore(spark, str(tmp_path / "empty"))
+    with pytest.raises(ValueError):
+        empty.read()
+    empty.append(nothing, arrivals=4)
+    empty.compact()
+    empty.vacuum()
+    assert empty.read().columns == nothing.columns and empty.shards(["doc_id"]).columns == ["doc_id", "shard"]
+    assert empty.read().count() == 0 and empty.shards(["doc_id"]).count() == 0
+    odd = docs.selectExpr("doc_id as arrival", "text as `a.b`", "map(1, source) as m", "1 as shard")
+    empty.append(odd.limit(0), arrivals=2)
+    other = shards.ShardStore(spark, str(tmp_path / "odd"))
+    other.append(odd, arrivals=2)
+    assert other.read().columns == odd.columns and other.read().count() == docs.count()
+    assert other.shards(["arrival", "shard"]).columns == ["arrival", "shard", "shard_"]
+
+
+def test_merged_shards_reach_the_target(spark, tmp_path):
+    target = 40_000
+    store = shards.ShardStore(spark, str(tmp_path / "store"), target_bytes=target)
+    words = spark.range(6_000).selectExpr("id", "sha2(cast(id as string), 512) as text").repartition(40)
+    store.append(words, arrivals=3)
+    done = store.compact()
+    mean = sum(r.bytes for r in done.runs) / sum(r.files for r in done.runs)
+    assert target / 2 <= mean <= 2 * target and store.read().count() == 6_000
+
+
+def test_only_one_writer_commits_a_version(spark, docs, tmp_path):
+    store = shards.ShardStore(spark, str(tmp_path / "store"))
+    start = store.append(docs)
+    store.commit(start, start.runs)
+    with pytest.raises(shards.Conflict):
+        shards.ShardStore(spark, str(tmp_path / "store")).commit(start, ())
+    assert store.manifest().version == start.version + 1 and store.manifest().runs == start.runs
 
 
 # ---- pipeline ------------------------------------------------------------------------------
