@@ -13,6 +13,7 @@ the whole budget plus one. So chance hits cost a few steps and no occurrence is
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,12 +21,13 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orograph.llm.common import as_bytes
 
 #: Edits allowed for each byte of an item.
 RATE = 0.1
-#: Items of one automaton; more are looked for in further passes.
+#: Texts of one automaton; more are looked for in further passes.
 BLOCK_ITEMS = 20_000
 #: Bytes of a text that are searched at a time.
 BLOCK_BYTES = 4 << 20
@@ -42,7 +44,7 @@ def normal(text: bytes) -> str:
 
 @dataclass(frozen=True)
 class Item:
-    item_id: int
+    item_id: object
     text: str
     budget: int
 
@@ -172,17 +174,28 @@ class Matcher:
 
 
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", rate: float = RATE) -> Iterator[list[Item]]:
-    """The items in blocks. Items without a letter or digit, or without id, match nothing."""
+    """The items in blocks, all texts of an id in one. Items without a letter or digit, or without id, match nothing."""
     rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null").distinct()
     block: list[Item] = []
-    for r in rows.toLocalIterator():
+    for r in rows.orderBy("id", "text").toLocalIterator():
+        if len(block) >= BLOCK_ITEMS and block[-1].item_id != r["id"]:
+            yield block
+            block = []
         if text := normal(r["text"].encode("utf-8", "replace")):
             block.append(Item(r["id"], text, int(len(text) * rate)))
-        if len(block) == BLOCK_ITEMS:
-            yield sorted(block, key=lambda x: (x.item_id, x.text))
-            block = []
     if block:
-        yield sorted(block, key=lambda x: (x.item_id, x.text))
+        yield block
+
+
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def matcher_of(key: str, items: list[Item]) -> Matcher:
+    """The matcher of a block, built once in each Python worker."""
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(items)
+    return _MATCHERS[key]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
@@ -190,24 +203,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     The budget is rate for each byte of the normalised item. distance is the least edit distance
     of the item to any part of the normalised text. Null and empty texts hold nothing. A row of
-    docs gives one row for each item that it holds, repeated rows each their own; an item id with
-    several texts gives the least distance over them. Columns beside those named are ignored.
-    The benchmark is a stated query set: it is taken in blocks of BLOCK_ITEMS, each broadcast and
-    compared with all rows.
+    docs gives one row for each item that it holds, repeated rows each their own; an item id, of any
+    type, with several texts gives the least distance over them, and of equal ones the least budget.
+    Columns beside those named are ignored. The benchmark is a stated query set: it is taken in
+    blocks of about BLOCK_ITEMS texts, each broadcast and compared with all rows.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     items_kind = dict(benchmark.dtypes)[item_col]
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"`{id_col}` {rows.dtypes[0][1]}, `{item_col}` {items_kind}, distance int, budget int"
     out = None
     for block in items_of(benchmark, item_col, item_text_col, rate):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(key, shared.value)
             for batch in batches:
                 place, item, distance, budget = [], [], [], []
                 for i, text in enumerate(as_bytes(batch.column(1))):
-                    found: dict[int, tuple[int, int]] = {}
+                    found: dict[object, tuple[int, int]] = {}
                     for n, d in (matcher.search(normal(text)) if text else {}).items():
                         x = matcher.items[n]
                         found[x.item_id] = min(found.get(x.item_id, (1 << 30, 0)), (d, x.budget))
@@ -217,7 +231,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                         distance.append(d)
                         budget.append(e)
                 ids = batch.column(0).take(pa.array(place, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(budget, pa.int32())], [id_col, item_col, "distance", "budget"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(item, item_type), pa.array(distance, pa.int32()), pa.array(budget, pa.int32())], [id_col, item_col, "distance", "budget"])
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
@@ -230,8 +244,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     for block in items_of(benchmark, item_col, item_text_col, rate):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(key, shared.value)
             for batch in batches:
                 texts = as_bytes(batch.column(batch.schema.get_field_index(text_col)))
                 yield batch.filter(pa.array([not (t and matcher.search(normal(t))) for t in texts], pa.bool_()))
