@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-#: Parsing restarts after so many bytes, so that a text of any length is many short rows of work.
+#: Parsing restarts after so many bytes, so that a text of any length is many short rows of work. That ends
+#: one phrase early in each segment, in every language alike: at most one phrase more in 4,096 bytes.
 SEGMENT = 4096
 #: Bytes parsed at a time.
 BATCH_BYTES = 1 << 21
@@ -179,21 +180,24 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", total_b
 
     Bounds: docs_per_lang rows of each language (those with the least hash of their text), an
     excerpt of up to so many characters from the middle of each, and total_bytes over all languages, each
-    getting an equal share. Rows with null text or label teach nothing. Languages are taken in
-    alphabetical order, which decides ties.
+    getting an equal share: every label is learned, the more of them the less of each (fewer rows, too:
+    one for each 100 bytes of the share). Rows with null text or label teach nothing. Languages are
+    taken in alphabetical order, which decides ties.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("lang is not null and length(text) > 0")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(total_bytes // 1000).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model((), ())
+    share = max(1, total_bytes // len(sizes))
+    docs_per_lang = max(1, min(docs_per_lang, share // 100))
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    rate = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * docs_per_lang / n)))]), F.col("lang"))
-    some = rows.withColumn("h", h).where(F.col("lang").isin(list(sizes))).where(F.col("h") < rate * (1 << 30))
+    least = 8.0 * math.sqrt(docs_per_lang) + 2.0 * docs_per_lang  # a hash below this share of it gives enough rows
+    rates = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, least / n)))])
+    some = rows.withColumn("h", h).where(F.col("h") < F.element_at(rates, F.col("lang")) * (1 << 30))
     some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.sha2("text", 256)))).where(F.col("n") <= docs_per_lang)
     begin = F.greatest(F.lit(1), ((F.length("text") - excerpt) / 2).cast("int"))
     got = some.select("lang", "n", F.substring("text", begin, F.lit(excerpt)).alias("text")).toPandas().sort_values(["lang", "n"])
-    share = total_bytes // len(sizes)
     langs, texts = [], []
     for lang, part in got.groupby("lang"):
         joined = b" ".join(t.encode() for t in part["text"])[:share]
