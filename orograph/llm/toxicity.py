@@ -6,6 +6,9 @@ letters), whose own prior is the rate of all text, so that an unseen form of a k
 One pass over a text finds every maximal scoring segment (Ruzzo and Tompa). The best segment of
 clean text follows an extreme-value law (Karlin and Altschul); it turns a segment's score into
 bits above what a clean text of the same length would give, and those bits into a probability.
+
+Tokens are counted and the calibration's texts are scored in the tasks; the driver gets the
+significant tokens, the counts of scores, and the segment scores of the calibration's rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import as_bytes, text_blocks, within_share
+from orograph.llm.common import as_bytes, cut, stored, text_blocks, within_share
 
 #: Letters of a stem; a shorter word is its own.
 STEM = 5
@@ -35,11 +38,11 @@ PRIOR_STEM, PRIOR_TOKEN = 2.0, 4.0
 #: Largest log-odds.
 MOST = 8.0
 #: Labelled rows of each class that are learned from, at most: two thirds of them for the log-odds, the others for the calibration.
-ROWS_PER_CLASS = 6_000
-#: Longer texts teach nothing.
-LEARN_CHARS = 50_000
-#: Tokens and stems that are kept, by their z value.
+ROWS_PER_CLASS = 20_000
+#: Tokens, and stems, that the model holds: those with the largest log-odds.
 VOCABULARY = 200_000
+#: Different tokens that a task counts before it passes them on.
+HELD = 500_000
 #: Segments with more than one clean text in so many expected above their score aren't significant.
 SIGNIFICANT = 0.01
 THRESHOLD = 0.3
@@ -57,7 +60,6 @@ class Model:
     lam: float = 1.0
     k: float = 0.1
     weights: tuple[float, float, float] = (-30.0, 0.0, 0.0)
-    key: int = 0
 
 
 class Scores(dict):
@@ -103,27 +105,35 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for left, right, a, b, _ in out]
 
 
-def token_scores(text: str, scores: Scores) -> np.ndarray:
+def token_scores(text: str | None, scores: Scores) -> np.ndarray:
     """Score of each token of a whole text, drift taken off."""
     parts = [np.fromiter(map(scores.__getitem__, tokens(t)), np.float64) for t in text_blocks(text)]
     return (np.concatenate(parts) if parts else np.zeros(0)) - DRIFT
 
 
+def found_segments(s: np.ndarray) -> list[tuple[int, int, float]]:
+    return segments(s) if len(s) and s.max() > 0 else []
+
+
 def excess(score: float, n: int, model: Model) -> float:
     """Nats by which a segment's score is above that expected of a clean text of n tokens."""
     return model.lam * score - math.log(model.k * max(n, 1))
 
 
+def weighed(scores: list[float], n: int, model: Model) -> tuple[float, float]:
+    """(excess of the best segment, excess of all significant others) from the segment scores of a text of n tokens."""
+    if not scores:
+        return -10.0, 0.0
+    over = sorted((excess(x, n, model) for x in scores), reverse=True)
+    return over[0], sum(x for x in over[1:] if x >= -math.log(SIGNIFICANT))
+
+
 def evidence(text: str | None, scores: Scores, model: Model) -> tuple[float, float, list[tuple[int, int, float]]]:
     """(excess of the best segment, excess of all significant others, the significant segments)."""
-    s = token_scores(text or "", scores)
-    found = segments(s) if len(s) and s.max() > 0 else []
-    if not found:
-        return -10.0, 0.0, []
-    over = sorted((excess(x[2], len(s), model) for x in found), reverse=True)
-    least = -math.log(SIGNIFICANT)
-    kept = [x for x in found if excess(x[2], len(s), model) >= least]
-    return over[0], sum(x for x in over[1:] if x >= least), kept
+    s = token_scores(text, scores)
+    found = found_segments(s)
+    kept = [x for x in found if excess(x[2], len(s), model) >= -math.log(SIGNIFICANT)]
+    return *weighed([x[2] for x in found], len(s), model), kept
 
 
 def features(best: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -147,104 +157,130 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return np.concatenate([w[:1], np.maximum(w[1:], 0)])
 
 
-def log_odds(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Significant log-odds of tokens and of stems from (toxic, clean) counts."""
-    stems: dict[str, list[int]] = {}
-    for w, (t, c) in counts.items():
-        s = stems.setdefault(w[:STEM], [0, 0])
-        s[0] += t
-        s[1] += c
-    base = toxic / max(1, toxic + clean)
-
-    def shrunk(t: int, c: int, rate: float, strength: float) -> tuple[float, float, float]:
-        a, b = t + strength * rate, c + strength * (1 - rate)
-        odds = math.log(a / max(1, toxic)) - math.log(b / max(1, clean))
-        return min(max(odds, -MOST), MOST), abs(odds) / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), a / (a + b)
-
-    stem_odds = {s: shrunk(t, c, base, PRIOR_STEM) for s, (t, c) in stems.items()}
-    token_odds = {w: shrunk(t, c, stem_odds[w[:STEM]][2], PRIOR_TOKEN) for w, (t, c) in counts.items()}
+def token_counts(rows: DataFrame) -> DataFrame:
+    """(token, t, c): how often each token occurs in rows (text, y) with y = 1 and y = 0, counted in each task first."""
 
-    def significant(found: dict[str, tuple[float, float, float]]) -> dict[str, float]:
-        kept = [(w, o) for w, (o, z, _) in found.items() if z >= LEAST_Z]
-        return dict(sorted(kept, key=lambda x: (-abs(x[1]), x[0]))[:VOCABULARY])
-
-    neutral = sorted(w for w, (_, z, _) in token_odds.items() if z < LEAST_Z and stem_odds[w[:STEM]][1] >= LEAST_Z)
-    return significant(token_odds) | dict.fromkeys(neutral[:VOCABULARY], 0.0), significant({s: x for s, x in stem_odds.items() if len(s) == STEM})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
+        def out() -> pa.RecordBatch:
+            names = list(counts[0].keys() | counts[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[y][w] for w in names], pa.int64()) for y in (1, 0))], ["token", "t", "c"])
 
-def extreme_values(clean: list[tuple[np.ndarray, int]], scores_of_clean: np.ndarray) -> tuple[float, float]:
-    """(lambda, K): sum p e^(lambda s) = 1 over clean tokens; K from the mean of the best segments' scores."""
-    if not len(scores_of_clean) or scores_of_clean.max() <= 0:
+        for batch in batches:
+            for text, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                for part in text_blocks(text.decode("utf-8", "replace")):
+                    counts[y].update(tokens(part))
+                if sum(map(len, counts)) > HELD:
+                    yield out()
+                    for c in counts:
+                        c.clear()
+        yield out()
+
+    return rows.select("text", "y").mapInArrow(run, "token string, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
+
+def log_odds(counts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Significant log-odds of tokens, and of stems, from token_counts(); tokens without any of their own, but with a stem that has, are 0."""
+    counts = cut(counts)
+    total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
+    if not total["t"] or not total["c"]:
+        return {}, {}
+    base = total["t"] / (total["t"] + total["c"])
+
+    def shrunk(t, c, rate, strength: float) -> tuple[F.Column, F.Column, F.Column]:
+        a, b = t + rate * strength, c + (1 - rate) * strength
+        odds = F.log(a / float(total["t"])) - F.log(b / float(total["c"]))
+        return F.greatest(F.lit(-MOST), F.least(F.lit(MOST), odds)), F.abs(odds) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), a / (a + b)
+
+    stem = F.substring("token", 1, STEM).alias("stem")
+    odds, z, rate = shrunk(F.col("t"), F.col("c"), F.lit(base), PRIOR_STEM)
+    stems = cut(counts.groupBy(stem).agg(F.sum("t").alias("t"), F.sum("c").alias("c")).select("stem", odds.alias("stem_odds"), z.alias("stem_z"), rate.alias("rate")))
+    odds, z, _ = shrunk(F.col("t"), F.col("c"), F.col("rate"), PRIOR_TOKEN)
+    known = counts.withColumn("stem", stem).join(stems, "stem").select("token", odds.alias("odds"), (z >= LEAST_Z).alias("own"), (F.col("stem_z") >= LEAST_Z).alias("of_stem"))
+    known = cut(known.where("own or of_stem"))
+
+    def largest(df: DataFrame, name: str, value: str) -> dict[str, float]:
+        return {r[0]: r[1] for r in df.select(name, value).orderBy(F.desc(F.abs(value)), name).limit(VOCABULARY).collect()}
+
+    own = largest(known.where("own"), "token", "odds")
+    neutral = [r[0] for r in known.where("not own").select("token").orderBy("token").limit(VOCABULARY).collect()]
+    return own | dict.fromkeys(neutral, 0.0), largest(stems.where((F.col("stem_z") >= LEAST_Z) & (F.length("stem") == STEM)), "stem", "stem_odds")
+
+
+def extreme_values(scores: np.ndarray, counts: np.ndarray, best: list[tuple[float, int]]) -> tuple[float, float]:
+    """(lambda, K): sum p e^(lambda s) = 1 over the counted scores of clean tokens; K from the (best segment's score, tokens) of clean texts."""
+    if not len(scores) or scores.max() <= 0:
         return 1.0, 0.1
-    s, p = np.unique(np.round(scores_of_clean, 3), return_counts=True)
-    p = p / p.sum()
-    if (p * s).sum() >= 0:
+    p = counts / counts.sum()
+    if (p * scores).sum() >= 0:
         return 0.1, 0.1
     low, high = 0.0, 1.0
-    while (p * np.exp(high * s)).sum() < 1 and high < 64:
+    while (p * np.exp(high * scores)).sum() < 1 and high < 64:
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
-        low, high = (mid, high) if (p * np.exp(mid * s)).sum() < 1 else (low, mid)
+        low, high = (mid, high) if (p * np.exp(mid * scores)).sum() < 1 else (low, mid)
     lam = max(low, 1e-3)
-    best = [(x.max(), n) for x, n in clean if len(x)]
     k = math.exp(np.mean([lam * m - math.log(n) for m, n in best]) - EULER) if best else 0.1
     return lam, min(max(k, 1e-6), 10.0)
 
 
-def train(rows: list[tuple[str, int, int]]) -> Model:
-    """A model from (text, label, part) rows: parts 0 and 1 give the log-odds, part 2 the calibration."""
-    seen, counts, learn, check = set(), {}, [], []
-    for text, label, part in sorted(rows):
-        if text not in seen:
-            seen.add(text)
-            (check if part == 2 else learn).append((text, label))
-    check = check or learn
-    total = [0, 0]
-    for label in (0, 1):
-        c: Counter[str] = Counter()
-        for text, y in learn:
-            if y == label:
-                for t in text_blocks(text):
-                    c.update(tokens(t))
-        total[label] = sum(c.values())
-        for w, n in c.items():
-            old = counts.get(w, (0, 0))
-            counts[w] = (n, old[1]) if label else (old[0], n)
-    if not total[0] or not total[1]:
+def train(rows: DataFrame) -> Model:
+    """A model from (text, y, part) rows with different texts: parts 0 and 1 give the log-odds, part 2 the calibration."""
+    check = rows.where("part = 2")
+    if not check.head(1):
+        check = rows
+    tok, stems = log_odds(token_counts(rows.where("part < 2")))
+    if not tok and not stems:
         return Model()
-    tok, stems = log_odds(counts, total[1], total[0])
-    scores = Scores(Model(tok, stems))
-    scored = [(token_scores(t, scores), y) for t, y in check]
-    clean = [s for s, y in scored if not y]
-    best = [(np.array([x[2] for x in segments(s)]), len(s)) for s in clean]
-    lam, k = extreme_values(best, np.concatenate(clean) if clean else np.zeros(0))
+    shared = rows.sparkSession.sparkContext.broadcast(Model(tok, stems))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(shared.value)
+        for batch in batches:
+            out = []
+            for text, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                s = token_scores(text.decode("utf-8", "replace"), scores)
+                seen, n = np.unique(np.round(s, 3), return_counts=True) if not y else (np.zeros(0), np.zeros(0, np.int64))
+                out.append({"y": y, "n": len(s), "found": [x[2] for x in found_segments(s)], "seen": seen, "times": n})
+            schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("found", pa.list_(pa.float64())), ("seen", pa.list_(pa.float64())), ("times", pa.list_(pa.int64()))])
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    told = cut(check.select("text", "y").mapInArrow(run, "y int, n long, found array<double>, seen array<double>, times array<long>"))
+    counted = told.select(F.inline(F.arrays_zip("seen", "times"))).groupBy("seen").agg(F.sum("times").alias("times")).collect()
+    texts = told.select("y", "n", "found").collect()
+    scores, times = (np.array([r[k] for r in counted], float) for k in ("seen", "times"))
+    lam, k = extreme_values(scores, times, [(max(r["found"]), r["n"]) for r in texts if not r["y"] and r["found"]])
     bare = Model(tok, stems, lam, k)
-    found = np.array([evidence(t, scores, bare)[:2] for t, _ in check])
-    weights = logistic(features(found[:, 0], found[:, 1]), np.array([y for _, y in check], float))
-    return Model(tok, stems, lam, k, tuple(weights.tolist()), hash((len(tok), lam, k, *weights.tolist())))
+    found = np.array([weighed(r["found"], r["n"], bare) for r in texts])
+    weights = logistic(features(found[:, 0], found[:, 1]), np.array([r["y"] for r in texts], float))
+    return Model(tok, stems, lam, k, tuple(weights.tolist()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Model:
-    """A model from a bounded sample of labelled rows.
+    """A model from a bounded sample of labelled rows, whole texts of any length.
 
-    Bounds: rows_per_class ids of each class, those with the least hash; their texts, of up to LEARN_CHARS
-    characters, come by a broadcast of these ids. Null ids, labels and texts teach nothing; an id that has both labels
-    is toxic. Without both classes the model scores every text near zero.
+    Bound: rows_per_class ids of each class, those with the least hash; their texts come by a
+    broadcast of these ids. Equal texts teach once. Null ids, labels and texts teach nothing; an id or
+    a text that has both labels is toxic. Without both classes the model scores every text near zero.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    marked = marked.withColumn("h", F.xxhash64("id", F.lit(7)))
-    size = {r["y"]: r["n"] for r in marked.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    marked = marked.withColumn("h", F.xxhash64("id", F.lit(7))).where("y in (0, 1)")
+    size = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     some = None
     for y, n in sorted(size.items()):
-        part = marked.where((F.col("y") == y) & within_share(F.col("h"), min(1.0, rows_per_class / n))).limit(2 * rows_per_class)
+        share = min(1.0, (rows_per_class + 8 * math.sqrt(rows_per_class)) / n)
+        part = marked.where((F.col("y") == y) & within_share(F.col("h"), share)).orderBy("h", "id").limit(rows_per_class)
         some = part if some is None else some.union(part)
     if some is None:
         return Model()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= LEARN_CHARS)
-    rows = rows.join(F.broadcast(some), "id").select("text", "y", F.pmod(F.xxhash64("id", F.lit(8)), F.lit(3)).alias("part"))
-    return train([(r["text"], r["y"], r["part"]) for r in rows.collect()])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = rows.join(F.broadcast(some.select("id", "y")), "id").withColumn("k", F.sha2("text", 256))
+    rows = rows.groupBy("k").agg(F.max("y").alias("y"), F.first("text").alias("text"), F.min("id").alias("id"))
+    part = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(3)).cast("int").alias("part")
+    return train(stored(rows.select("text", "y", part), "labelled"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
