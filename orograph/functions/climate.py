@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Amplitude of a sine per standard deviation, as the growing season and the extreme months take it.
@@ -101,6 +101,24 @@ def bioclim(mean_c: Column, seasonality: Column, precip_mm: Column, precip_cv: C
     )
 
 
+def with_bioclim(df: DataFrame, mean_c: str, seasonality: str, precip_mm: str, precip_cv: str) -> DataFrame:
+    """df with the struct b, as bioclim() gives it; its parts are worked out in steps, each once a row."""
+    mean, rain = F.col(mean_c), F.col(precip_mm)
+    out = df.withColumn("_sigma", sigma(F.col(seasonality)))
+    out = out.withColumns({"_pet": potential_evapotranspiration(mean, F.col("_sigma")), "_growing": days_above(5, mean, F.col("_sigma"))})
+    out = out.withColumn("_aridity", aridity(rain, F.col("_pet")))
+    out = out.withColumn("_moisture", tree_moisture(F.col("_aridity"), F.col(precip_cv)))
+    out = out.withColumn("_effective", effective_moisture(F.col("_moisture"), F.col("_growing")))
+    warmest = mean + F.col("_sigma") * SEASONAL_AMPLITUDE
+    b = F.struct(
+        F.col("_sigma").alias("sigma_c"), F.col("_pet").alias("pet_mm"), F.col("_aridity").alias("aridity"), F.col("_moisture").alias("tree_moisture"),
+        F.col("_growing").alias("growing_days"), (mean - F.col("_sigma") * SEASONAL_AMPLITUDE).alias("coldest_c"), warmest.alias("warmest_c"),
+        F.col("_effective").alias("effective_moisture"), bare_slope_threshold(F.col("_moisture")).alias("bare_slope"),
+        forest_density(F.col("_effective")).alias("forest"), shrub_density(F.col("_effective")).alias("shrub"), permanent_ice(warmest, rain).alias("ice"),
+    )
+    return out.withColumn("b", b).drop("_sigma", "_pet", "_growing", "_aridity", "_moisture", "_effective")
+
+
 def erfc(x: Column) -> Column:
     z = F.abs(x)
     t = 1 / (z * 0.5 + 1)

@@ -63,6 +63,10 @@ class HeightMap:
         depth = (F.sqrt(F.greatest(lit(0), -elev_m) + 10) - math.sqrt(10) + 1) * self.ocean_scale
         return F.when(elev_m >= 0, land).otherwise(F.greatest(F.lit(2), self.sea_level - depth.cast("int")))
 
+    def too_short(self, elev_m: Column) -> Column:
+        """Whether ground at true scale would reach above the headroom."""
+        return elev_m * self.blocks_per_metre > self.headroom
+
     def temperature_ceiling_m(self, temp_c: Column) -> Column:
         """Highest ground whose temperature still fits the climate byte."""
         return F.greatest(lit(0), (255 - (temp_c + 20) * DEGREE_BYTES) * 1.5) / self.blocks_per_metre
@@ -109,3 +113,9 @@ def stretched_band(fraction: Column, height: int, sea_level: int, exaggeration:
 
 def recommended_height(peak_blocks: Column) -> Column:
     return F.least(F.lit(4096), (F.ceil(peak_blocks / 128) * 128).cast("int"))
+
+
+def human_bytes(n: Column) -> Column:
+    """A number of bytes as text: B, or KB or MB with one decimal."""
+    shown = lambda x, unit: F.concat(F.round(x, 1).cast("string"), F.lit(f" {unit}"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, shown(n / 1024.0, "KB")).otherwise(shown(n / float(1 << 20), "MB"))

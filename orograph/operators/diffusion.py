@@ -1,7 +1,7 @@
-"""Tiled sampling of a generative model: noise schedule, preconditioning, solver, stages.
+"""Sampling of a generative model: noise schedule, preconditioning, solver steps.
 
-The model is any function (x, label, conditions) -> prediction over numpy arrays; it runs inside
-the tasks, one window of the lattice at a time, with the whole loop of steps in one call.
+The model is any function (x, label, conditions) -> prediction over numpy arrays; none is here, as
+no weights are public.
 """
 
 from __future__ import annotations
@@ -10,13 +10,9 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.operators.grid import Windows, to_windows
-from orograph.operators.noise import normals, tile_seed
-
 SIGMA_MIN, SIGMA_MAX, RHO, SIGMA_DATA = 0.002, 80.0, 7.0, 0.5
 Denoiser = Callable[[np.ndarray, float, dict], np.ndarray]
 
@@ -73,41 +69,3 @@ def solve(model: Denoiser, x: np.ndarray, steps: int, conditions: dict) -> np.nd
         h_before = math.log(s[k]) - math.log(s[k + 1]) if s[k + 1] > 0 else 0.0
         before = m0
     return x
-
-
-def mean_of_conditions(x: np.ndarray, label: float, conditions: dict) -> np.ndarray:
-    """A stand-in for trained weights: predicts that the clean sample is the condition."""
-    sigma = SIGMA_DATA * math.tan(label)
-    total = sigma**2 + SIGMA_DATA**2
-    raw = x * total**0.5
-    return (conditions["mean"] - SIGMA_DATA**2 / total * raw) * total**0.5 / max(sigma * SIGMA_DATA, 1e-12)
-
-
-def blend_weight(size: int) -> np.ndarray:
-    mid = (size - 1) / 2
-    tent = 1 - (1 - 1e-3) * np.minimum(1, np.abs(np.arange(size) - mid) / mid)
-    return tent[:, None] * tent[None, :]
-
-
-def sample_stage(cells: DataFrame, value: str, w: Windows, seed: int = 0, steps: int = 20, model: Denoiser = mean_of_conditions) -> DataFrame:
-    """(i, j, value): cells conditioned on a column, sampled window by window and blended.
-
-    Each window is one group of at most size squared cells, so that groups are bounded whatever
-    the extent of the lattice; windows at the rim with missing cells take 0 there.
-    """
-    n = w.size
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wi, wj = int(pdf["wi"].iloc[0]), int(pdf["wj"].iloc[0])
-        mean = np.zeros((n, n))
-        li, lj = pdf["li"].to_numpy(int), pdf["lj"].to_numpy(int)
-        mean[li, lj] = pdf["v"].to_numpy(float)
-        noise = normals(tile_seed(seed, wi, wj), n * n).reshape(n, n).astype(float)
-        out, weight = solve(model, noise, steps, {"mean": mean}), blend_weight(n)
-        return pd.DataFrame({"i": pdf["i"], "j": pdf["j"], "s": (out * weight)[li, lj], "w": weight[li, lj]})
-
-    windowed = to_windows(cells.select("i", "j", F.col(value).cast("double").alias("v")), w)
-    parts = windowed.groupBy("wi", "wj").applyInPandas(run, "i long, j long, s double, w double")
-    sums = parts.groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
-    return sums.select("i", "j", F.when(F.col("w") > 1e-6, F.col("s") / F.col("w")).otherwise(0.0).alias(value))
-

@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orograph.operators.grid import spread
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
@@ -40,22 +39,34 @@ def gaussian_blur(cells: DataFrame, value: str, rows: int, cols: int, sigma: flo
     return _taps(out, "i", value, kernel, rows, "j").select("i", "j", value)
 
 
+def _along(cells: DataFrame, axis: str, keep: str, reach: int, sums: dict[str, Column]) -> DataFrame:
+    """One pass of a separable stencil: (axis, keep, sums) of each place over its neighbours along axis; d is a neighbour's distance."""
+    near = cells.withColumn("d", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_t", F.col(axis) - F.col("d"))
+    return near.groupBy(F.col("_t").alias(axis), keep).agg(*[c.alias(k) for k, c in sums.items()])
+
+
 def sobel_slope(cells: DataFrame, value: str, pixel_m: float) -> DataFrame:
-    """(i, j, slope) of the cells whose eight neighbours exist: rise over run by the Sobel stencil."""
-    near = spread(cells.select("i", "j", value), 1)
-    across = F.col(value) * F.col("dj") * F.when(F.col("di") == 0, 2).otherwise(1)
-    along = F.col(value) * F.col("di") * F.when(F.col("dj") == 0, 2).otherwise(1)
-    sums = near.groupBy("ti", "tj").agg(F.sum(across).alias("dx"), F.sum(along).alias("dy"), F.count("*").alias("n")).where("n = 9")
-    slope = F.sqrt(F.pow(F.col("dx") / 8, 2.0) + F.pow(F.col("dy") / 8, 2.0)) / pixel_m
-    return sums.select(F.col("ti").alias("i"), F.col("tj").alias("j"), slope.alias("slope"))
+    """(i, j, slope) of the cells whose eight neighbours exist: rise over run by the Sobel stencil, rows first, then columns."""
+    v, d = F.col(value), F.col("d")
+    smooth = F.when(d == 0, 2).otherwise(1)
+    rows = _along(cells.select("i", "j", value), "j", "i", 1, {"dx": F.sum(v * d), "smooth": F.sum(v * smooth), "n": F.count("*")})
+    both = _along(rows, "i", "j", 1, {"dx": F.sum(F.col("dx") * smooth), "dy": F.sum(F.col("smooth") * d), "n": F.sum("n")}).where("n = 9")
+    return both.select("i", "j", (F.sqrt(F.pow(F.col("dx") / 8, 2.0) + F.pow(F.col("dy") / 8, 2.0)) / pixel_m).alias("slope"))
 
 
 def land_erosion(cells: DataFrame, value: str, weight: Column | None = None) -> DataFrame:
     """(i, j) of cells that, with all eight neighbours, are land: value above 0 and weight not next to nothing."""
     land = (F.col(value) > 0) & (weight > 1e-6 if weight is not None else F.lit(True))
-    near = spread(cells.select("i", "j", land.alias("land")), 1)
-    kept = near.groupBy("ti", "tj").agg(F.count_if("land").alias("n")).where("n = 9")
-    return kept.select(F.col("ti").alias("i"), F.col("tj").alias("j"))
+    rows = _along(cells.select("i", "j", land.alias("land")), "j", "i", 1, {"n": F.count_if("land")})
+    return _along(rows, "i", "j", 1, {"n": F.sum("n")}).where("n = 9").select("i", "j")
+
+
+def centre_mean(cells: DataFrame, value: str, size: int) -> DataFrame:
+    """(i, j, value) of blocks of size x size cells: the mean of the four in the middle."""
+    mid = [size // 2 - 1, size // 2]
+    kept = cells.where((F.pmod("i", F.lit(size))).isin(mid) & (F.pmod("j", F.lit(size))).isin(mid))
+    block = [F.floor(F.col(c) / float(size)).cast("long").alias(c) for c in ("i", "j")]
+    return kept.groupBy(*block).agg(F.avg(value).alias(value))
 
 
 def bilinear_resize(cells: DataFrame, value: str, rows: int, cols: int, to_rows: int, to_cols: int) -> DataFrame:
@@ -89,20 +100,19 @@ def local_lapse(cells: DataFrame, temp: str, elev: str, win: int = 15, least_lan
     the centre's temperature brought to sea level.
     """
     pad, n = (win - 1) // 2, win * win
-    near = spread(cells.select("i", "j", F.col(temp).cast("double").alias("t"), F.col(elev).cast("double").alias("e")), pad)
-    land = F.when(F.col("e") > 0, 1.0).otherwise(0.0)
-    centre = (F.col("di") == 0) & (F.col("dj") == 0)
-    sums = near.groupBy("ti", "tj").agg(
-        F.count("*").alias("cells"), F.sum(land).alias("w"), F.sum(F.col("t") * land).alias("st"), F.sum(F.col("e") * land).alias("se"),
-        F.sum(F.col("e") * F.col("e") * land).alias("see"), F.sum(F.col("e") * F.col("t") * land).alias("set"),
-        F.max(F.when(centre, F.col("t"))).alias("tc"), F.max(F.when(centre, F.col("e"))).alias("ec"),
-    ).where(F.col("cells") == n)
+    own = cells.select("i", "j", F.col(temp).cast("double").alias("tc"), F.col(elev).cast("double").alias("ec"))
+    land = F.when(F.col("ec") > 0, 1.0).otherwise(0.0)
+    t, e = F.col("tc") * land, F.col("ec") * land
+    terms = own.select("i", "j", F.lit(1).alias("cells"), land.alias("w"), t.alias("st"), e.alias("se"), (e * F.col("ec")).alias("see"), (e * F.col("tc")).alias("set"))
+    add = {k: F.sum(k) for k in terms.columns[2:]}
+    sums = _along(_along(terms, "j", "i", pad, add), "i", "j", pad, add).where(F.col("cells") == n).join(own, ["i", "j"])
     den = F.col("w") + 1e-6
     mean = {k: F.col(k) / den for k in ("st", "se", "see", "set")}
     var, cov = mean["see"] - mean["se"] * mean["se"], mean["set"] - mean["se"] * mean["st"]
     beta = F.when((var < 1) | (F.col("w") < least_land * n), -0.0065).otherwise(cov / (var + 1e-6))
     beta = F.greatest(F.lit(-0.012), F.least(F.lit(0.0), beta))
-    return sums.select(F.col("ti").alias("i"), F.col("tj").alias("j"), (F.col("tc") - beta * F.col("ec")).alias("base"), beta.alias("beta"))
+    sums = sums.withColumn("beta", beta)
+    return sums.select("i", "j", (F.col("tc") - F.col("beta") * F.col("ec")).alias("base"), "beta")
 
 
 def laplacian_decode(residual: DataFrame, low: DataFrame, value: str, low_shape: tuple[int, int], shape: tuple[int, int]) -> DataFrame:

@@ -29,21 +29,49 @@ def with_band(sites: DataFrame, temp: str) -> DataFrame:
     return sites.join(b, F.col(temp).between(F.col("min_c"), F.col("max_c")), "left").drop("min_c", "max_c")
 
 
+def binned(rows: DataFrame, value: str, bins: int = 64) -> DataFrame:
+    """rows with bin: how many of about so many even quantiles lie at or below value; null values go.
+
+    The edges come from a sketch, so that bins hold about as many rows whatever the values.
+    """
+    edges = rows.agg(F.percentile_approx(value, F.array(*[F.lit((k + 1) / bins) for k in range(bins - 1)]), 10_000).alias("_edges"))
+    out = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges))
+    return out.withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
+
+
+def counted(rows: DataFrame, value: str) -> DataFrame:
+    """(v, n, before, total): each value with its rows, the rows below it, and all; values are ranked within bins, whose few totals alone meet."""
+    counts = binned(rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")), "v")
+    starts = counts.groupBy("bin").agg(F.sum("n").alias("m"))
+    ranks = Window.orderBy("bin")
+    starts = starts.select("bin", (F.sum("m").over(ranks) - F.col("m")).alias("start"), F.sum("m").over(Window.partitionBy(F.lit(0))).alias("total"))
+    inner = Window.partitionBy("bin").orderBy("v")
+    return counts.join(F.broadcast(starts), "bin").select("v", "n", (F.col("start") + F.sum("n").over(inner) - F.col("n")).alias("before"), "total")
+
+
 def tail_order_statistic(cells: DataFrame, value: str, quantile: float) -> DataFrame:
-    """One row: the value at place int((1 - quantile) * n) from the top, without interpolation; none if there are no rows.
+    """One row: the value at place int((1 - quantile) * n) from the top, without interpolation; none if there are no rows."""
+    c = counted(cells, value)
+    from_top = F.least(F.floor(F.col("total") * (1 - quantile)), F.col("total") - 1)
+    place = F.col("total") - 1 - from_top
+    return c.where((F.col("before") <= place) & (F.col("before") + F.col("n") > place)).select(F.col("v").alias(value))
+
+
+def quantiles(rows: DataFrame, value: str, fractions: list[float]) -> DataFrame:
+    """One row (quantiles): an array of exact quantiles, interpolated between neighbours; nulls if there are no rows.
 
-    Values are counted before they are ranked, and ranked within bins of value whose counts are
-    known, so that no sort of all rows lands in one task.
+    Each fraction's two places are looked up among the counted values; only these meet in one task.
     """
-    counts = cells.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    total = cells.agg(F.count(value).alias("total"))
-    ranks = Window.orderBy(F.desc("bin"))
-    binned = counts.where("v is not null").withColumn("bin", F.floor(F.col("v") / 16))
-    starts = binned.groupBy("bin").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(ranks) - F.col("m")).select("bin", "before")
-    inner = Window.partitionBy("bin").orderBy(F.desc("v"))
-    placed = binned.join(starts, "bin").withColumn("upto", F.col("before") + F.sum("n").over(inner)).crossJoin(F.broadcast(total))
-    place = F.least(F.floor(F.col("total") * (1 - quantile)), F.col("total") - 1)
-    return placed.where((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)).select(F.col("v").alias(value))
+    c = counted(rows, value)
+    spot = F.col("total").cast("double")
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), ((spot - 1) * f).alias("at")) for k, f in enumerate(fractions)])
+    held = c.select("v", "n", "before", F.explode(wanted).alias("w")).select("v", "n", "before", "w.k", "w.at")
+    low, high = F.floor("at"), F.ceil("at")
+    holds = lambda place: (F.col("before") <= place) & (F.col("before") + F.col("n") > place)
+    ends = held.where(holds(low) | holds(high)).groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first(F.col("at") - low).alias("part"))
+    value_at = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
+    table = ends.agg(F.map_from_entries(F.collect_list(F.struct("k", value_at.cast("double")))).alias("m"))
+    return table.select(F.array(*[F.try_element_at(F.col("m"), F.lit(k)) for k in range(len(fractions))]).alias("quantiles"))
 
 
 def box_series(first: int, most: int) -> list[int]:
@@ -82,9 +110,13 @@ def find_spawn(cells: DataFrame, low: float, high: float, temp: str = "temp_c",
 
 
 def probes(cells: DataFrame, value: str, tie: list[str], count: int, pool: float = 0.25) -> DataFrame:
-    """count rows strided over the highest share of the cells, highest first."""
+    """count rows strided over the highest share of the cells, highest first; ranked within bins of value."""
     n = cells.agg(F.greatest(F.lit(1), (F.count("*") * pool).cast("long")).alias("pool"))
-    ranked = cells.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), *tie)) - 1)
+    held = binned(cells, value)
+    starts = held.groupBy("bin").agg(F.count("*").alias("m"))
+    starts = starts.select("bin", (F.sum("m").over(Window.orderBy(F.desc("bin"))) - F.col("m")).alias("start"))
+    inner = Window.partitionBy("bin").orderBy(F.desc(value), *tie)
+    ranked = held.join(F.broadcast(starts), "bin").withColumn("rank", F.col("start") + F.row_number().over(inner) - 1)
     places = cells.sparkSession.range(count).withColumnRenamed("id", "probe").crossJoin(F.broadcast(n))
     places = places.select("probe", F.floor(F.col("probe") * F.col("pool") / float(count)).alias("rank"))
     return ranked.join(F.broadcast(places), "rank").select("probe", *cells.columns)

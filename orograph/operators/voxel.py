@@ -37,3 +37,8 @@ def scour(voxels: DataFrame, steep: Column, column: list[str], surface: str = "s
     blocked = F.max(F.when(solid, 1).otherwise(0)).over(down)
     hit = steep & (F.col("y") <= F.col(surface)) & (F.col("y") > F.col(surface) - most) & (F.col("_blocked") == 0)
     return voxels.withColumn("_blocked", blocked).withColumn("block", F.when(hit, "rock").otherwise(F.col("block"))).drop("_blocked")
+
+
+def surfaced(voxels: DataFrame, ice: Column, steep: Column, column: list[str]) -> DataFrame:
+    """Both surface passes in their order: ice first, so that steep ground under it keeps its soft blocks."""
+    return scour(glacier_cap(voxels, ice), steep, column)
