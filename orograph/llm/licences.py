@@ -59,9 +59,13 @@ OTHERS = ["He lost his driving licence after the accident.", "She is a licensed
 OTHERS += [""] * 24 + ["The house is on the hill and it was built by his father.", "This is not what they said at the time, but you can be sure of it.", "He is the one that was with me in the city and as a child he had this.", "It is of use to have a copy of the book with you at all times.", "They are in this or that place, by the sea or on the way to it.", "For it is not by him that these are made, and be it as it may, as for you.", "In 2019 and 2020 the number of people in the city was 4 or 5 times as large.", "A new part of the work is to be done by the end of 2020.", "Is it that or this? Not that, and not in the way you are used to.", "From 1 to 3 of the 5 rooms are free to use.", "La casa de la ciudad es de los que no se han ido por el camino con una carta.", "En el pueblo que no es de todos se come a las dos y por la tarde.", "Der Hund und die Katze sind in dem Haus, das nicht von mir ist.", "Sie ist mit dem Zug in die Stadt gefahren und war an dem Tag nicht da.", "Le chat est dans la maison de la ville et il ne sort pas par la porte.", "Un jour elle est venue avec les enfants de la rue, et on a parlé du temps."]
 
 
+#: What stands between words.
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
 def words_of(text) -> F.Column:
     """Lower-case words of a paragraph: runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != "")
 
 
 def pairs_of(words) -> F.Column:
@@ -139,8 +143,14 @@ def template_pairs() -> set[str]:
 
 def shared_grams(words, weights: list[tuple[str, list[float]]]) -> F.Column:
     """The different grams of a paragraph that the model or a template has: all that a verdict depends on."""
-    known = sorted({g for g, _ in weights} | template_pairs())
-    return F.filter(F.array_distinct(grams(words)), lambda g: g.isin(known))
+    known = {g for g, _ in weights} | template_pairs()
+    pairs = [g.split(" ") for g in known if " " in g]
+    firsts, seconds, both = (sorted(x) for x in ({p[0] for p in pairs}, {p[1] for p in pairs}, {" ".join(p) for p in pairs}))
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    # only words that begin and end known pairs are put together
+    near = F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.when(a.isin(firsts) & b.isin(seconds), F.concat(a, F.lit(" "), b)))
+    single = F.filter(words, lambda w: w.isin(sorted(g for g in known if " " not in g)))
+    return F.array_distinct(F.concat(single, F.filter(near, lambda g: g.isin(both))))
 
 
 def most_lead(shared, weights: list[tuple[str, list[float]]], bias: list[float]) -> F.Column:
@@ -154,15 +164,22 @@ def most_lead(shared, weights: list[tuple[str, list[float]]], bias: list[float])
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """(id, paragraph, lines, line) from (id, split): each line, and each block of two lines or more joined by spaces."""
-    rows = rows.withColumn("worded", F.transform("split", lambda x: x.rlike(r"[\p{L}\p{N}]")))
+    """(id, paragraph, lines, line, words) from (id, split), lower case: each line, and each block of two lines or more joined by spaces.
+
+    A line's words are found once, for itself and for its block.
+    """
+    rows = rows.withColumn("words", F.transform("split", lambda x: F.array_remove(F.split(x, NO_WORD), "")))
     n = F.size("split")
-    is_worded = lambda i: F.coalesce(F.get("worded", i - 1), F.lit(False))
+    is_worded = lambda i: F.coalesce(F.size(F.get("words", i - 1)) > 0, F.lit(False))
     numbers = F.when(n > 0, F.sequence(F.lit(1), n))
     rows = rows.withColumn("first", F.filter(numbers, lambda i: is_worded(i) & ~is_worded(i - 1)))
     rows = rows.withColumn("last", F.filter(numbers, lambda i: is_worded(i) & ~is_worded(i + 1)))
-    block = F.zip_with("first", "last", lambda a, b: F.struct(a.alias("paragraph"), (b - a + 1).alias("lines"), F.array_join(F.slice("split", a, b - a + 1), " ").alias("line")))
-    line = F.transform("split", lambda x, i: F.struct((i + 1).alias("paragraph"), F.lit(1).alias("lines"), x.alias("line")))
+
+    def told(paragraph, lines, line, words) -> F.Column:
+        return F.struct(paragraph.alias("paragraph"), lines.alias("lines"), line.alias("line"), words.alias("words"))
+
+    block = F.zip_with("first", "last", lambda a, b: told(a, b - a + 1, F.array_join(F.slice("split", a, b - a + 1), " "), F.flatten(F.slice("words", a, b - a + 1))))
+    line = F.transform("split", lambda x, i: told(i + 1, F.lit(1), x, F.get("words", i)))
     return rows.select("id", F.inline(F.concat(line, F.filter(block, lambda b: b["lines"] > 1))))
 
 
@@ -179,10 +196,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     families, weights, bias, t = train(spark)
-    rows = paragraphs(rows.select("id", F.split("text", r"\n").alias("split")))
-    rows = rows.select("id", "paragraph", "lines", has_anchor(F.lower("line")).alias("anchor"), F.explode(F.array(words_of("line"))).alias("words"))
+    rows = paragraphs(rows.select("id", F.split(F.lower("text"), r"\n").alias("split")))
     # exploded, so that the filter isn't pushed below, which would work out the grams anew for each of its terms
-    rows = rows.select("id", "paragraph", "lines", "anchor", F.explode(F.array(shared_grams(F.col("words"), weights))).alias("grams"))
+    rows = rows.select("id", "paragraph", "lines", has_anchor(F.col("line")).alias("anchor"), F.explode(F.array(shared_grams(F.col("words"), weights))).alias("grams"))
     rows = rows.where(F.col("anchor") | (most_lead("grams", weights, bias) >= 0))
     # elsewhere the hash of the grams stands for them
     rows = cut(rows.withColumn("grams", F.array_sort("grams")).withColumn("h", F.sha2(F.array_join("grams", "\n"), 256)))
