@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
@@ -149,6 +149,11 @@ def has_letter(text: bytes) -> bool:
     return bool(re.search(rb"[A-Za-z]", text)) or (not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "ignore"))))
 
 
+def lettered(text: Column) -> Column:
+    """True where a text isn't null and has a letter: where it gets a language if any was learned."""
+    return F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(texts: list[bytes | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, score, normalised phrases of the best language) of each text."""
     lang, score, best = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
