@@ -20,8 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language: not null and with a letter."""
+    """Rows whose text has a language: not null and with a letter, be it that no row has a label to learn from."""
     model = langid.fit(docs)
+    if not model.langs:
+        return docs.where(langid.lettered(F.col("text")))
     return docs.where(langid.detector(docs, model)("text")["lang"] != langid.UNDETERMINED)
 
 
