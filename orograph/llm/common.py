@@ -127,7 +127,7 @@ def text_blocks(text: str | None, size: int = BLOCK_BYTES) -> Iterator[str]:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -395,21 +395,28 @@ def by_group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, held, f0...): the sorted shingle hashes of each of the nodes, as bytes, from (node, text)."""
+def shingle_sets(texts: DataFrame, nodes: DataFrame, spots: DataFrame) -> DataFrame:
+    """(node, held, f0..., spots): the sorted shingle hashes, as bytes, of each node that has spots, from (node, text)."""
     prints = [F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(WORDS)]
+    names = [f"f{w}" for w in range(WORDS)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
             held = pa.array([shingles(t).tobytes() for t in as_bytes(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), held, *batch.columns[2:]], ["node", "held", *(f"f{w}" for w in range(WORDS))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), held, *batch.columns[2:]], ["node", "held", *names, "spots"])
 
-    rows = texts.join(nodes.select("node", *prints), "node").select("node", "text", *(f"f{w}" for w in range(WORDS)))
-    return rows.mapInArrow(run, "node long, held binary, " + ", ".join(f"f{w} long" for w in range(WORDS)))
+    # a node has a spot for each of its keys at most
+    at = spots.groupBy("node").agg(F.collect_list(F.struct("g", "comp", "own", "low", "high")).alias("spots"))
+    rows = texts.join(at.join(nodes.select("node", *prints), "node"), "node").select("node", "text", *names, "spots")
+    return rows.mapInArrow(run, "node long, held binary, " + "".join(f"{n} long, " for n in names) + f"spots {dict(at.dtypes)['spots']}")
 
 
-def compared(groups: DataFrame, sets: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Links (a, b) that join, over comp, what pairs of one g connect. groups: (g, node, comp); sets: see shingle_sets()."""
+def compared(spots: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) that join, over comp, what pairs within a part connect.
+
+    spots: (node, g, comp, own, low, high): the node is in the parts {own, x} of group g, x from low
+    to high. The sets are made from the texts on the way to the parts and held nowhere.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches):
@@ -419,7 +426,10 @@ def compared(groups: DataFrame, sets: DataFrame, similarity: float, radius: int)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-    rows = groups.join(sets, "node").select("g", "node", "comp", "held", *(f"f{w}" for w in range(WORDS)))
+    names = ["held", *(f"f{w}" for w in range(WORDS))]
+    rows = shingle_sets(texts, nodes, spots).select("node", *names, F.inline("spots"))
+    rows = rows.select("node", "comp", *names, "g", "own", F.explode(F.sequence("low", "high")).alias("other"))
+    rows = rows.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "comp", *names)
     return rows.repartition(F.col("g")).sortWithinPartitions("g", "node").mapInArrow(run, "a long, b long")
 
 
@@ -445,15 +455,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILA
     a whole only where it stays apart. No pairs leave a task but the edges of its forest.
     """
     members = stored(key_groups(nodes, cap), "members")
-    ends = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    sets = stored(shingle_sets(texts, ends), "shingles")
-    parts = F.ceil(F.col("n") / F.col("per")).cast("int")
-    place = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")
-    dealt = members.withColumn("parts", parts)
-    at = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(place))
-    first = dealt.select("node", F.col("node").alias("comp"), F.col("g"), "parts", F.explode(at).alias("part"))
-    first = first.select(F.when(F.col("parts") == 1, F.col("g")).otherwise(F.xxhash64("g", "part")).alias("g"), "node", "comp")
-    links = cut(compared(first, sets, similarity, radius))
+    dealt = members.withColumn("parts", F.ceil(F.col("n") / F.col("per")).cast("int"))
+    place, leads = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"), F.col("node") == F.col("leader")
+    first = dealt.select("node", "g", F.col("node").alias("comp"), F.lit(0).alias("own"), F.when(leads, 0).otherwise(place).alias("low"), F.when(leads, F.col("parts") - 1).otherwise(place).alias("high"))
+    links = cut(compared(first, texts, nodes, similarity, radius))
     large = dealt.where("parts > 1")
     if large.head(1):
         large = cut(large.join(components(links), "node", "left").select("g", "node", "per", F.coalesce("component", "node").alias("comp")))
@@ -465,9 +470,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILA
         h = F.xxhash64("node", F.lit(4))
         # blocks of what is apart are numbered from 0, those of the main component from -1 down
         large = large.withColumn("own", F.when(F.col("loose"), F.pmod(h, blocks["apart"])).otherwise(-1 - F.pmod(h, blocks["joined"])).cast("int"))
-        large = large.withColumn("other", F.explode(F.sequence(F.when(F.col("loose"), -blocks["joined"]).otherwise(F.lit(0)), blocks["apart"] - 1)))
-        again = large.select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "comp")
-        links = cut(links.union(compared(again, sets, similarity, radius)))
+        low = F.when(F.col("loose"), -blocks["joined"]).otherwise(F.lit(0))
+        again = large.select("node", "g", "comp", "own", low.alias("low"), (blocks["apart"] - 1).alias("high"))
+        links = cut(links.union(compared(again, texts, nodes, similarity, radius)))
     return links
 
 
