@@ -45,7 +45,7 @@ DISTANCES = {
 
 
 def cellular(seed: int, x: np.ndarray, y: np.ndarray, distance: str = "euclidean", returns: str = "nearest", jitter: float = 1.0) -> np.ndarray:
-    """From one point in each lattice cell: the distance to the nearest or second, their difference, or the nearest's number.
+    """From one point in each lattice cell: the distance to the nearest or second, their difference, sum, product or ratio (nearest / second), or the nearest's number.
 
     jitter, 0 to 1, is the share of its cell in which a point lies. Two cells each way are
     looked through, which holds the two nearest points.
@@ -61,7 +61,7 @@ def cellular(seed: int, x: np.ndarray, y: np.ndarray, distance: str = "euclidean
             second = np.where(nearer, first, np.minimum(second, d))
             owner = np.where(nearer, 2 * _unit(_hash(seed + 2, xi + a, yi + b)) - 1, owner)
             first = np.where(nearer, d, first)
-    return {"nearest": first, "second": second, "difference": second - first, "cell": owner}[returns]
+    return {"nearest": first, "second": second, "difference": second - first, "sum": first + second, "product": first * second, "ratio": first / second, "cell": owner}[returns]
 
 
 def perlin3(seed: int, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:

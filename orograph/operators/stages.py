@@ -41,6 +41,11 @@ def below(high: Column, difference: Column) -> Column:
     return high - difference
 
 
+def cold_tail(temp: Column, knee: float = 20.0, factor: float = 1.25) -> Column:
+    """Temperatures with those up to the knee spread away from it."""
+    return F.when(temp <= knee, (temp - knee) * factor + knee).otherwise(temp)
+
+
 def concat_scales(sizes: list[int], shares: list[float] | None = None) -> list[float]:
     """Factors that let concatenated inputs of these sizes keep unit magnitude, weighed by shares."""
     shares = shares or [1.0] * len(sizes)
@@ -48,6 +53,28 @@ def concat_scales(sizes: list[int], shares: list[float] | None = None) -> list[f
     return [whole * w / math.sqrt(n) for w, n in zip(shares, sizes, strict=True)]
 
 
+def conditioning(cells: DataFrame, channels: list[str], weight: str, means: list[float], stds: list[float], histogram: list[float], scales: list[float]) -> DataFrame:
+    """(wi, wj, vector) for every whole window of 4 x 4 cells (i, j): the 58 numbers that condition a finer stage.
+
+    Six weighted channels are divided by their weight (0 where it is about 0) and brought to the model's
+    unit; a value that isn't a number is 0. The vector holds 16 of the first channel, 16 of the second, the
+    means of the other four over the window's middle 2 x 2 cells, 16 of the mask, the histogram (5), and
+    the noise level, each part by its scale. A window is one group of 16 rows, none of it leaves the JVM.
+    """
+    w, place = F.col(weight), F.pmod("i", F.lit(4)) * 4 + F.pmod("j", F.lit(4))
+    z = [z_score(F.when(w > 1e-6, F.col(c) / w).otherwise(0.0), m, d) for c, m, d in zip(channels, means, stds, strict=False)]
+    z = [F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)).alias(f"z{k}") for k, x in enumerate(z)]
+    rows = cells.select(F.floor(F.col("i") / 4).alias("wi"), F.floor(F.col("j") / 4).alias("wj"), place.alias("place"), *z)
+    middle = [F.avg(F.when(F.col("place").isin(5, 6, 9, 10), F.col(f"z{k}"))).alias(f"m{k}") for k in range(2, len(channels))]
+    held = rows.groupBy("wi", "wj").agg(F.array_sort(F.collect_list(F.struct("place", "z0", "z1"))).alias("held"), *middle).where(F.size("held") == 16)
+    mask, noise = (1.0 - means[len(channels)]) / stds[len(channels)], -0.5 * math.sqrt(12.0)
+    parts = [
+        F.transform("held", lambda c: c["z0"] * scales[0]), F.transform("held", lambda c: c["z1"] * scales[1]), F.array(*[F.col(f"m{k}") * scales[2] for k in range(2, len(channels))]),
+        F.array_repeat(lit(mask * scales[3]), 16), F.array(*[lit(h * scales[4]) for h in histogram]), F.array(lit(noise * scales[5])),
+    ]
+    return held.select("wi", "wj", F.concat(*parts).alias("vector"))
+
+
 def strictly_increasing(table: Column) -> Column:
     """A quantile table (an array) whose ties rise by a tenth of its least positive step; 1e-10 if it has none."""
     n = F.size(table)

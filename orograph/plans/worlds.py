@@ -141,6 +141,33 @@ def quantile_mapping(spark, sf_dir):
     return rounded(stages.quantile_map(c, ["v"], {"v": [-15, 0, 20, 30]}, {"v": [-30, -10, 25, 30]}), 5)
 
 
+@query(f"WITH {SITES} SELECT l_orderkey, l_linenumber, round(CASE WHEN bio1 <= 20 THEN bio1 * 1.25 - 5 ELSE bio1 END, 5) AS temp FROM sites")
+def cold_tail(spark, sf_dir):
+    return rounded(sites(spark, sf_dir).select(*KEYS, stages.cold_tail(F.col("bio1")).alias("temp")), 5)
+
+
+MEANS, STDS, SHARES = [1.5, 90.0, 10.0, 500.0, 40.0, 5.0, 0.5], [250.0, 300.0, 14.0, 250.0, 25.0, 9.0, 0.25], [0.1, 0.2, 0.3, 0.25, 0.15]
+SCALES = stages.concat_scales([16, 16, 4, 16, 5, 1])
+
+
+@query(f"""WITH {CELLS}, w AS (SELECT *, CASE WHEN (i * 50 + j) % 17 = 0 THEN 0.0 ELSE 0.5 + 0.25 * ((i + j) % 3) END AS w FROM cells),
+    c AS (SELECT *, [elev_m, elev_m - 100, temp_c, temp_c * temp_c, abs(temp_c) * 3, temp_c / 2] AS c FROM w),
+    z AS (SELECT CAST(floor(i / 4.0) AS BIGINT) AS wi, CAST(floor(j / 4.0) AS BIGINT) AS wj, CAST(i % 4 * 4 + j % 4 AS INT) AS p, list_transform(range(6), lambda k: ((CASE WHEN w > 1e-6 THEN c[k + 1] ELSE 0.0 END) - ({MEANS!r})[k + 1]) / ({STDS!r})[k + 1]) AS z FROM c),
+    whole AS (SELECT wi, wj FROM z GROUP BY wi, wj HAVING count(*) = 16), k4 AS (SELECT unnest(range(4)) AS k), k5 AS (SELECT unnest(range(5)) AS k),
+    u AS (SELECT wi, wj, p AS place, z[1] * {SCALES[0]!r} AS v FROM z UNION ALL SELECT wi, wj, p + 16, z[2] * {SCALES[1]!r} FROM z
+        UNION ALL SELECT wi, wj, k + 32, avg(z[k + 3]) * {SCALES[2]!r} FROM z, k4 WHERE p IN (5, 6, 9, 10) GROUP BY wi, wj, k
+        UNION ALL SELECT wi, wj, p + 36, (1 - {MEANS[6]!r}) / {STDS[6]!r} * {SCALES[3]!r} FROM z
+        UNION ALL SELECT wi, wj, k + 52, ({SHARES!r})[k + 1] * {SCALES[4]!r} FROM whole, k5 UNION ALL SELECT wi, wj, 57, -0.5 * sqrt(12.0) * {SCALES[5]!r} FROM whole)
+    SELECT u.wi, u.wj, CAST(place AS INT) AS place, round(v, 5) AS value FROM u JOIN whole ON whole.wi = u.wi AND whole.wj = u.wj""")
+def conditioning_vector(spark, sf_dir):
+    w = F.when((F.col("i") * 50 + F.col("j")) % 17 == 0, 0.0).otherwise(0.5 + 0.25 * ((F.col("i") + F.col("j")) % 3))
+    e, t = F.col("elev_m"), F.col("temp_c")
+    values = {"c0": e, "c1": e - 100, "c2": t, "c3": t * t, "c4": F.abs(t) * 3, "c5": t / 2}
+    coarse = cells(spark, sf_dir).withColumn("w", w).withColumns({k: v * F.col("w") for k, v in values.items()})
+    out = stages.conditioning(coarse, list(values), "w", MEANS, STDS, SHARES, SCALES)
+    return rounded(out.select("wi", "wj", F.posexplode("vector").alias("place", "value")), 5)
+
+
 @query(f"""WITH {SITES}, z AS (SELECT *, (bio1 - 9.5) / 14.4 AS z FROM sites) SELECT l_orderkey, l_linenumber, round(z, 5) AS z, round(z * cos(atan(0.3)) + slope * sin(atan(0.3)), 5) AS mixed,
     round(z * cos(atan(0.7)) + slope * sin(atan(0.7)) * 0.5, 5) AS noised, round(z / 0.5 * 14.4 + 9.5, 5) AS back, round(bio12 - (z / 0.5 * 14.4 + 9.5), 5) AS low FROM z""")
 def stage_scaling(spark, sf_dir):

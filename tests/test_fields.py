@@ -40,6 +40,8 @@ def test_noise_fields():
     px, py = a + _hash(5, a, b) / 2**32, b + _hash(6, a, b) / 2**32
     d = np.sort(np.hypot(x[:, None] - px, y[:, None] - py), axis=1)
     assert np.allclose(fields.cellular(5, x, y), d[:, 0]) and np.allclose(fields.cellular(5, x, y, returns="second"), d[:, 1])
+    assert np.allclose(fields.cellular(5, x, y, returns="sum"), d[:, 0] + d[:, 1]) and np.allclose(fields.cellular(5, x, y, returns="product"), d[:, 0] * d[:, 1])
+    assert np.allclose(fields.cellular(5, x, y, returns="ratio"), d[:, 0] / d[:, 1])
     for fold in ("none", "ridged", "ping_pong"):
         v = fields.fractal(fields.perlin, 5, x, y, 0.3, 3, fold)
         assert np.abs(v).max() <= 1 + 1e-9
