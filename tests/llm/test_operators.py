@@ -541,3 +541,6 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = [r["doc_id"] for r in corpus_pipeline.keep_languages(spark, bare, str(tmp_path)).collect()]
+    assert sorted(kept) == [i for i in range(304) if i != 300]  # no label to learn from: only texts without a letter go
