@@ -72,6 +72,15 @@ class HeightMap:
         return F.greatest(lit(0), (255 - (temp_c + 20) * DEGREE_BYTES) * 1.5) / self.blocks_per_metre
 
 
+def described(h: HeightMap) -> str:
+    """A height map in words."""
+    if h.peak_m:
+        shape = f"calibrated to a peak of {h.peak_m:.0f} m"
+    else:
+        shape = "true to scale" if h.mode == "isotropic" else f"exaggerated {h.exaggeration:g} times"
+    return f"heights {shape}, {h.metres_per_block:g} m a block, sea level {h.sea_level}, world height {h.height}, headroom {h.headroom} blocks"
+
+
 def pack_climate(temp_c: Column, rainfall: Column, surface_y: Column, sea_level: int) -> Column:
     """temperature << 16 | rainfall << 8, both with the height correction that readers undo."""
     top = F.greatest(surface_y, F.lit(sea_level - 1))

@@ -1,18 +1,20 @@
-"""More noise fields beside gradient noise: value, cellular and three-dimensional noise, folded fractals, warped domains.
+"""More noise fields beside gradient noise: value, simplex, cellular and three-dimensional noise, folded fractals, warped domains.
 
-All are pure functions of a seed and arrays of places, evaluated over Arrow batches; like the
-gradient noise they have this library's own hash.
+All are pure functions of a seed and arrays of places, evaluated over Arrow batches. The cellular
+field's points have this library's own hash, and so has the order of seeds in a warp; all others
+are those of the gradient noise's lattice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from orograph.operators.noise import _hash, perlin
+from orograph.operators.noise import _hash, direction, lattice_hash, perlin
 
 Field = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
 
@@ -26,15 +28,56 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return h.astype(np.float64) / 2**32
 
 
+def _number(seed: int, *place: np.ndarray) -> np.ndarray:
+    """A hashed number in [-1, 1) at each whole place."""
+    h = lattice_hash(seed, *place)
+    h = h * h
+    h = h ^ (h << np.uint32(19))
+    return h.astype(np.int32) / 2.0**31
+
+
 def value(seed: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A hashed number at each lattice point, blended smoothly between them, in [-1, 1]."""
     xi, yi = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
-    u, v = _fade(x - xi), _fade(y - yi)
-    at = lambda a, b: 2 * _unit(_hash(seed, xi + a, yi + b)) - 1
+    u, v = (t * t * (3 - 2 * t) for t in (x - xi, y - yi))
+    at = lambda a, b: _number(seed, xi + a, yi + b)
     low, high = (at(0, b) + u * (at(1, b) - at(0, b)) for b in (0, 1))
     return low + v * (high - low)
 
 
+def value_cubic(seed: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashed numbers of the 4 x 4 lattice points around, blended by cubics that pass through them, in [-1, 1]."""
+    xi, yi = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+    weights = []
+    for t in (x - xi, y - yi):
+        # the cubic p t^3 + (a - b - p) t^2 + (c - a) t + b with p = (d - c) - (a - b), sorted by its four numbers
+        weights.append((-(t**3) + 2 * t**2 - t, t**3 - 2 * t**2 + 1, -(t**3) + t**2 + t, t**3 - t**2))
+    rows = (weights[1][b] * sum(weights[0][a] * _number(seed, xi + a - 1, yi + b - 1) for a in range(4)) for b in range(4))
+    return sum(rows) / 2.25
+
+
+#: Fixed values of simplex noise: how a kernel reaches (squared), the scale, and which lattice points can lie in reach.
+SIMPLEX = {"sharp": (0.5, 99.83685446303647, range(2)), "smooth": (2 / 3, 18.24196194486065, range(-1, 3))}
+_SKEW, _UNSKEW = (np.sqrt(3) - 1) / 2, (3 - np.sqrt(3)) / 6
+
+
+def simplex(seed: int, x: np.ndarray, y: np.ndarray, kind: str = "sharp") -> np.ndarray:
+    """Gradients on a triangular lattice, each fading to nothing at its reach, in [-1, 1]."""
+    reach, scale, around = SIMPLEX[kind]
+    shift = (x + y) * _SKEW
+    xs, ys = x + shift, y + shift
+    xi, yi = np.floor(xs).astype(np.int64), np.floor(ys).astype(np.int64)
+    total = np.zeros(len(x))
+    for a in around:
+        for b in around:
+            dx, dy = xs - xi - a, ys - yi - b
+            back = (dx + dy) * _UNSKEW
+            dx, dy = dx - back, dy - back
+            gx, gy = direction(lattice_hash(seed, xi + a, yi + b))
+            total += np.maximum(0, reach - dx * dx - dy * dy) ** 4 * (gx * dx + gy * dy)
+    return total * scale
+
+
 #: How far two places are.
 DISTANCES = {
     "euclidean": lambda a, b: np.sqrt(a * a + b * b),
@@ -64,35 +107,46 @@ def cellular(seed: int, x: np.ndarray, y: np.ndarray, distance: str = "euclidean
     return {"nearest": first, "second": second, "difference": second - first, "sum": first + second, "product": first * second, "ratio": first / second, "cell": owner}[returns]
 
 
+#: Fixed values of the three-dimensional noise: the middles of a cube's edges, five rounds and four more, and the scale.
+_EDGES = [(0, 1, 1), (0, -1, 1), (0, 1, -1), (0, -1, -1), (1, 0, 1), (-1, 0, 1), (1, 0, -1), (-1, 0, -1), (1, 1, 0), (-1, 1, 0), (1, -1, 0), (-1, -1, 0)]
+_EDGES = np.array(_EDGES * 5 + [(1, 1, 0), (0, -1, 1), (-1, 1, 0), (0, -1, -1)], float)
+PERLIN3_SCALE = 0.964921414852142333984375
+
+
 def perlin3(seed: int, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Gradient noise over three dimensions, in [-1, 1]."""
     base = [np.floor(t).astype(np.int64) for t in (x, y, z)]
-    at = [t - b for t, b in zip((x, y, z), base, strict=True)]
-    fades = [_fade(t) for t in at]
+    at = np.stack([t - b for t, b in zip((x, y, z), base, strict=True)], axis=1)
+    fades = _fade(at)
     total = np.zeros(len(x))
     for corner in np.ndindex(2, 2, 2):
-        h = _hash(seed, base[0] + corner[0], base[1] + corner[1]).astype(np.int64)
-        rise = 2 * _unit(_hash(seed + 1, h, base[2] + corner[2])) - 1
-        angle = 2 * np.pi * _unit(_hash(seed + 2, h, base[2] + corner[2]))
-        flat = np.sqrt(1 - rise * rise)
-        dx, dy, dz = (t - c for t, c in zip(at, corner, strict=True))
-        weight = np.prod([f if c else 1 - f for f, c in zip(fades, corner, strict=True)], axis=0)
-        total += weight * (flat * np.cos(angle) * dx + flat * np.sin(angle) * dy + rise * dz)
-    return np.clip(total * 2 / np.sqrt(3), -1, 1)
-
-
-def fractal(field: Field, seed: int, x: np.ndarray, y: np.ndarray, frequency: float, octaves: int, fold: str = "none", lacunarity: float = 2.0, gain: float = 0.5, strength: float = 2.0) -> np.ndarray:
-    """Octaves of any field, in [-1, 1]; "ridged" turns zeros to crests, "ping_pong" reflects the scaled field."""
-    total, amplitude, bound = np.zeros(len(x)), 1.0, 0.0
+        h = lattice_hash(seed, *[b + c for b, c in zip(base, corner, strict=True)])
+        g = _EDGES[((h ^ (h >> np.uint32(15))) >> np.uint32(2)) & np.uint32(63)]
+        weight = np.prod(np.where(corner, fades, 1 - fades), axis=1)
+        total += weight * (g * (at - corner)).sum(axis=1)
+    return total * PERLIN3_SCALE
+
+
+def fractal(field: Field, seed: int, x: np.ndarray, y: np.ndarray, frequency: float, octaves: int, fold: str = "none", lacunarity: float = 2.0, gain: float = 0.5, strength: float = 2.0, weighted: float = 0.0) -> np.ndarray:
+    """Octaves of any field, in [-1, 1]; "ridged" turns zeros to crests, "ping_pong" reflects the field scaled by strength.
+
+    weighted, 0 to 1, is how far low values of an octave take weight from the next ones.
+    """
+    total, amplitude, bound, share = np.zeros(len(x)), np.ones(len(x)), 0.0, 1.0
     for k in range(octaves):
         n = field(seed + k, x * frequency, y * frequency)
         if fold == "ridged":
+            kept = 1 - np.abs(n)
             n = 1 - 2 * np.abs(n)
         elif fold == "ping_pong":
             t = (n + 1) * strength % 2
-            n = 2 * np.where(t < 1, t, 2 - t) - 1
-        total, bound = total + amplitude * n, bound + amplitude
-        frequency, amplitude = frequency * lacunarity, amplitude * gain
+            kept = np.where(t < 1, t, 2 - t)
+            n = 2 * kept - 1
+        else:
+            kept = np.minimum(n + 1, 2) / 2
+        total, bound = total + amplitude * n, bound + share
+        amplitude, share = amplitude * (1 + weighted * (kept - 1)) * gain, share * gain
+        frequency *= lacunarity
     return total / bound
 
 
@@ -108,10 +162,10 @@ def warped(seed: int, x: np.ndarray, y: np.ndarray, frequency: float, amplitude:
     return wx, wy
 
 
-FIELDS: dict[str, Field] = {"gradient": perlin, "value": value, "cellular": cellular}
+FIELDS: dict[str, Field] = {"gradient": perlin, "value": value, "value_cubic": value_cubic, "simplex": simplex, "simplex_smooth": partial(simplex, kind="smooth"), "cellular": cellular}
 
 
-def field_column(kind: str, seed: int, frequency: float, octaves: int = 1, fold: str = "none", warp: float = 0.0):
+def field_column(kind: str, seed: int, frequency: float, octaves: int = 1, fold: str = "none", warp: float = 0.0, weighted: float = 0.0):
     """A column function (x, y) -> noise; warp is the amplitude by which places move first."""
     field = FIELDS[kind]
 
@@ -120,6 +174,6 @@ def field_column(kind: str, seed: int, frequency: float, octaves: int = 1, fold:
         px, py = x.to_numpy(float), y.to_numpy(float)
         if warp:
             px, py = warped(seed + 7919, px, py, frequency, warp)
-        return pd.Series(fractal(field, seed, px, py, frequency, octaves, fold))
+        return pd.Series(fractal(field, seed, px, py, frequency, octaves, fold, weighted=weighted))
 
     return noise

@@ -54,12 +54,22 @@ def overlap_add(windowed: DataFrame, value: str, weight: Column | str, i: str =
     return sums.select(i, j, F.when(F.col("weight") > eps, F.col("s") / F.col("weight")).otherwise(0.0).alias(value), "weight")
 
 
-def pending(requested: DataFrame, w: Windows, cached: DataFrame) -> DataFrame:
-    """Distinct windows (wi, wj) that the requested ranges (i0, i1, j0, j1) need and the cache lacks."""
+def needed(requested: DataFrame, w: Windows) -> DataFrame:
+    """Distinct windows (wi, wj) that the requested ranges (i0, i1, j0, j1) meet; ranges stay apart, no box is put around them."""
     rows = F.sequence(w.lowest(F.col("i0")), w.highest(F.col("i1")))
     cols = F.sequence(w.lowest(F.col("j0")), w.highest(F.col("j1")))
-    need = requested.select(F.explode(rows).alias("wi"), F.lit(None).alias("_"), cols.alias("c")).select("wi", F.explode("c").alias("wj")).distinct()
-    return need.join(cached.select("wi", "wj"), ["wi", "wj"], "left_anti")
+    return requested.select(F.explode(rows).alias("wi"), cols.alias("c")).select("wi", F.explode("c").alias("wj")).distinct()
+
+
+def pending(requested: DataFrame, w: Windows, cached: DataFrame) -> DataFrame:
+    """Distinct windows (wi, wj) that the requested ranges (i0, i1, j0, j1) need and the cache lacks."""
+    return needed(requested, w).join(cached.select("wi", "wj"), ["wi", "wj"], "left_anti")
+
+
+def sliced(cells: DataFrame, i0: int, i1: int, j0: int, j1: int, i: str = "i", j: str = "j") -> DataFrame:
+    """The cells of a half-open range, numbered from its start."""
+    kept = cells.where(F.col(i).between(i0, i1 - 1) & F.col(j).between(j0, j1 - 1))
+    return kept.withColumns({i: F.col(i) - i0, j: F.col(j) - j0})
 
 
 def intersect(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> tuple[Column, Column]:

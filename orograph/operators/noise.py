@@ -71,19 +71,40 @@ def _hash(seed: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint32(15))
 
 
+#: Fixed values of the lattice noise: the axes' primes, the factor of the hash, the scale of gradient noise.
+PRIMES, HASH_FACTOR, PERLIN_SCALE = (501125321, 1136930381, 1720413743), 0x27D4EB2D, 1.4247691104677813
+
+
+def lattice_hash(seed: int, *place: np.ndarray) -> np.ndarray:
+    """32-bit hashes of whole places, of two or three coordinates."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(place[0]), seed & 0xFFFFFFFF, np.uint32)
+        for c, prime in zip(place, PRIMES, strict=False):
+            h = h ^ (c.astype(np.uint32) * np.uint32(prime))
+        return h * np.uint32(HASH_FACTOR)
+
+
+def direction(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vector of a hash: 128 of them, five rounds in steps of 15 degrees and one of 45."""
+    k = ((h ^ (h >> np.uint32(15))) >> np.uint32(1)) & np.uint32(127)
+    k = k.astype(np.int64)
+    angle = np.radians(np.where(k < 120, 7.5 + 15 * (k % 24), 22.5 + 45 * (k - 120)))
+    return np.sin(angle), np.cos(angle)
+
+
 def perlin(seed: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Gradient noise with a quintic fade, in [-1, 1]."""
+    """Gradient noise with a quintic fade, in [-1, 1], in double precision."""
     xi, yi = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
     xf, yf = x - xi, y - yi
     u, v = (t * t * t * (t * (t * 6 - 15) + 10) for t in (xf, yf))
 
     def corner(a: int, b: int) -> np.ndarray:
-        angle = _hash(seed, xi + a, yi + b).astype(np.float64) * (2 * np.pi / 2**32)
-        return np.cos(angle) * (xf - a) + np.sin(angle) * (yf - b)
+        gx, gy = direction(lattice_hash(seed, xi + a, yi + b))
+        return gx * (xf - a) + gy * (yf - b)
 
     low = corner(0, 0) + u * (corner(1, 0) - corner(0, 0))
     high = corner(0, 1) + u * (corner(1, 1) - corner(0, 1))
-    return np.clip((low + v * (high - low)) * np.sqrt(2), -1, 1)
+    return (low + v * (high - low)) * PERLIN_SCALE
 
 
 def fbm(seed: int, x: np.ndarray, y: np.ndarray, frequency: float, octaves: int, lacunarity: float = 2.0, gain: float = 0.5) -> np.ndarray:
@@ -104,3 +125,16 @@ def fbm_column(seed: int, frequency: float, octaves: int, lacunarity: float = 2.
         return pd.Series(fbm(seed, x.to_numpy(float), y.to_numpy(float), frequency, octaves, lacunarity, gain))
 
     return noise
+
+
+#: Channels of the synthetic map in their order, with the octaves of each (fixed values).
+BANK = {"elev": 4, "temp": 2, "temp_std": 4, "precip": 4, "precip_std": 4}
+BANK_FREQUENCY = 0.05
+
+
+def noise_bank(cells: DataFrame, world_seed: int, multipliers: list[float]) -> DataFrame:
+    """cells (i, j) with one noise column for each channel of the synthetic map, each with its own seed and frequency."""
+    named = {}
+    for k, ((name, octaves), m) in enumerate(zip(BANK.items(), multipliers, strict=True)):
+        named[name] = fbm_column((world_seed + k + 1) & 0x7FFFFFFF, BANK_FREQUENCY * m, octaves)("i", "j")
+    return cells.withColumns(named)

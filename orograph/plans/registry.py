@@ -399,12 +399,71 @@ def gaussian_noise(spark, sf_dir):
     return noise.gaussian_patch(spark, 1234, -70, 90, -30, 130)
 
 
-@query()
+FADES = {"gradient": "{0} * {0} * {0} * ({0} * ({0} * 6 - 15) + 10)", "value": "{0} * {0} * (3 - 2 * {0})"}
+
+
+def noise_sql(kind: str, seed: int, frequency: float, octaves: int, gain: float = 0.5, fold: str = "n") -> str:
+    """A subquery (i, j, noise) over cells: octaves of gradient, value or simplex noise, each folded by an expression in n."""
+    bound = sum(gain**k for k in range(octaves))
+    shift = f"(i + j) * {(3**0.5 - 1) / 2!r}" if kind == "simplex" else "0"
+    at = f"({{0}} + {shift}) * {frequency!r} * pow(2, k)"
+    u, v = (FADES.get(kind, "{0}").format(f"({c} - floor({c}))") for c in "xy")
+    if kind == "simplex":
+        back = f"((x - floor(x) - a) + (y - floor(y) - b)) * {(3 - 3**0.5) / 6!r}"
+        term, scale = f"pow(greatest(0, 0.5 - (x - floor(x) - a - {back}) ** 2 - (y - floor(y) - b - {back}) ** 2), 4) * (sin(r) * (x - floor(x) - a - {back}) + cos(r) * (y - floor(y) - b - {back}))", fields.SIMPLEX["sharp"][1]
+    else:
+        share = f"(CASE a WHEN 1 THEN {u} ELSE 1 - {u} END) * (CASE b WHEN 1 THEN {v} ELSE 1 - {v} END)"
+        term, scale = (f"{share} * (sin(r) * (x - floor(x) - a) + cos(r) * (y - floor(y) - b))", noise.PERLIN_SCALE) if kind == "gradient" else (f"{share} * (CASE WHEN n31 >= 2147483648 THEN n31 - 4294967296 ELSE n31 END) / 2147483648.0", 1.0)
+    px, py = noise.PRIMES[:2]
+    return f"""(SELECT i, j, sum(({fold}) * pow({gain!r}, k)) / {bound!r} AS noise FROM (SELECT i, j, k, sum({term}) * {scale!r} AS n FROM (
+    SELECT *, CASE WHEN q < 120 THEN 7.5 + 15 * (q % 24) ELSE 22.5 + 45 * (q - 120) END * pi() / 180 AS r, xor(hh, (hh << 19) & 4294967295) AS n31 FROM (
+    SELECT *, (xor(h, h >> 15) >> 1) & 127 AS q, CAST((CAST(h AS HUGEINT) * h) % 4294967296 AS BIGINT) AS hh FROM (
+    SELECT *, (xor(xor({seed} + k, ((CAST(floor(x) AS BIGINT) + a) * {px}) & 4294967295), ((CAST(floor(y) AS BIGINT) + b) * {py}) & 4294967295) * {noise.HASH_FACTOR}) & 4294967295 AS h FROM (
+    SELECT i, j, k, a, b, {at.format("i")} AS x, {at.format("j")} AS y FROM cells, (SELECT unnest(range({octaves})) AS k), (SELECT unnest(range(2)) AS a), (SELECT unnest(range(2)) AS b))))) GROUP BY i, j, k) GROUP BY i, j)"""
+
+
+def noises_sql(**named: str) -> str:
+    """(i, j, one column for each subquery), rounded."""
+    joins = " ".join(f"JOIN {q} AS t{k} USING (i, j)" for k, q in enumerate(named.values()))
+    return f"WITH {CELLS} SELECT i, j, {', '.join(f'round(t{k}.noise, 6) + 0.0 AS {name}' for k, name in enumerate(named))} FROM cells {joins}"
+
+
+def with_noises(rows: DataFrame, **named) -> DataFrame:
+    return rows.select("i", "j", *[(F.round(f("i", "j"), 6) + F.lit(0.0)).alias(k) for k, f in named.items()])
+
+
+@query(noises_sql(noise=noise_sql("gradient", 99999, 1 / 24, 3), fine=noise_sql("gradient", 88888, 1 / 6, 2, 0.6)))
 def perlin_fbm(spark, sf_dir):
-    return cells(spark, sf_dir).select("i", "j", noise.fbm_column(99999, 1 / 24, 3)("i", "j").alias("noise"))
+    return with_noises(cells(spark, sf_dir), noise=noise.fbm_column(99999, 1 / 24, 3), fine=noise.fbm_column(88888, 1 / 6, 2, gain=0.6))
 
 
-@query()
+RIDGED, PING_PONG = "1 - 2 * abs(n)", "1 - 2 * abs((n + 1) * 2 - 2 * floor((n + 1) * 2 / 2) - 1)"
+
+
+@query(noises_sql(value=noise_sql("value", 11, 1 / 16, 3), ridged=noise_sql("gradient", 13, 1 / 24, 3, fold=RIDGED), ping_pong=noise_sql("gradient", 14, 1 / 24, 2, fold=PING_PONG), simplex=noise_sql("simplex", 15, 1 / 16, 3)))
 def noise_fields(spark, sf_dir):
-    named = {"value": fields.field_column("value", 11, 1 / 16, 3), "cellular": fields.field_column("cellular", 12, 1 / 8), "ridged": fields.field_column("gradient", 13, 1 / 24, 3, "ridged"), "ping_pong": fields.field_column("gradient", 14, 1 / 24, 2, "ping_pong"), "warped": fields.field_column("gradient", 15, 1 / 24, 2, warp=6.0)}
-    return cells(spark, sf_dir).select("i", "j", *[f("i", "j").alias(k) for k, f in named.items()])
+    column = fields.field_column
+    return with_noises(cells(spark, sf_dir), value=column("value", 11, 1 / 16, 3), ridged=column("gradient", 13, 1 / 24, 3, "ridged"), ping_pong=column("gradient", 14, 1 / 24, 2, "ping_pong"), simplex=column("simplex", 15, 1 / 16, 3))
+
+
+@query()
+def cellular_fields(spark, sf_dir):
+    column = fields.field_column
+    return with_noises(cells(spark, sf_dir), cellular=column("cellular", 12, 1 / 8), cubic=column("value_cubic", 16, 1 / 16, 2), smooth=column("simplex_smooth", 17, 1 / 16, 2, weighted=0.5), warped=column("gradient", 15, 1 / 24, 2, warp=6.0))
+
+
+MULTIPLIERS = [1.0, 0.5, 1.0, 2.0, 1.5]
+
+
+@query(noises_sql(**{name: noise_sql("gradient", 4242 + k + 1, noise.BANK_FREQUENCY * m, octaves) for k, ((name, octaves), m) in enumerate(zip(noise.BANK.items(), MULTIPLIERS, strict=True))}))
+def noise_bank(spark, sf_dir):
+    rows = noise.noise_bank(cells(spark, sf_dir).select("i", "j"), 4242, MULTIPLIERS)
+    return rows.select("i", "j", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in noise.BANK])
+
+
+@query(f"""WITH {CELLS} SELECT i, j, CAST(CASE WHEN elev_m <= 0 THEN 0 ELSE greatest(0.0, least(255.0, round_even((0.6 * 0.9 + 0.18 * noise * 0.6 * 0.9) * 255, 0))) END AS INT) AS cover
+    FROM cells JOIN {noise_sql("gradient", 777, 32 / 480, 3)} AS t USING (i, j)""")
+def forest_variation(spark, sf_dir):
+    # a cell is 32 blocks wide, and the stand's noise has a frequency of 1 / 480 blocks
+    variation = noise.fbm_column(777, 1 / 480, 3)(F.col("i") * 32, F.col("j") * 32)
+    return cells(spark, sf_dir).select("i", "j", mapping.cover_byte(F.lit(0.6), F.col("elev_m"), F.lit(0.0), F.lit(1.0), 0.9, variation).alias("cover"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orograph.functions import climate, mapping, seasons
-from orograph.operators import composers, grid, raster, search, stages, survey, tiles, voxel
+from orograph.operators import chains, composers, grid, raster, search, stages, survey, tiles, voxel
 from orograph.plans.shared import BIO, CELLS, KEYS, ROWS, SITES, grid_rows, query, rounded
 from orograph.sources.tables import cells, sites, table
 
@@ -442,3 +442,65 @@ def centre_mean(spark, sf_dir):
 def human_bytes(spark, sf_dir):
     b = F.floor(F.col("o_totalprice") * F.col("o_totalprice") / 1000).cast("long")
     return table(spark, sf_dir, "orders").select("o_orderkey", mapping.human_bytes(b).alias("size"), F.sha2("o_orderpriority", 256).alias("digest"))
+
+
+@query(f"""WITH {CELLS}, t AS (SELECT floor(i / 16.0) AS ti, floor(j / 16.0) AS tj, count(*) AS n FROM cells GROUP BY 1, 2)
+    SELECT '{mapping.described(HEIGHTS)}' AS world, 16 AS tile_side, count(*) AS tiles, CAST(sum(CASE WHEN n = 256 THEN 1 ELSE 0 END) AS BIGINT) AS whole_tiles, CAST(sum(n) AS BIGINT) AS cells FROM t""")
+def report_status(spark, sf_dir):
+    held = cells(spark, sf_dir).groupBy(F.floor(F.col("i") / 16).alias("ti"), F.floor(F.col("j") / 16).alias("tj")).agg(F.count("*").alias("n"))
+    return held.agg(F.lit(mapping.described(HEIGHTS)).alias("world"), F.lit(16).alias("tile_side"), F.count("*").alias("tiles"), F.count_if(F.col("n") == 256).alias("whole_tiles"), F.sum("n").alias("cells"))
+
+
+# ---- chains of stages --------------------------------------------------------------------------
+
+CHAIN = [
+    chains.Stage("coarse", grid.Windows(4, 2, -1)),
+    chains.Stage("latent", grid.Windows(6, 4), grid.Windows(3, 2, -1)),
+    chains.Stage("residual", grid.Windows(16, 12), grid.Windows(8, 6, -2)),
+]
+REQUESTED_SQL = "req AS (SELECT DISTINCT user_id % 97 - 10 AS i0, user_id % 97 - 9 + event_id % 13 AS i1, event_id % 211 AS j0, event_id % 211 + 5 + user_id % 3 AS j1 FROM events)"
+
+
+def needed_sql(source: str, w: grid.Windows) -> str:
+    low, high = (lambda c: f"CAST(ceil(({c} - {w.offset + w.size - 1}) / {float(w.stride)}) AS BIGINT)"), (lambda c: f"CAST(floor(({c} - 1 - {w.offset}) / {float(w.stride)}) AS BIGINT)")
+    return f"(SELECT DISTINCT wi, unnest(range(lo, hi + 1)) AS wj FROM (SELECT unnest(range({low('i0')}, {high('i1')} + 1)) AS wi, {low('j0')} AS lo, {high('j1')} AS hi FROM {source}))"
+
+
+def ranges_sql(source: str, w: grid.Windows) -> str:
+    at = lambda c: f"{c} * {w.stride} + {w.offset}"
+    return f"(SELECT {at('wi')} AS i0, {at('wi')} + {w.size} AS i1, {at('wj')} AS j0, {at('wj')} + {w.size} AS j1 FROM {source})"
+
+
+@query(f"""WITH {REQUESTED_SQL}, residual AS {needed_sql("req", CHAIN[2].made)}, ask1 AS {ranges_sql("residual", CHAIN[2].needs)}, all_latent AS {needed_sql("ask1", CHAIN[1].made)},
+    latent AS (SELECT * FROM all_latent WHERE (wi + wj) % 5 <> 0), ask0 AS {ranges_sql("latent", CHAIN[1].needs)}, coarse AS {needed_sql("ask0", CHAIN[0].made)}
+    SELECT 'residual' AS stage, wi, wj FROM residual UNION ALL SELECT 'latent', wi, wj FROM latent UNION ALL SELECT 'coarse', wi, wj FROM coarse""")
+def demand_chain(spark, sf_dir):
+    user, event = F.col("user_id"), F.col("event_id")
+    requested = table(spark, sf_dir, "events").select((user % 97 - 10).alias("i0"), (user % 97 - 9 + event % 13).alias("i1"), (event % 211).alias("j0"), (event % 211 + 5 + user % 3).alias("j1")).distinct()
+    numbers = lambda a, b, n: spark.range(a, b).withColumnRenamed("id", n)
+    every = numbers(-40, 120, "wi").join(numbers(-40, 200, "wj"), (F.col("wi") + F.col("wj")) % 5 == 0)
+    found = chains.demand(requested, CHAIN, {"latent": every})
+    rows = [w.select(F.lit(name).alias("stage"), "wi", "wj") for name, w in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def means_around(wi, wj, given):
+    """Means over 3 x 3 cells, for all but a window's outermost ones."""
+    x = given["elev_m"]
+    n = x.shape[1] - 2
+    return {"elev_m": sum(x[:, a : a + n, b : b + n] for a in range(3) for b in range(3)) / 9}
+
+
+@query(f"""WITH {CELLS}, held AS (SELECT i + a AS i, j + b AS j, elev_m FROM cells, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b))
+    SELECT i, j, round(avg(elev_m), 4) AS elev_m FROM held WHERE i BETWEEN 1 AND 2 AND j BETWEEN 3 AND 44 GROUP BY i, j""")
+def stage_windows(spark, sf_dir):
+    stage = chains.Stage("smooth", grid.Windows(2, 2, 1), grid.Windows(4, 2, 0))
+    requested = spark.createDataFrame([(1, 3, 3, 20), (1, 3, 15, 45)], "i0 long, i1 long, j0 long, j1 long")
+    wanted = chains.demand(requested, [stage])["smooth"]
+    out = chains.run_stage(cells(spark, sf_dir), stage, wanted, means_around, ["elev_m"], ["elev_m"])
+    return rounded(out.select("i", "j", "elev_m"))
+
+
+@query(f"WITH {CELLS} SELECT i - 1 AS i, j - 10 AS j, elev_m FROM cells WHERE i BETWEEN 1 AND 3 AND j BETWEEN 10 AND 29")
+def lattice_slice(spark, sf_dir):
+    return grid.sliced(cells(spark, sf_dir).select("i", "j", "elev_m"), 1, 4, 10, 30)
