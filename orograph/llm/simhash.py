@@ -134,6 +134,18 @@ def pivot_table(fp: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(fp[:, w : w + 1] ^ PIVOTS[w][None, :]).astype(np.int16) for w in range(fp.shape[1]))
 
 
+def with_pivots(distinct: DataFrame) -> DataFrame:
+    """(fp, c0, c1): distinct 64-bit fingerprints with their distances to the pivots, a byte each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pivot_table(np.asarray(batch.column(0)).view(np.uint64)[:, None])
+            held = np.ascontiguousarray(table, dtype=np.uint8).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held[:, 0]), pa.array(held[:, 1])], ["fp", "c0", "c1"])
+
+    return distinct.select("fp").mapInArrow(run, "fp long, c0 long, c1 long")
+
+
 def far_by_pivots(c: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that no pivot rules out."""
     for p in range(c.shape[1]):
@@ -166,9 +178,8 @@ def forest(fp: np.ndarray, c: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def run_edges(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that join what links within each run of equal, sorted group numbers."""
-    c = pivot_table(fp)
+def run_edges(group: np.ndarray, fp: np.ndarray, c: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that join what links within each run of equal, sorted group numbers; c: distances to the pivots."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[starts, len(group)])
     a, b = [], []
@@ -193,7 +204,7 @@ def run_edges(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarra
 def whole_runs(batches: Iterable[pa.RecordBatch], words: int, before: int) -> Iterator[list[np.ndarray]]:
     """The columns of rows sorted by the first, in parts that end at the end of a run of equal values.
 
-    The columns from number before on, words of them, come as one array of fingerprints.
+    The columns from number before on, words of them, come as one array.
     """
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -209,12 +220,13 @@ def whole_runs(batches: Iterable[pa.RecordBatch], words: int, before: int) -> It
         yield held
 
 
-def linked_runs(words: int, radius: int):
-    """For mapInArrow: rows (g, id, fp...) sorted by g; gives edges (a, b) between ids."""
+def linked_runs(radius: int):
+    """For mapInArrow: rows (g, id, fp, c0, c1) sorted by g; gives edges (a, b) between ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, ids, fp in whole_runs(batches, words, 2):
-            i, j = run_edges(g, fp, radius)
+        for g, ids, held in whole_runs(batches, 3, 2):
+            c = np.ascontiguousarray(held[:, 1:]).view(np.uint8).astype(np.int16)
+            i, j = run_edges(g, held[:, :1], c, radius)
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
 
@@ -267,16 +279,16 @@ def fingerprint_edges(distinct: DataFrame, radius: int = RADIUS, blocks: tuple[i
         raise ValueError("blocks must cover 64 bits and number radius + 2 at least")
     masks = block_masks(blocks)
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(np.uint64(m).view(np.int64).item())).alias("key")) for t, m in enumerate(masks)])
-    keyed = distinct.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
+    keyed = cut(with_pivots(distinct)).select("fp", "c0", "c1", F.explode(keys).alias("k")).select("k.t", "k.key", "fp", "c0", "c1")
     crowded = cut(keyed.groupBy("t", "key").count().where(F.col("count") > cap).select("t", "key"))
     calm, hot_edges = keyed, None
     if crowded.head(1):
         calm = keyed.join(crowded, ["t", "key"], "left_anti")
         hot_edges = ball_edges(keyed.join(crowded, ["t", "key"], "left_semi"), radius, masks)
     # the key bits of table t are all in key, so that t and key in one number can stay apart: sort by both, number by hash
-    runs = calm.select(F.xxhash64("t", "key").alias("g"), F.col("fp").alias("id"), "fp")
+    runs = calm.select(F.xxhash64("t", "key").alias("g"), F.col("fp").alias("id"), "fp", "c0", "c1")
     runs = runs.repartition(F.col("g")).sortWithinPartitions("g", "id")
-    edges = runs.mapInArrow(linked_runs(1, radius), "a long, b long")
+    edges = runs.mapInArrow(linked_runs(radius), "a long, b long")
     return edges.union(hot_edges) if hot_edges is not None else edges
 
 
