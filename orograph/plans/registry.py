@@ -9,6 +9,7 @@ from orograph.functions import climate, mapping, seasons
 from orograph.operators import borders, diffusion, fields, grid, noise, raster, search, voxel
 from orograph.plans import worlds  # noqa: F401  registers its queries
 from orograph.plans.shared import BIO, CELLS, COVER_SQL, FOREST_SQL, KEYS, ORACLE_SQL, QUERIES, ROWS, SHRUB_SQL, SITES, grid_rows, query  # noqa: F401
+from orograph.sources import settings
 from orograph.sources.tables import cells, sites, table
 
 def with_bio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,9 +395,54 @@ def solver_step(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query()
+@query(f"""WITH {SITES}, p AS (SELECT l_orderkey, l_linenumber, bio1 AS x, slope AS f, 1 + bio4 / 100 AS sigma FROM sites)
+    SELECT l_orderkey, l_linenumber, round(x / sqrt(1.6 * 1.6 + 0.25), 6) AS scaled, round(atan(1.6 / 0.5), 6) AS label, round(0.25 / (sigma * sigma + 0.25) * x + sigma * 0.5 / sqrt(sigma * sigma + 0.25) * f, 6) AS clean FROM p""")
+def preconditioning(spark, sf_dir):
+    x, sigma = F.col("bio1"), 1 + F.col("bio4") / 100
+    return sites(spark, sf_dir).select(*KEYS, F.round(diffusion.scaled_input(x, 1.6), 6).alias("scaled"), F.round(F.lit(diffusion.noise_label(1.6)), 6).alias("label"), F.round(diffusion.denoised(x, sigma, F.col("slope")), 6).alias("clean"))
+
+
+@query("""WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT vec_id, x, 0.3 * x + 0.1 AS m, 0.2 * x - 0.05 AS before FROM p)
+    SELECT vec_id, round(sum(0.25 * x + 0.75 * (m + 0.5 * (m - before) * (ln(4.0) - ln(1.0)) / (ln(9.0) - ln(4.0)))), 4) AS total FROM c GROUP BY vec_id""")
+def second_order_step(spark, sf_dir):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    out = diffusion.second_order(v, F.transform(v, lambda x: x * 0.3 + 0.1), F.transform(v, lambda x: x * 0.2 - 0.05), 9.0, 4.0, 1.0)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+ATTRIBUTE_SQL = "CASE o_orderkey % 4 WHEN 0 THEN '  ' WHEN 1 THEN o_orderpriority WHEN 2 THEN NULL ELSE ' ' || (o_orderkey % 1000) || '.5 ' END"
+
+
+@query(f"SELECT o_orderkey, coalesce(TRY_CAST(nullif(trim({ATTRIBUTE_SQL}), '') AS DOUBLE), 1.0) AS scale, coalesce(nullif(trim({ATTRIBUTE_SQL}), ''), 'isotropic') AS mode FROM orders")
+def world_attributes(spark, sf_dir):
+    n = F.col("o_orderkey")
+    found = F.when(n % 4 == 0, "  ").when(n % 4 == 1, F.col("o_orderpriority")).when(n % 4 == 3, F.concat(F.lit(" "), (n % 1000).cast("string"), F.lit(".5 ")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", settings.typed(found, "double", 1.0).alias("scale"), settings.typed(found, "string", "isotropic").alias("mode"))
+
+
+def step_sql(state: str) -> str:
+    return f"CAST((CAST({state} AS UHUGEINT) * {noise.MULTIPLIER} + {noise.INCREMENT}) % {noise.MASK + 1} AS UBIGINT)"
+
+
+def output_sql(state: str) -> str:
+    """2 (r + 1) / 2^32 - 1 of the 32-bit output r of a state."""
+    x, rot = f"(CAST(xor({state} >> 18, {state}) >> 27 AS UBIGINT) & 4294967295)", f"({state} >> 59)"
+    return f"(2.0 * (((({x} >> {rot}) | ({x} << ((32 - {rot}) & 31))) & 4294967295) + 1) / 4294967296.0 - 1)"
+
+
+#: Tiles of 64 x 64 from row and column -2 to 2; 2,048 pairs that pass lie within the first 2,900 but for a chance of 10^-20 or so.
+@query(f"""WITH RECURSIVE t AS (SELECT a.v AS ti, b.v AS tj FROM (SELECT unnest(range(-2, 2)) AS v) a, (SELECT unnest(range(-1, 3)) AS v) b),
+    h AS (SELECT ti, tj, (CAST(1234 AS UHUGEINT) * {noise.GOLDEN} + CAST(ti & 4294967295 AS UHUGEINT)) % {noise.MASK + 1} AS h FROM t),
+    seeds AS (SELECT ti, tj, CAST((h * {noise.GOLDEN} + CAST(tj & 4294967295 AS UHUGEINT)) % {noise.MASK + 1} AS UBIGINT) AS s FROM h),
+    walk AS (SELECT ti, tj, 0 AS n, CAST(0 AS UBIGINT) AS s1, s AS s2 FROM seeds UNION ALL SELECT ti, tj, n + 1, {step_sql("s2")}, {step_sql(step_sql("s2"))} FROM walk WHERE n < 2900),
+    u AS (SELECT ti, tj, n, {output_sql("s1")} AS a, {output_sql("s2")} AS b FROM walk WHERE n > 0), q AS (SELECT *, a * a + b * b AS s FROM u),
+    kept AS (SELECT *, sqrt(-2 * ln(s) / s) AS f, row_number() OVER (PARTITION BY ti, tj ORDER BY n) - 1 AS k FROM q WHERE s > 0 AND s < 1),
+    z AS (SELECT ti, tj, 2 * k AS place, a * f AS noise FROM kept UNION ALL SELECT ti, tj, 2 * k + 1, b * f FROM kept),
+    cells AS (SELECT ti * 64 + place // 64 AS i, tj * 64 + place % 64 AS j, noise FROM z WHERE place < 4096)
+    SELECT i, j, round(CAST(CAST(noise AS FLOAT) AS DOUBLE), 4) + 0.0 AS noise FROM cells WHERE i BETWEEN -70 AND 89 AND j BETWEEN -30 AND 129""")
 def gaussian_noise(spark, sf_dir):
-    return noise.gaussian_patch(spark, 1234, -70, 90, -30, 130)
+    patch = noise.gaussian_patch(spark, 1234, -70, 90, -30, 130)
+    return patch.select("i", "j", (F.round(F.col("noise").cast("double"), 4) + F.lit(0.0)).alias("noise"))
 
 
 FADES = {"gradient": "{0} * {0} * {0} * ({0} * ({0} * 6 - 15) + 10)", "value": "{0} * {0} * (3 - 2 * {0})"}
