@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.llm import decontam, langid, licences, lmscore, sentencepiece, shards, simhash, toxicity, urlfilter, vectors
+from orograph.llm import decontam, langid, licences, lmscore, negatives, runs, sentencepiece, shards, simhash, toxicity, urlfilter, vectors
 from orograph.llm.common import learning_rows, new_path, table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -62,6 +62,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.shards(["doc_id"], done).withColumn("version", F.lit(done.version))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.with_repeats(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_sentencepiece": op2_sentencepiece,
@@ -73,6 +82,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_licences": op9_licences,
     "op10_sharding": op10_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -97,4 +108,25 @@ ORACLE_SQL = {
         SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict
         FROM parts p LEFT JOIN hits h ON h.page_id = p.page_id AND h.n = 1
     """,
+    "op11_hard_negatives": """
+        WITH rows_ AS MATERIALIZED (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scores AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+            FROM rows_ a JOIN rows_ r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id
+        ), positives AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score
+            FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        ), ranked AS (
+            SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS n
+            FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+             AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+        )
+        SELECT anchor_id, positive_id, n::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE n <= 3
+    """,
 }
