@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.llm import decontam, langid, licences, lmscore, negatives, runs, sentencepiece, shards, simhash, toxicity, urlfilter, vectors
+from orograph.llm import decontam, langid, licences, lmscore, negatives, runs, sentencepiece, shards, simhash, suffixes, toxicity, urlfilter, vectors
 from orograph.llm.common import learning_rows, new_path, table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -71,6 +71,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(runs.with_repeats(table(spark, sf_dir, "documents"))))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.repeats_removed(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_sentencepiece": op2_sentencepiece,
@@ -84,6 +88,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL = {
@@ -129,4 +134,28 @@ ORACLE_SQL = {
         )
         SELECT anchor_id, positive_id, n::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE n <= 3
     """,
+    "op13_suffix_dedup": """
+        WITH texts AS (
+            SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents
+        ), windows AS MATERIALIZED (
+            SELECT doc_id, i, array_slice(x, i + 1, i + 50) AS w FROM texts, unnest(range(octet_length(x) - 49)) AS t(i)
+        ), firsts AS (
+            SELECT w, min(doc_id) AS least FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)
+        ), gone AS (
+            SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS earlier FROM windows JOIN firsts USING (w) WHERE least < doc_id
+        ), marked AS (
+            SELECT doc_id, i, sum(CASE WHEN i <= earlier + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM gone
+        ), spans AS (
+            SELECT doc_id, n, min(i) AS s, max(i) + 50 AS e FROM marked GROUP BY doc_id, n
+        ), parts AS (
+            SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM spans
+        ), cut AS (
+            SELECT p.doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS rest,
+                   string_agg(hex(array_slice(x, before + 1, s)), '' ORDER BY s) AS head
+            FROM parts p JOIN texts t ON p.doc_id = t.doc_id GROUP BY p.doc_id
+        )
+        SELECT t.doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(head, '') || hex(array_slice(x, coalesce(rest, 0) + 1, octet_length(x))))) AS kept_sha256
+        FROM texts t LEFT JOIN cut c ON t.doc_id = c.doc_id
+    """,
 }
