@@ -55,11 +55,16 @@ class HeightMap:
     def ocean_scale(self) -> float:
         return self.ocean_fraction * max(8, self.sea_level - 4) / (math.sqrt(MAX_DEPTH_M + 10) - math.sqrt(10) + 1)
 
-    def block_y(self, elev_m: Column) -> Column:
-        linear = elev_m * self.blocks_per_metre
-        span = max(1.0, self.headroom - self.knee)
-        u = (linear - self.knee) / span
-        land = F.when(linear <= self.knee, linear).otherwise(u / (u + 1) * span + self.knee).cast("int") + self.sea_level
+    def block_y(self, elev_m: Column, blocks_per_metre: Column | None = None) -> Column:
+        """Height of the surface; blocks_per_metre: measured in the plan, instead of this map's own."""
+        if blocks_per_metre is None:
+            linear, knee, span = elev_m * self.blocks_per_metre, lit(self.knee), lit(max(1.0, self.headroom - self.knee))
+        else:
+            linear, fits = elev_m * blocks_per_metre, blocks_per_metre * MAX_ELEVATION_M <= self.headroom
+            knee = F.when(fits, lit(self.headroom)).otherwise(self.headroom * self.knee_fraction)
+            span = F.greatest(lit(1), self.headroom - knee)
+        u = (linear - knee) / span
+        land = F.when(linear <= knee, linear).otherwise(u / (u + 1) * span + knee).cast("int") + self.sea_level
         depth = (F.sqrt(F.greatest(lit(0), -elev_m) + 10) - math.sqrt(10) + 1) * self.ocean_scale
         return F.when(elev_m >= 0, land).otherwise(F.greatest(F.lit(2), self.sea_level - depth.cast("int")))
 

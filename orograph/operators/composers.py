@@ -18,19 +18,20 @@ def normalised(total: Column, weight: Column, std: float = 1.0, mean: float = 0.
 def bilinear_points(points: DataFrame, cells: DataFrame, values: list[str], rows: int, cols: int, y: str = "gy", x: str = "gx") -> DataFrame:
     """points with each value read between the four nearest cells; places beyond the field are drawn to its edge.
 
-    One equi-join on the corners and one partial aggregation, on a number of each point.
+    Each different place is read once: one equi-join on its corners and one partial aggregation by
+    the place itself, which then brings the values back to all points there. Nothing depends on the
+    order of rows. A point without a place, or whose four cells are all missing, has nulls.
     """
-    spot = points.withColumn("_id", F.monotonically_increasing_id())
-    corners = spot
-    for name, at, n in (("i", y, rows), ("j", x, cols)):
+    corners = points.select(F.col(y).alias("_y"), F.col(x).alias("_x")).where("_y is not null and _x is not null").distinct()
+    for name, at, n in (("i", "_y", rows), ("j", "_x", cols)):
         place = F.greatest(lit(0), F.least(lit(n - 1), F.col(at)))
         base = F.floor(place)
         part = place - base
         ends = F.array(F.struct(base.alias("at"), (1 - part).alias("w")), F.struct(F.least(F.lit(n - 1), base + 1).alias("at"), part.alias("w")))
         corners = corners.withColumn(f"_{name}", F.explode(ends)).withColumn(name, F.col(f"_{name}.at").cast("long"))
-    corners = corners.select("_id", "i", "j", (F.col("_i.w") * F.col("_j.w")).alias("_w")).where("_w > 0")
-    read = corners.join(cells.select("i", "j", *values), ["i", "j"]).groupBy("_id").agg(*[F.sum(F.col(v) * F.col("_w")).alias(v) for v in values])
-    return spot.join(read, "_id", "left").drop("_id")
+    corners = corners.select("_y", "_x", "i", "j", (F.col("_i.w") * F.col("_j.w")).alias("_w")).where("_w > 0")
+    read = corners.join(cells.select("i", "j", *values), ["i", "j"]).groupBy("_y", "_x").agg(*[F.sum(F.col(v) * F.col("_w")).alias(v) for v in values])
+    return points.withColumn("_y", F.col(y)).withColumn("_x", F.col(x)).join(read, ["_y", "_x"], "left").drop("_y", "_x")
 
 
 def laplacian_denoise(residual: DataFrame, low: DataFrame, value: str, low_shape: tuple[int, int], shape: tuple[int, int], sigma: float = 5.0) -> DataFrame:

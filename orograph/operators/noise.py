@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the generator.
@@ -132,9 +132,14 @@ BANK = {"elev": 4, "temp": 2, "temp_std": 4, "precip": 4, "precip_std": 4}
 BANK_FREQUENCY = 0.05
 
 
-def noise_bank(cells: DataFrame, world_seed: int, multipliers: list[float]) -> DataFrame:
-    """cells (i, j) with one noise column for each channel of the synthetic map, each with its own seed and frequency."""
+def bank_columns(world_seed: int, multipliers: list[float], stride: int = 1, i: str = "i", j: str = "j") -> dict[str, Column]:
+    """The noise of each channel of the synthetic map at every stride-th place, each with its own seed and frequency."""
     named = {}
     for k, ((name, octaves), m) in enumerate(zip(BANK.items(), multipliers, strict=True)):
-        named[name] = fbm_column((world_seed + k + 1) & 0x7FFFFFFF, BANK_FREQUENCY * m, octaves)("i", "j")
-    return cells.withColumns(named)
+        named[name] = fbm_column((world_seed + k + 1) & 0x7FFFFFFF, BANK_FREQUENCY * m * stride, octaves)(i, j)
+    return named
+
+
+def noise_bank(cells: DataFrame, world_seed: int, multipliers: list[float]) -> DataFrame:
+    """cells (i, j) with one noise column for each channel of the synthetic map."""
+    return cells.withColumns(bank_columns(world_seed, multipliers))

@@ -29,24 +29,43 @@ def with_band(sites: DataFrame, temp: str) -> DataFrame:
     return sites.join(b, F.col(temp).between(F.col("min_c"), F.col("max_c")), "left").drop("min_c", "max_c")
 
 
-def binned(rows: DataFrame, value: str, bins: int = 64) -> DataFrame:
+#: Rows of a bin, about, and bins at least.
+BIN, LEAST_BINS = 1 << 20, 16
+
+
+def binned(rows: DataFrame, value: str, bins: int | None = None) -> DataFrame:
     """rows with bin: how many of about so many even quantiles lie at or below value; null values go.
 
-    The edges come from a sketch, so that bins hold about as many rows whatever the values.
+    The edges come from a sketch, so that bins hold about as many rows whatever the values. bins: as
+    many as the rows ask for, if not given.
     """
+    bins = bins or max(LEAST_BINS, -(-rows.count() // BIN))
     edges = rows.agg(F.percentile_approx(value, F.array(*[F.lit((k + 1) / bins) for k in range(bins - 1)]), 10_000).alias("_edges"))
     out = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges))
     return out.withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
 
 
-def counted(rows: DataFrame, value: str) -> DataFrame:
-    """(v, n, before, total): each value with its rows, the rows below it, and all; values are ranked within bins, whose few totals alone meet."""
-    counts = binned(rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")), "v")
-    starts = counts.groupBy("bin").agg(F.sum("n").alias("m"))
-    ranks = Window.orderBy("bin")
-    starts = starts.select("bin", (F.sum("m").over(ranks) - F.col("m")).alias("start"), F.sum("m").over(Window.partitionBy(F.lit(0))).alias("total"))
-    inner = Window.partitionBy("bin").orderBy("v")
-    return counts.join(F.broadcast(starts), "bin").select("v", "n", (F.col("start") + F.sum("n").over(inner) - F.col("n")).alias("before"), "total")
+def counted(rows: DataFrame, value: str, by: list[str] | None = None, bins: int | None = None) -> DataFrame:
+    """(by, v, n, before, total): each value of a group with its rows, the rows below it, and all; values are ranked within bins, whose few totals alone meet."""
+    by = by or []
+    bins = bins or max(LEAST_BINS, -(-rows.count() // BIN))  # of all rows, which costs less to know than the number of different values
+    counts = binned(rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n")), "v", bins)
+    starts = counts.groupBy(*by, "bin").agg(F.sum("n").alias("m"))
+    of = Window.partitionBy(*(by or [F.lit(0)]))
+    starts = starts.select(*by, "bin", (F.sum("m").over(of.orderBy("bin")) - F.col("m")).alias("start"), F.sum("m").over(of).alias("total"))
+    inner = Window.partitionBy(*by, "bin").orderBy("v")
+    return counts.join(F.broadcast(starts) if not by else starts, [*by, "bin"]).select(*by, "v", "n", (F.col("start") + F.sum("n").over(inner) - F.col("n")).alias("before"), "total")
+
+
+def quantile_rows(rows: DataFrame, value: str, by: list[str], fractions: list[float], bins: int | None = None) -> DataFrame:
+    """(by, place, value): the exact quantiles of each group, interpolated between neighbours, as rows numbered from 0."""
+    c = counted(rows, value, by, bins)
+    wanted = F.array(*[F.struct(F.lit(k).alias("place"), ((F.col("total") - 1).cast("double") * f).alias("at")) for k, f in enumerate(fractions)])
+    low, high = F.floor("at"), F.ceil("at")
+    holds = lambda place: (F.col("before") <= place) & (F.col("before") + F.col("n") > place)
+    held = c.select(*by, "v", "n", "before", F.explode(F.filter(wanted, lambda w: (w["at"] > F.col("before") - 1) & (w["at"] < F.col("before") + F.col("n")))).alias("w")).select(*by, "v", "n", "before", "w.*")
+    ends = held.where(holds(low) | holds(high)).groupBy(*by, "place").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first(F.col("at") - low).alias("part"))
+    return ends.select(*by, "place", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).cast("double").alias(value))
 
 
 def tail_order_statistic(cells: DataFrame, value: str, quantile: float) -> DataFrame:

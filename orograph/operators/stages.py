@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions.climate import damped_precip_std, lapse_corrected, lit, rescaled_temperature_std, signed_root
+from orograph.operators.asof import RANGE, interpolated
+from orograph.operators.search import quantile_rows
 
 SIGMA_DATA = 0.5
 
@@ -84,6 +86,33 @@ def strictly_increasing(table: Column) -> Column:
     return F.aggregate(table, start, lambda held, x: F.concat(held, F.array(F.when((F.size(held) > 0) & (x <= F.element_at(held, -1)), F.element_at(held, -1) + least).otherwise(x))))
 
 
+def repaired(tables: DataFrame, by: list[str], place: str = "place", value: str = "value") -> DataFrame:
+    """Tables as rows (by, place, value) whose ties rise like those of strictly_increasing(); a table is one group, as its repair runs along it."""
+    held = tables.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place, value))).alias("_t"))
+    fixed = held.select(*by, F.transform("_t", lambda r: r[place]).alias("_p"), strictly_increasing(F.transform("_t", lambda r: r[value])).alias("_v"))
+    return fixed.select(*by, F.explode(F.arrays_zip("_p", "_v")).alias("r")).select(*by, F.col("r._p").alias(place), F.col("r._v").alias(value))
+
+
+def stacked(rows: DataFrame, channels: list[str], keep: list[str], value: str = "value") -> DataFrame:
+    """(keep, channel, value): the columns named as rows."""
+    return rows.select(*keep, F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias(value)) for c in channels])).alias("_c")).select(*keep, "_c.*")
+
+
+def fitted_tables(noise: DataFrame, data: DataFrame, channels: list[str], fractions: list[float]) -> DataFrame:
+    """(channel, place, x, y): of each channel the quantiles of its noise, repaired, beside those of its data."""
+    xs = repaired(quantile_rows(stacked(noise, channels, []), "value", ["channel"], fractions), ["channel"]).withColumnRenamed("value", "x")
+    ys = quantile_rows(stacked(data, channels, []), "value", ["channel"], fractions).withColumnRenamed("value", "y")
+    return xs.join(ys, ["channel", "place"])
+
+
+def distributed_as(noise: DataFrame, tables: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
+    """(keys, channels): each noise channel brought to its data's distribution by an as-of join with its table."""
+    values = stacked(noise, channels, keys)
+    ranges = max(1, -(-values.count() // RANGE))  # the tables are few rows beside them
+    mapped = interpolated(values, tables, "value", by=["channel"], ranges=ranges)
+    return mapped.groupBy(*keys).agg(*[F.max(F.when(F.col("channel") == c, F.col("mapped"))).alias(c) for c in channels])
+
+
 def lookup(x: Column, xs: Column, ys: Column) -> Column:
     """Piecewise linear lookup in two arrays of one length, the end values beyond the ends; the bracket comes from one pass over the table."""
     k = F.size(F.filter(xs, lambda t: t <= x))

@@ -99,17 +99,18 @@ def write_region_maps(maps: DataFrame, path: str) -> None:
 def map_at(positions: DataFrame, maps: DataFrame, region_size: int, inner: int, x: str = "block_x", z: str = "block_z") -> DataFrame:
     """Each position with the bytes (high, middle, low) of its region's map, blended over the four nearest places; null without a map.
 
-    Each byte is blended by itself and cut to a whole number.
+    Each byte is blended by itself and cut to a whole number. Each different position is read once
+    and keyed by itself, so that nothing depends on the order of rows.
     """
-    spot = positions.withColumn("_id", F.monotonically_increasing_id())
-    for name, c in (("x", x), ("z", z)):
-        at = F.pmod(F.col(c), F.lit(region_size)) * (inner / region_size)
-        spot = spot.withColumn(f"region_{name}", F.floor(F.col(c) / float(region_size)).cast("long")).withColumn(f"_a{name}", at)
-    taps = spot.select("_id", "region_x", "region_z", "_ax", "_az", F.explode(F.array(F.lit(0), F.lit(1))).alias("dx")).withColumn("dz", F.explode(F.array(F.lit(0), F.lit(1))))
+    spot = positions.select(F.col(x).alias("_x"), F.col(z).alias("_z")).where("_x is not null and _z is not null").distinct()
+    for name in "xz":
+        at = F.pmod(F.col(f"_{name}"), F.lit(region_size)) * (inner / region_size)
+        spot = spot.withColumn(f"region_{name}", F.floor(F.col(f"_{name}") / float(region_size)).cast("long")).withColumn(f"_a{name}", at)
+    taps = spot.withColumn("dx", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("dz", F.explode(F.array(F.lit(0), F.lit(1))))
     part = {c: F.col(f"_a{c}") - F.floor(f"_a{c}") for c in "xz"}
     weight = F.when(F.col("dx") == 0, 1 - part["x"]).otherwise(part["x"]) * F.when(F.col("dz") == 0, 1 - part["z"]).otherwise(part["z"])
-    taps = taps.select("_id", "region_x", "region_z", (F.floor("_ax") + F.col("dx")).cast("long").alias("x"), (F.floor("_az") + F.col("dz")).cast("long").alias("z"), weight.alias("w")).where("w > 0")
+    taps = taps.select("_x", "_z", "region_x", "region_z", (F.floor("_ax") + F.col("dx")).cast("long").alias("x"), (F.floor("_az") + F.col("dz")).cast("long").alias("z"), weight.alias("w")).where("w > 0")
     found = taps.join(maps, ["region_x", "region_z", "x", "z"])
     bytes_ = [F.floor(F.sum(F.shiftright("value", s).bitwiseAND(255) * F.col("w")) + 1e-9).cast("int").alias(n) for n, s in (("high", 16), ("middle", 8), ("low", 0))]
-    blended = found.groupBy("_id").agg(*bytes_)
-    return spot.drop("region_x", "region_z", "_ax", "_az").join(blended, "_id", "left").drop("_id")
+    blended = found.groupBy("_x", "_z").agg(*bytes_)
+    return positions.withColumn("_x", F.col(x)).withColumn("_z", F.col(z)).join(blended, ["_x", "_z"], "left").drop("_x", "_z")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from orograph.functions import climate, mapping, seasons
 from orograph.operators import borders, diffusion, fields, grid, noise, raster, search, voxel
-from orograph.plans import worlds  # noqa: F401  registers its queries
+from orograph.plans import fitted, worlds  # noqa: F401  register their queries
+from orograph.plans.noise_sql import noise_sql
 from orograph.plans.shared import BIO, CELLS, COVER_SQL, FOREST_SQL, KEYS, ORACLE_SQL, QUERIES, ROWS, SHRUB_SQL, SITES, grid_rows, query  # noqa: F401
 from orograph.sources import settings
 from orograph.sources.tables import cells, sites, table
@@ -445,29 +446,6 @@ def gaussian_noise(spark, sf_dir):
     return patch.select("i", "j", (F.round(F.col("noise").cast("double"), 4) + F.lit(0.0)).alias("noise"))
 
 
-FADES = {"gradient": "{0} * {0} * {0} * ({0} * ({0} * 6 - 15) + 10)", "value": "{0} * {0} * (3 - 2 * {0})"}
-
-
-def noise_sql(kind: str, seed: int, frequency: float, octaves: int, gain: float = 0.5, fold: str = "n") -> str:
-    """A subquery (i, j, noise) over cells: octaves of gradient, value or simplex noise, each folded by an expression in n."""
-    bound = sum(gain**k for k in range(octaves))
-    shift = f"(i + j) * {(3**0.5 - 1) / 2!r}" if kind == "simplex" else "0"
-    at = f"({{0}} + {shift}) * {frequency!r} * pow(2, k)"
-    u, v = (FADES.get(kind, "{0}").format(f"({c} - floor({c}))") for c in "xy")
-    if kind == "simplex":
-        back = f"((x - floor(x) - a) + (y - floor(y) - b)) * {(3 - 3**0.5) / 6!r}"
-        term, scale = f"pow(greatest(0, 0.5 - (x - floor(x) - a - {back}) ** 2 - (y - floor(y) - b - {back}) ** 2), 4) * (sin(r) * (x - floor(x) - a - {back}) + cos(r) * (y - floor(y) - b - {back}))", fields.SIMPLEX["sharp"][1]
-    else:
-        share = f"(CASE a WHEN 1 THEN {u} ELSE 1 - {u} END) * (CASE b WHEN 1 THEN {v} ELSE 1 - {v} END)"
-        term, scale = (f"{share} * (sin(r) * (x - floor(x) - a) + cos(r) * (y - floor(y) - b))", noise.PERLIN_SCALE) if kind == "gradient" else (f"{share} * (CASE WHEN n31 >= 2147483648 THEN n31 - 4294967296 ELSE n31 END) / 2147483648.0", 1.0)
-    px, py = noise.PRIMES[:2]
-    return f"""(SELECT i, j, sum(({fold}) * pow({gain!r}, k)) / {bound!r} AS noise FROM (SELECT i, j, k, sum({term}) * {scale!r} AS n FROM (
-    SELECT *, CASE WHEN q < 120 THEN 7.5 + 15 * (q % 24) ELSE 22.5 + 45 * (q - 120) END * pi() / 180 AS r, xor(hh, (hh << 19) & 4294967295) AS n31 FROM (
-    SELECT *, (xor(h, h >> 15) >> 1) & 127 AS q, CAST((CAST(h AS HUGEINT) * h) % 4294967296 AS BIGINT) AS hh FROM (
-    SELECT *, (xor(xor({seed} + k, ((CAST(floor(x) AS BIGINT) + a) * {px}) & 4294967295), ((CAST(floor(y) AS BIGINT) + b) * {py}) & 4294967295) * {noise.HASH_FACTOR}) & 4294967295 AS h FROM (
-    SELECT i, j, k, a, b, {at.format("i")} AS x, {at.format("j")} AS y FROM cells, (SELECT unnest(range({octaves})) AS k), (SELECT unnest(range(2)) AS a), (SELECT unnest(range(2)) AS b))))) GROUP BY i, j, k) GROUP BY i, j)"""
-
-
 def noises_sql(**named: str) -> str:
     """(i, j, one column for each subquery), rounded."""
     joins = " ".join(f"JOIN {q} AS t{k} USING (i, j)" for k, q in enumerate(named.values()))

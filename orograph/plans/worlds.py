@@ -232,7 +232,7 @@ def laplacian_denoise(spark, sf_dir):
 
 @query(f"""WITH {CELLS}, {FINE}, res AS (SELECT i, j, CASE WHEN (i + j) % 5 > 0 THEN ((i - j) * 0.05 + (i * j) % 7) * ((i + j) % 5) / ((i + j) % 5) ELSE 0.0 END * 0.8 + 0.1 AS v FROM fine),
     low AS (SELECT i, j, elev_m / 100.0 * 1.5 - 2.0 AS v FROM cells), {denoise_sql('low', 'res')}, {resize_sql("up", "better", ROWS, 50, f"({ROWS} * 2)", 100)}
-    SELECT r.i, r.j, round(sign(r.v + up.v) * (r.v + up.v) * (r.v + up.v), 3) AS elev_m FROM res r JOIN up ON up.i = r.i AND up.j = r.j""")
+    SELECT r.i, r.j, round(sign(r.v + up.v) * (r.v + up.v) * (r.v + up.v), 3) + 0.0 AS elev_m FROM res r JOIN up ON up.i = r.i AND up.j = r.j""")
 def compose_elevation(spark, sf_dir):
     c = cells(spark, sf_dir)
     n = grid_rows(c)
