@@ -9,8 +9,10 @@ model before it is scored, so that no document is told by itself.
 Nothing is capped or hashed together: n-grams travel as text. Documents are packed into chunks
 with their own dictionaries; each chunk sends its different n-grams once, in alphabetical order
 and with their counts, to the buckets of their hashes, which send the totals back in the same
-order. So a common n-gram costs a bucket one entry a chunk, and no task holds more than a chunk
-or a bucket.
+order. A bucket holds what one eighth as many chunks as there are buckets send to it: the buckets
+grow in number with the chunks, and the pairs of one word spread over an eighth of them. A common
+n-gram costs its bucket one entry a chunk, which is what a task's memory grows with: by some ten
+bytes for each 8 MB of text.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from orograph.llm.common import as_bytes, cut, slices, spans, stored, text_block
 PACKED = 1 << 23
 #: Buckets of n-grams, at least; more than eight times as many chunks have an eighth of their number.
 BUCKETS = 128
-#: Buckets that the pairs of one first word go to, at most.
-SPREAD = 4
+#: The pairs of one first word go to so many buckets, or to one in SHARE if that is more, so that no word makes a bucket much larger than others.
+SPREAD, SHARE = 4, 8
 #: Of Zstandard.
 LEVEL = 3
 #: Dirichlet smoothing of a bigram by the unigram, in counts.
@@ -116,8 +118,9 @@ def numbered(words: np.ndarray, size: np.ndarray, names: list[str], buckets: int
     pairs, pair = np.unique(words[at - 1].astype(np.int64) * len(names) + words[at], return_inverse=True)
     h = np.fromiter((zlib.crc32(w.encode()) for w in names), np.uint64, len(names))
     first, second = np.divmod(pairs, max(1, len(names)))
-    # pairs of one first word go to few buckets, where they stand together and squeeze well
-    x = np.concatenate([h, (h[first] << np.uint64(4) | h[second] % np.uint64(SPREAD)) + np.uint64(1 << 40)]) * np.uint64(0x9E3779B97F4A7C15)
+    # pairs of one first word go to a part of the buckets, where they stand together and squeeze well
+    part = h[second] * np.uint64(0x94D049BB133111EB) >> np.uint64(32)
+    x = np.concatenate([h, (h[first] << np.uint64(24) | part % np.uint64(max(SPREAD, buckets // SHARE))) + np.uint64(1 << 60)]) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     bucket = ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
