@@ -1,20 +1,16 @@
-"""Sampling of a generative model: noise schedule, preconditioning, solver steps.
+"""Sampling of a generative model: noise schedule, preconditioning, solver steps over arrays of a row.
 
-The model is any function (x, label, conditions) -> prediction over numpy arrays; none is here, as
-no weights are public.
+The model's outputs come from a table; no weights are public.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIGMA_MIN, SIGMA_MAX, RHO, SIGMA_DATA = 0.002, 80.0, 7.0, 0.5
-Denoiser = Callable[[np.ndarray, float, dict], np.ndarray]
 
 
 def sigma_at(i: Column, n: int) -> Column:
@@ -62,18 +58,22 @@ def second_order(sample: Column, clean: Column, clean_before: Column, sigma_befo
     return F.zip_with(sample, clean, lambda x, y: x * r - y * (r - 1))
 
 
-def solve(model: Denoiser, x: np.ndarray, steps: int, conditions: dict) -> np.ndarray:
-    """From noise to a sample: second-order midpoint steps, the first and the last of first order."""
-    s = sigmas(steps)
-    x, before, h_before = x * s[0], None, 0.0
-    for k in range(steps):
-        m0 = denoised(x, s[k], model(scaled_input(x, s[k]), noise_label(s[k]), conditions))
-        e = s[k + 1] / s[k]
-        if k == 0 or k == steps - 1:
-            x = e * x - (e - 1) * m0
-        else:
-            h = math.log(s[k]) - math.log(s[k + 1])
-            x = e * x - (e - 1) * m0 - 0.5 * (e - 1) * (m0 - before) * (h / h_before)
-        h_before = math.log(s[k]) - math.log(s[k + 1]) if s[k + 1] > 0 else 0.0
-        before = m0
-    return x
+def solved(noise: Column, predictions: Column, steps: int) -> Column:
+    """From noise to a sample, arrays of a row: midpoint steps down the schedule, the first and the last of first order.
+
+    predictions: an array with the model's output for each step. The state of the fold is the sample
+    and the last estimate of the clean one.
+    """
+    s = sigmas(steps).tolist()
+    at = F.array(*[F.struct(
+        F.lit(k).alias("k"), F.lit(s[k]).alias("sigma"), F.lit(s[k + 1] / s[k]).alias("r"),
+        F.lit(0.0 if k in (0, steps - 1) else 0.5 * math.log(s[k] / s[k + 1]) / math.log(s[k - 1] / s[k])).alias("share"),
+    ) for k in range(steps)])
+
+    def step(held: Column, now: Column) -> Column:
+        clean = F.zip_with(held["x"], F.get(predictions, now["k"]), lambda x, p: denoised(x, now["sigma"], p))
+        ahead = F.zip_with(clean, held["before"], lambda m, b: m + (m - b) * now["share"])
+        return F.struct(F.zip_with(held["x"], ahead, lambda x, m: x * now["r"] - m * (now["r"] - 1)).alias("x"), clean.alias("before"))
+
+    start = F.struct(F.transform(noise, lambda x: x * s[0]).alias("x"), F.transform(noise, lambda x: x * 0.0).alias("before"))
+    return F.aggregate(at, start, step, lambda held: held["x"])

@@ -72,6 +72,23 @@ def sliced(cells: DataFrame, i0: int, i1: int, j0: int, j1: int, i: str = "i", j
     return kept.withColumns({i: F.col(i) - i0, j: F.col(j) - j0})
 
 
+def clamped_crop(cells: DataFrame, i0: int, j0: int, height: int, width: int, rows: int, cols: int, i: str = "i", j: str = "j") -> DataFrame:
+    """A range of height x width places from (i0, j0), numbered from its start; beyond the lattice of rows x cols the nearest edge is repeated.
+
+    Each cell goes to the places that it stands for, a run of them on each axis, so that nothing is joined.
+    """
+
+    def places(at: str, start: int, size: int, n: int) -> Column:
+        own = F.col(at) - start
+        low = F.when(F.col(at) == 0, F.lit(0)).otherwise(own)
+        high = F.when(F.col(at) == n - 1, F.lit(size - 1)).otherwise(own)
+        low, high = F.greatest(F.lit(0), low), F.least(F.lit(size - 1), high)
+        return F.when(low <= high, F.sequence(low.cast("long"), high.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    kept = cells.where(F.col(i).between(0, rows - 1) & F.col(j).between(0, cols - 1))
+    return kept.withColumn(i, F.explode(places(i, i0, height, rows))).withColumn(j, F.explode(places(j, j0, width, cols)))
+
+
 def intersect(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> tuple[Column, Column]:
     return F.greatest(lo_a, lo_b), F.least(hi_a, hi_b)
 

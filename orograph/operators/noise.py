@@ -53,14 +53,27 @@ def gaussian_patch(spark: SparkSession, seed: int, i0: int, i1: int, j0: int, j1
     tiles = spark.range(1).select(F.explode(ti).alias("ti"), tj.alias("c")).select("ti", F.explode("c").alias("tj"))
     tiles = tiles.repartition(F.col("ti"), F.col("tj"))
 
+    cells = _patches(tiles, seed, tile)
+    return cells.where(F.col("i").between(i0, i1 - 1) & F.col("j").between(j0, j1 - 1))
+
+
+def _patches(tiles: DataFrame, seed: int, tile: int) -> DataFrame:
+    """(i, j, noise) of whole tiles (ti, tj)."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 i, j = np.meshgrid(np.arange(tile) + a * tile, np.arange(tile) + b * tile, indexing="ij")
                 yield pa.RecordBatch.from_arrays([pa.array(i.reshape(-1)), pa.array(j.reshape(-1)), pa.array(normals(tile_seed(seed, a, b), tile * tile))], ["i", "j", "noise"])
 
-    cells = tiles.mapInArrow(run, "i long, j long, noise float")
-    return cells.where(F.col("i").between(i0, i1 - 1) & F.col("j").between(j0, j1 - 1))
+    return tiles.mapInArrow(run, "i long, j long, noise float")
+
+
+def with_gaussian(cells: DataFrame, seed: int, tile: int = 64) -> DataFrame:
+    """cells (i, j) with the noise of the field of gaussian_patch() there; each tile that cells lie in is made once."""
+    places = [F.floor(F.col(c) / float(tile)).cast("long").alias(f"t{c}") for c in ("i", "j")]
+    tiles = cells.select(*places).where("ti is not null and tj is not null").distinct()
+    return cells.join(_patches(tiles, seed, tile), ["i", "j"], "left")
 
 
 def _hash(seed: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:

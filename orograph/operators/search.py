@@ -14,6 +14,12 @@ def bands(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
+def parsed_code(code: Column) -> Column:
+    """The code of a band, whatever its case and the white space around it; null for anything else."""
+    plain = F.lower(F.trim(F.regexp_replace(code, r"^\s+|\s+$", "")))
+    return F.when(plain.isin([c for c, _, _ in BANDS]), plain)
+
+
 def in_band(temp: Column, low: Column | float, high: Column | float) -> Column:
     return temp.between(low, high)
 

@@ -24,6 +24,11 @@ def rain_height(surface: Column, sea_level: int, height: int) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(height - 2), F.greatest(surface, F.lit(sea_level - 1))))
 
 
+def buildable(surface: Column, height: int) -> Column:
+    """Whether a surface leaves a block below it and one above within the world."""
+    return (surface > 0) & (surface < height - 1)
+
+
 def glacier_cap(voxels: DataFrame, ice: Column, surface: str = "surface_y", depth: int = 3) -> DataFrame:
     """Ice for the topmost blocks of columns under permanent ice; their fluids go."""
     capped = ice & (F.col("y") > F.col(surface) - depth) & (F.col("y") <= F.col(surface)) & F.col("block").isNotNull()

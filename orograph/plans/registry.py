@@ -384,9 +384,14 @@ def chunk_heights(spark, sf_dir):
 # ---- generation ----------------------------------------------------------------------------
 
 
-@query("WITH s AS (SELECT unnest(range(21)) AS step) SELECT step, round(CASE WHEN step = 20 THEN 0.0 ELSE pow(pow(80.0, 1 / 7.0) + step / 19.0 * (pow(0.002, 1 / 7.0) - pow(80.0, 1 / 7.0)), 7) END, 6) AS sigma FROM s")
+@query("""WITH s AS (SELECT n AS step, CASE WHEN n = 20 THEN 0.0 ELSE pow(pow(80.0, 1 / 7.0) + n / 19.0 * (pow(0.002, 1 / 7.0) - pow(80.0, 1 / 7.0)), 7) END AS sigma FROM (SELECT unnest(range(21)) AS n))
+    SELECT vec_id, step, round(sigma, 6) AS sigma, round(list_sum(embedding::DOUBLE[]) * sigma, 4) + 0.0 AS noised FROM embeddings JOIN s ON step = vec_id % 21""")
 def karras_sigmas(spark, sf_dir):
-    return diffusion.karras_sigmas(spark, 20).select("step", F.round("sigma", 6).alias("sigma"))
+    """Every vector at the noise level of a step of its own."""
+    steps = diffusion.karras_sigmas(spark, 20)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 21).alias("step"), total.alias("total")).join(F.broadcast(steps), "step")  # 21 rows
+    return rows.select("vec_id", "step", F.round("sigma", 6).alias("sigma"), (F.round(F.col("total") * F.col("sigma"), 4) + F.lit(0.0)).alias("noised"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: 0.25 * CAST(x AS DOUBLE) + 0.75 * 0.5)), 4) AS total FROM embeddings")
@@ -431,19 +436,19 @@ def output_sql(state: str) -> str:
     return f"(2.0 * (((({x} >> {rot}) | ({x} << ((32 - {rot}) & 31))) & 4294967295) + 1) / 4294967296.0 - 1)"
 
 
-#: Tiles of 64 x 64 from row and column -2 to 2; 2,048 pairs that pass lie within the first 2,900 but for a chance of 10^-20 or so.
-@query(f"""WITH RECURSIVE t AS (SELECT a.v AS ti, b.v AS tj FROM (SELECT unnest(range(-2, 2)) AS v) a, (SELECT unnest(range(-1, 3)) AS v) b),
+#: 2,048 pairs that pass lie within the first 2,900 of a tile but for a chance of 10^-20 or so.
+@query(f"""WITH RECURSIVE {CELLS}, c AS (SELECT i - 20 AS i, j - 30 AS j FROM cells), t AS (SELECT DISTINCT CAST(floor(i / 64.0) AS BIGINT) AS ti, CAST(floor(j / 64.0) AS BIGINT) AS tj FROM c),
     h AS (SELECT ti, tj, (CAST(1234 AS UHUGEINT) * {noise.GOLDEN} + CAST(ti & 4294967295 AS UHUGEINT)) % {noise.MASK + 1} AS h FROM t),
     seeds AS (SELECT ti, tj, CAST((h * {noise.GOLDEN} + CAST(tj & 4294967295 AS UHUGEINT)) % {noise.MASK + 1} AS UBIGINT) AS s FROM h),
     walk AS (SELECT ti, tj, 0 AS n, CAST(0 AS UBIGINT) AS s1, s AS s2 FROM seeds UNION ALL SELECT ti, tj, n + 1, {step_sql("s2")}, {step_sql(step_sql("s2"))} FROM walk WHERE n < 2900),
     u AS (SELECT ti, tj, n, {output_sql("s1")} AS a, {output_sql("s2")} AS b FROM walk WHERE n > 0), q AS (SELECT *, a * a + b * b AS s FROM u),
     kept AS (SELECT *, sqrt(-2 * ln(s) / s) AS f, row_number() OVER (PARTITION BY ti, tj ORDER BY n) - 1 AS k FROM q WHERE s > 0 AND s < 1),
     z AS (SELECT ti, tj, 2 * k AS place, a * f AS noise FROM kept UNION ALL SELECT ti, tj, 2 * k + 1, b * f FROM kept),
-    cells AS (SELECT ti * 64 + place // 64 AS i, tj * 64 + place % 64 AS j, noise FROM z WHERE place < 4096)
-    SELECT i, j, round(CAST(CAST(noise AS FLOAT) AS DOUBLE), 4) + 0.0 AS noise FROM cells WHERE i BETWEEN -70 AND 89 AND j BETWEEN -30 AND 129""")
+    g AS (SELECT ti * 64 + place // 64 AS i, tj * 64 + place % 64 AS j, noise FROM z WHERE place < 4096)
+    SELECT i, j, round(CAST(CAST(noise AS FLOAT) AS DOUBLE), 4) + 0.0 AS noise FROM g JOIN c USING (i, j)""")
 def gaussian_noise(spark, sf_dir):
-    patch = noise.gaussian_patch(spark, 1234, -70, 90, -30, 130)
-    return patch.select("i", "j", (F.round(F.col("noise").cast("double"), 4) + F.lit(0.0)).alias("noise"))
+    placed = cells(spark, sf_dir).select((F.col("i") - 20).alias("i"), (F.col("j") - 30).alias("j"))
+    return noise.with_gaussian(placed, 1234).select("i", "j", (F.round(F.col("noise").cast("double"), 4) + F.lit(0.0)).alias("noise"))
 
 
 def noises_sql(**named: str) -> str:
@@ -491,3 +496,6 @@ def forest_variation(spark, sf_dir):
     # a cell is 32 blocks wide, and the stand's noise has a frequency of 1 / 480 blocks
     variation = noise.fbm_column(777, 1 / 480, 3)(F.col("i") * 32, F.col("j") * 32)
     return cells(spark, sf_dir).select("i", "j", mapping.cover_byte(F.lit(0.6), F.col("elev_m"), F.lit(0.0), F.lit(1.0), 0.9, variation).alias("cover"))
+
+
+from orograph.plans import tiled  # noqa: E402, F401  registers queries that share the SQL of those above

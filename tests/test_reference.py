@@ -107,14 +107,19 @@ def test_overlap_add_of_a_field_returns_it(spark):
     assert out.where("abs(v - want) > 1e-9").count() == 0 and out.count() == 40
 
 
-def mean_of_conditions(x: np.ndarray, label: float, conditions: dict) -> np.ndarray:
-    """Predicts that the clean sample is the condition."""
-    sigma = diffusion.SIGMA_DATA * math.tan(label)
-    total = sigma**2 + diffusion.SIGMA_DATA**2
-    return (conditions["mean"] - diffusion.SIGMA_DATA**2 / total * x * total**0.5) * total**0.5 / max(sigma * diffusion.SIGMA_DATA, 1e-12)
-
-
-def test_solver_reaches_the_condition():
-    mean = np.linspace(-1, 1, 16).reshape(4, 4)
-    out = diffusion.solve(mean_of_conditions, noise.normals(3, 16).reshape(4, 4).astype(float), 20, {"mean": mean})
-    assert np.allclose(out, mean, atol=1e-6)
+def test_solver_against_a_loop(spark):
+    """Midpoint steps over given predictions, one number after the other."""
+    steps = 7
+    noises, outputs = np.random.default_rng(4).normal(size=(5, 3)), np.random.default_rng(5).normal(size=(5, steps, 3))
+    df = spark.createDataFrame([(k, noises[k].tolist(), outputs[k].tolist()) for k in range(5)], "k long, x array<double>, p array<array<double>>")
+    got = {r["k"]: r["y"] for r in df.select("k", diffusion.solved(df["x"], df["p"], steps).alias("y")).collect()}
+    s = [(80.0 ** (1 / 7) + n / (steps - 1) * (0.002 ** (1 / 7) - 80.0 ** (1 / 7))) ** 7 for n in range(steps)] + [0.0]
+    for k in range(5):
+        x, before = noises[k] * s[0], None
+        for n in range(steps):
+            clean = 0.25 / (s[n] ** 2 + 0.25) * x + s[n] * 0.5 / math.sqrt(s[n] ** 2 + 0.25) * outputs[k][n]
+            used = clean
+            if 0 < n < steps - 1:
+                used = clean + (clean - before) * math.log(s[n] / s[n + 1]) / math.log(s[n - 1] / s[n]) / 2
+            x, before = s[n + 1] / s[n] * x - (s[n + 1] / s[n] - 1) * used, clean
+        assert np.allclose(got[k], x)
