@@ -47,3 +47,67 @@ def scour(voxels: DataFrame, steep: Column, column: list[str], surface: str = "s
 def surfaced(voxels: DataFrame, ice: Column, steep: Column, column: list[str]) -> DataFrame:
     """Both surface passes in their order: ice first, so that steep ground under it keeps its soft blocks."""
     return scour(glacier_cap(voxels, ice), steep, column)
+
+
+# ---- columns as runs: no row for a block, no window for a column -------------------------------
+
+#: The runs of a column, from below: equal blocks and fluids from low to high.
+RUNS = "array<struct<block:string,fluid:string,low:int,high:int>>"
+
+
+def _run(block, fluid, low, high) -> Column:
+    as_text = lambda x: x.cast("string") if isinstance(x, Column) else F.lit(x).cast("string")
+    return F.struct(as_text(block).alias("block"), as_text(fluid).alias("fluid"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+
+def filled_runs(surface: Column, sea_level: int, ocean: Column | None = None, freezes: Column | None = None) -> Column:
+    """The column of fill_columns() as runs: mantle, rock, water, lake ice."""
+    ocean, freezes = (F.lit(False) if x is None else x for x in (ocean, freezes))
+    zero, sea = F.lit(0), F.lit(sea_level - 1)
+    ice = F.coalesce(freezes & ~ocean, F.lit(False)) & (surface < sea)
+    water = F.when(ocean, "saltwater").otherwise("water")
+    parts = F.array(
+        _run("mantle", None, zero, zero), _run("rock", None, F.lit(1), surface),
+        _run(None, water, F.greatest(surface + 1, F.lit(1)), F.when(ice, sea - 1).otherwise(sea)), _run(None, "lakeice", F.when(ice, sea).otherwise(sea + 1), sea),
+    )
+    return F.filter(parts, lambda r: r["low"] <= r["high"])
+
+
+def split_at(runs: Column, y: Column) -> Column:
+    """The runs, none of which goes from below y to y or above it."""
+    two = lambda r: F.array(_run(r["block"], r["fluid"], r["low"], y - 1), _run(r["block"], r["fluid"], y, r["high"]))
+    return F.flatten(F.transform(runs, lambda r: F.when((r["low"] < y) & (r["high"] >= y), two(r)).otherwise(F.array(r))))
+
+
+def glacier_runs(runs: Column, ice: Column, surface: Column, depth: int = 3) -> Column:
+    """See glacier_cap()."""
+    cut = split_at(split_at(runs, surface - depth + 1), surface + 1)
+    capped = lambda r: (r["low"] > surface - depth) & (r["high"] <= surface) & r["block"].isNotNull()
+    return F.when(ice, F.transform(cut, lambda r: F.when(capped(r), _run("glacierice", None, r["low"], r["high"])).otherwise(r))).otherwise(runs)
+
+
+def scoured_runs(runs: Column, steep: Column, surface: Column, most: int = 12) -> Column:
+    """See scour(): the highest run up to the surface that isn't soft bounds what becomes rock."""
+    solid = F.filter(runs, lambda r: (r["low"] <= surface) & ~F.coalesce(r["block"], F.lit("air")).isin(*SOFT))
+    stop = F.greatest(F.coalesce(F.array_max(F.transform(solid, lambda r: F.least(r["high"], surface))), F.lit(-1)), surface - most)
+    cut = split_at(split_at(runs, stop + 1), surface + 1)
+    hit = lambda r: (r["low"] > stop) & (r["high"] <= surface)
+    return F.when(steep, F.transform(cut, lambda r: F.when(hit(r), _run("rock", r["fluid"], r["low"], r["high"])).otherwise(r))).otherwise(runs)
+
+
+def merged_runs(runs: Column) -> Column:
+    """The runs with those that touch and are equal made one: a fold along the column."""
+    def add(held: Column, r: Column) -> Column:
+        last = F.element_at(held, -1)
+        same = last["block"].eqNullSafe(r["block"]) & last["fluid"].eqNullSafe(r["fluid"]) & (last["high"] + 1 == r["low"])
+        longer = F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(_run(last["block"], last["fluid"], last["low"], r["high"])))
+        return F.when(F.size(held) == 0, F.array(r)).when(same, longer).otherwise(F.concat(held, F.array(r)))
+
+    return F.aggregate(runs, F.array().cast(RUNS), add)
+
+
+def expanded(columns: DataFrame, runs: str = "runs") -> DataFrame:
+    """columns with a row for each voxel (y, block, fluid) in place of the runs."""
+    keep = [c for c in columns.columns if c != runs]
+    rows = columns.select(*keep, F.explode(runs).alias("_r"))
+    return rows.select(*keep, F.explode(F.sequence("_r.low", "_r.high")).alias("y"), F.col("_r.block").alias("block"), F.col("_r.fluid").alias("fluid"))

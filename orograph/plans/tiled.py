@@ -117,3 +117,41 @@ def thrash_stream(spark, sf_dir) -> DataFrame:
     out, state = scratch(spark, "thrash"), scratch(spark, "thrash-state")
     recent.run_to_end(recent.repeats_in_last(stream, "event_type", ["ts", "event_id"], "user_id", "event_id"), out, state)
     return spark.read.schema("event_id long, repeats int").parquet(out)
+
+
+# ---- columns as runs ------------------------------------------------------------------------------
+
+
+def run_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cells(spark, sf_dir).withColumn("surface_y", F.lit(8) + (F.abs("elev_m") / 200).cast("int"))
+    return c.withColumn("runs", voxel.filled_runs(F.col("surface_y"), 20, F.col("elev_m") < 0, F.col("temp_c") < -10))
+
+
+@query(ORACLE_SQL["voxel_fill"])
+def run_fill(spark, sf_dir):
+    """Counted by runs before they are expanded, so that a run costs one row however long it is."""
+    held = run_columns(spark, sf_dir).select(F.explode("runs").alias("r")).groupBy("r").agg(F.count("*").alias("m"))
+    rows = held.select("r.block", "r.fluid", F.explode(F.sequence("r.low", "r.high")).alias("y"), "m")
+    return rows.groupBy("block", "fluid", "y").agg(F.sum("m").alias("n"))
+
+
+@query(ORACLE_SQL["glacier_cap"])
+def run_glacier(spark, sf_dir):
+    c = run_columns(spark, sf_dir)
+    capped = voxel.glacier_runs(F.col("runs"), F.col("temp_c") < -12, F.col("surface_y"))
+    return voxel.expanded(c.withColumn("runs", voxel.merged_runs(capped))).where("block = 'glacierice'").select("i", "j", "y")
+
+
+@query(ORACLE_SQL["scour_to_rock"])
+def run_scour(spark, sf_dir):
+    c, top = run_columns(spark, sf_dir), F.col("surface_y")
+    soft = F.col("runs")
+    for k in range(5):
+        soft = voxel.split_at(soft, top - 3 + k)
+    soil = lambda y: (y > top - 4) & ((F.col("i") + F.col("j") + y) % 7 != 0)
+    # levels of their own down to four below the surface; what lies above it is water, one level high where soil could be
+    one = lambda r: F.flatten(F.transform(F.sequence(r["low"], r["high"]), lambda y: F.array(F.struct(F.when(soil(y), "soil").otherwise(r["block"]).alias("block"), r["fluid"].alias("fluid"), y.alias("low"), y.alias("high")))))
+    soft = F.flatten(F.transform(soft, lambda r: F.when(r["high"] > top - 4, one(r)).otherwise(F.array(r))))
+    c = c.withColumn("runs", soft.cast(voxel.RUNS))
+    c = c.withColumn("runs", voxel.scoured_runs(F.col("runs"), F.col("temp_c") > 20, top))
+    return voxel.expanded(c).where((F.col("block") == "rock") & soil(F.col("y"))).select("i", "j", "y")
