@@ -8,7 +8,7 @@ clean text follows an extreme-value law (Karlin and Altschul); it turns a segmen
 bits above what a clean text of the same length would give, and those bits into a probability.
 
 Tokens are counted and the calibration's texts are scored in the tasks; the driver gets the
-significant tokens, the counts of scores, and the segment scores of the calibration's rows.
+significant tokens, the counts of scores, and two numbers for each of the calibration's rows.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ LEAST_Z = 2.0
 PRIOR_STEM, PRIOR_TOKEN = 2.0, 4.0
 #: Largest log-odds.
 MOST = 8.0
-#: Labelled rows of each class that are learned from, at most: two thirds of them for the log-odds, the others for the calibration.
-ROWS_PER_CLASS = 20_000
+#: Labelled rows of each class that are learned from, at most, and the parts that calibrate each other.
+ROWS_PER_CLASS, PARTS = 20_000, 3
 #: Tokens, and stems, that the model holds: those with the largest log-odds.
 VOCABULARY = 200_000
 #: Different tokens that a task counts before it passes them on.
@@ -226,15 +226,9 @@ def extreme_values(scores: np.ndarray, counts: np.ndarray, best: list[tuple[floa
     return lam, min(max(k, 1e-6), 10.0)
 
 
-def train(rows: DataFrame) -> Model:
-    """A model from (text, y, part) rows with different texts: parts 0 and 1 give the log-odds, part 2 the calibration."""
-    check = rows.where("part = 2")
-    if not check.head(1):
-        check = rows
-    tok, stems = log_odds(token_counts(rows.where("part < 2")))
-    if not tok and not stems:
-        return Model()
-    shared = rows.sparkSession.sparkContext.broadcast(Model(tok, stems))
+def told_by(rows: DataFrame, model: Model) -> DataFrame:
+    """(y, n, found, seen, times) of rows (text, y): tokens, scores of segments, and of clean texts how often each score occurs."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(shared.value)
@@ -247,21 +241,64 @@ def train(rows: DataFrame) -> Model:
             schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("found", pa.list_(pa.float64())), ("seen", pa.list_(pa.float64())), ("times", pa.list_(pa.int64()))])
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    told = cut(check.select("text", "y").mapInArrow(run, "y int, n long, found array<double>, seen array<double>, times array<long>"))
+    return cut(rows.select("text", "y").mapInArrow(run, "y int, n long, found array<double>, seen array<double>, times array<long>"))
+
+
+def calibrated(told: DataFrame, model: Model) -> tuple[Model, np.ndarray]:
+    """The model with lambda and K of told_by()'s clean texts, and (y, excess of the best segment, of all significant others) of all: two numbers a text."""
     counted = told.select(F.inline(F.arrays_zip("seen", "times"))).groupBy("seen").agg(F.sum("times").alias("times")).collect()
-    texts = told.select("y", "n", "found").collect()
     scores, times = (np.array([r[k] for r in counted], float) for k in ("seen", "times"))
-    lam, k = extreme_values(scores, times, [(max(r["found"]), r["n"]) for r in texts if not r["y"] and r["found"]])
-    bare = Model(tok, stems, lam, k)
-    found = np.array([weighed(r["found"], r["n"], bare) for r in texts])
-    weights = logistic(features(found[:, 0], found[:, 1]), np.array([r["y"] for r in texts], float))
-    return Model(tok, stems, lam, k, tuple(weights.tolist()))
+    clean = told.where((F.col("y") == 0) & (F.size("found") > 0)).select(F.array_max("found").alias("best"), "n").collect()
+    lam, k = extreme_values(scores, times, [(r["best"], r["n"]) for r in clean])
+    bare = Model(model.tokens, model.stems, lam, k)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        law = Model(lam=lam, k=k)
+        for batch in batches:
+            found = [weighed(x, n, law) for x, n in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64())], ["y", "best", "rest"])
+
+    rows = told.select("y", "n", "found").mapInArrow(run, "y int, best double, rest double").collect()
+    return bare, np.array([tuple(r) for r in rows], float).reshape(-1, 3)
+
+
+def train(rows: DataFrame) -> Model:
+    """A model from (text, y, part) rows with different texts, parts 0 to 2, cross-fitted.
+
+    Each part is scored by the log-odds of the two others; what that gives for all parts together
+    sets lambda, K and the weights. The model's own log-odds come from all rows. So every row counts
+    for both, and none is calibrated by log-odds that it taught.
+    """
+    counts = [cut(token_counts(rows.where(F.col("part") == p))) for p in range(PARTS)]
+
+    def odds(parts: list[int]) -> tuple[dict[str, float], dict[str, float]]:
+        some = counts[parts[0]]
+        for p in parts[1:]:
+            some = some.union(counts[p])
+        return log_odds(some.groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+
+    whole = Model(*odds(list(range(PARTS))))
+    if not whole.tokens and not whole.stems:
+        return Model()
+    laws, seen = [], []
+    for p in range(PARTS):
+        model = Model(*odds([q for q in range(PARTS) if q != p]))
+        if model.tokens or model.stems:
+            law, found = calibrated(told_by(rows.where(F.col("part") == p), model), model)
+            laws.append((law.lam, law.k))
+            seen.append(found)
+    found = np.concatenate(seen) if seen else np.zeros((0, 3))
+    if not len(set(found[:, 0])) == 2:  # too few rows to part: the model's own are all there is
+        law, found = calibrated(told_by(rows, whole), whole)
+        laws = [(law.lam, law.k)]
+    lam, k = (float(np.exp(np.mean(np.log([x[m] for x in laws])))) for m in (0, 1))
+    return Model(whole.tokens, whole.stems, lam, k, tuple(logistic(features(found[:, 1], found[:, 2]), found[:, 0]).tolist()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """A model from a bounded sample of labelled rows, whole texts of any length.
 
-    Bound: rows_per_class ids of each class, those with the least hash; their texts come by a
+    Bounds: VOCABULARY tokens and stems, those with the largest log-odds; rows_per_class ids of each class, those with the least hash; their texts come by a
     broadcast of these ids. Equal texts teach once. Null ids, labels and texts teach nothing; an id or
     a text that has both labels is toxic. Without both classes the model scores every text near zero.
     """
@@ -279,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = rows.join(F.broadcast(some.select("id", "y")), "id").withColumn("k", F.sha2("text", 256))
     rows = rows.groupBy("k").agg(F.max("y").alias("y"), F.first("text").alias("text"), F.min("id").alias("id"))
-    part = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(3)).cast("int").alias("part")
+    part = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(PARTS)).cast("int").alias("part")
     return train(stored(rows.select("text", "y", part), "labelled"))
 
 
