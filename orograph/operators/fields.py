@@ -50,7 +50,7 @@ def value_cubic(seed: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     xi, yi = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
     weights = []
     for t in (x - xi, y - yi):
-        # the cubic p t^3 + (a - b - p) t^2 + (c - a) t + b with p = (d - c) - (a - b), sorted by its four numbers
+        # weights of the four numbers, so that rows and columns are sums of products
         weights.append((-(t**3) + 2 * t**2 - t, t**3 - 2 * t**2 + 1, -(t**3) + t**2 + t, t**3 - t**2))
     rows = (weights[1][b] * sum(weights[0][a] * _number(seed, xi + a - 1, yi + b - 1) for a in range(4)) for b in range(4))
     return sum(rows) / 2.25
@@ -58,6 +58,7 @@ def value_cubic(seed: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 #: Fixed values of simplex noise: how a kernel reaches (squared), the scale, and which lattice points can lie in reach.
 SIMPLEX = {"sharp": (0.5, 99.83685446303647, range(2)), "smooth": (2 / 3, 18.24196194486065, range(-1, 3))}
+#: Between the square lattice and the triangular one.
 _SKEW, _UNSKEW = (np.sqrt(3) - 1) / 2, (3 - np.sqrt(3)) / 6
 
 

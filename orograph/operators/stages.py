@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orograph.functions.climate import damped_precip_std, lapse_corrected, lit, rescaled_temperature_std, signed_root
 from orograph.operators.asof import RANGE, interpolated
-from orograph.operators.search import quantile_rows
+from orograph.operators.search import BIN, LEAST_BINS, quantile_rows
 
 SIGMA_DATA = 0.5
 
@@ -100,15 +100,20 @@ def stacked(rows: DataFrame, channels: list[str], keep: list[str], value: str =
 
 def fitted_tables(noise: DataFrame, data: DataFrame, channels: list[str], fractions: list[float]) -> DataFrame:
     """(channel, place, x, y): of each channel the quantiles of its noise, repaired, beside those of its data."""
-    xs = repaired(quantile_rows(stacked(noise, channels, []), "value", ["channel"], fractions), ["channel"]).withColumnRenamed("value", "x")
-    ys = quantile_rows(stacked(data, channels, []), "value", ["channel"], fractions).withColumnRenamed("value", "y")
+    def held(rows: DataFrame) -> DataFrame:
+        # counted before they are stacked, when no channel has to be worked out for it
+        bins = max(LEAST_BINS, -(-rows.count() * len(channels) // BIN))
+        return quantile_rows(stacked(rows, channels, []), "value", ["channel"], fractions, bins)
+
+    xs = repaired(held(noise), ["channel"]).withColumnRenamed("value", "x")
+    ys = held(data).withColumnRenamed("value", "y")
     return xs.join(ys, ["channel", "place"])
 
 
 def distributed_as(noise: DataFrame, tables: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
     """(keys, channels): each noise channel brought to its data's distribution by an as-of join with its table."""
     values = stacked(noise, channels, keys)
-    ranges = max(1, -(-values.count() // RANGE))  # the tables are few rows beside them
+    ranges = max(1, -(-noise.count() * len(channels) // RANGE))  # the tables are few rows beside them
     mapped = interpolated(values, tables, "value", by=["channel"], ranges=ranges)
     return mapped.groupBy(*keys).agg(*[F.max(F.when(F.col("channel") == c, F.col("mapped"))).alias(c) for c in channels])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orograph.functions import climate, mapping, seasons
 from orograph.operators import borders, diffusion, fields, grid, noise, raster, search, voxel
 from orograph.plans import fitted, worlds  # noqa: F401  register their queries
-from orograph.plans.noise_sql import noise_sql
+from orograph.plans.noise_sql import cellular_sql, noise_sql, warped_sql, weighted_sql
 from orograph.plans.shared import BIO, CELLS, COVER_SQL, FOREST_SQL, KEYS, ORACLE_SQL, QUERIES, ROWS, SHRUB_SQL, SITES, grid_rows, query  # noqa: F401
 from orograph.sources import settings
 from orograph.sources.tables import cells, sites, table
@@ -475,7 +475,7 @@ def noise_fields(spark, sf_dir):
     return with_noises(cells(spark, sf_dir), value=column("value", 11, 1 / 16, 3), ridged=column("gradient", 13, 1 / 24, 3, "ridged"), ping_pong=column("gradient", 14, 1 / 24, 2, "ping_pong"), simplex=column("simplex", 15, 1 / 16, 3))
 
 
-@query()
+@query(noises_sql(cellular=cellular_sql(12, 1 / 8), cubic=noise_sql("value_cubic", 16, 1 / 16, 2), smooth=weighted_sql("simplex_smooth", 17, 1 / 16, 0.5), warped=warped_sql(15, 1 / 24, 2, 6.0)))
 def cellular_fields(spark, sf_dir):
     column = fields.field_column
     return with_noises(cells(spark, sf_dir), cellular=column("cellular", 12, 1 / 8), cubic=column("value_cubic", 16, 1 / 16, 2), smooth=column("simplex_smooth", 17, 1 / 16, 2, weighted=0.5), warped=column("gradient", 15, 1 / 24, 2, warp=6.0))
