@@ -66,12 +66,11 @@ def counted(rows: DataFrame, value: str, by: list[str] | None = None, bins: int
 def quantile_rows(rows: DataFrame, value: str, by: list[str], fractions: list[float], bins: int | None = None) -> DataFrame:
     """(by, place, value): the exact quantiles of each group, interpolated between neighbours, as rows numbered from 0."""
     c = counted(rows, value, by, bins)
-    wanted = F.array(*[F.struct(F.lit(k).alias("place"), ((F.col("total") - 1).cast("double") * f).alias("at")) for k, f in enumerate(fractions)])
-    low, high = F.floor("at"), F.ceil("at")
-    holds = lambda place: (F.col("before") <= place) & (F.col("before") + F.col("n") > place)
-    held = c.select(*by, "v", "n", "before", F.explode(F.filter(wanted, lambda w: (w["at"] > F.col("before") - 1) & (w["at"] < F.col("before") + F.col("n")))).alias("w")).select(*by, "v", "n", "before", "w.*")
-    ends = held.where(holds(low) | holds(high)).groupBy(*by, "place").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first(F.col("at") - low).alias("part"))
-    return ends.select(*by, "place", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).cast("double").alias(value))
+    # the value at a rank is the greatest with no more rows below it: two partial maxima for each fraction
+    at = [(F.col("total") - 1).cast("double") * f for f in fractions]
+    tops = [F.struct(F.lit(k).alias("place"), *[F.max(F.when(F.col("before") <= r, F.col("v"))).alias(n) for n, r in (("a", F.floor(x)), ("b", F.ceil(x)))], F.max(x - F.floor(x)).alias("part")) for k, x in enumerate(at)]
+    ends = c.groupBy(*by).agg(F.array(*tops).alias("w")).select(*by, F.explode("w").alias("w")).select(*by, "w.*")
+    return ends.select(*by, "place", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).cast("double").alias(value)).where(F.col(value).isNotNull())
 
 
 def tail_order_statistic(cells: DataFrame, value: str, quantile: float) -> DataFrame:
