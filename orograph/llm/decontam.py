@@ -42,6 +42,11 @@ def normal(text: bytes) -> str:
     return b" ".join(text.translate(_FOLD).split()).decode("latin-1")
 
 
+def searched(text: bytes) -> str:
+    """normal(), with a space at both ends, as items that must match whole words hold the spaces around them."""
+    return f" {normal(text)} "
+
+
 @dataclass(frozen=True)
 class Item:
     item_id: object
@@ -182,7 +187,9 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
             yield block
             block = []
         if text := normal(r["text"].encode("utf-8", "replace")):
-            block.append(Item(r["id"], text, int(len(text) * rate)))
+            budget = int(len(text) * rate)
+            # without an edit to allow, a short item would be found within words
+            block.append(Item(r["id"], text if budget else f" {text} ", budget))
     if block:
         yield block
 
@@ -201,7 +208,8 @@ def matcher_of(key: str, items: list[Item]) -> Matcher:
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
     """(id_col, item_col, distance, budget): every item in every row of docs within its budget of edits.
 
-    The budget is rate for each byte of the normalised item. distance is the least edit distance
+    The budget is rate for each byte of the normalised item; an item too short for one edit (under 10
+    bytes at 0.1) matches whole words only. distance is the least edit distance
     of the item to any part of the normalised text. Null and empty texts hold nothing. A row of
     docs gives one row for each item that it holds, repeated rows each their own; an item id, of any
     type, with several texts gives the least distance over them, and of equal ones the least budget.
@@ -222,10 +230,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 place, item, distance, budget = [], [], [], []
                 for i, text in enumerate(as_bytes(batch.column(1))):
                     found: dict[object, tuple[int, int]] = {}
-                    for n, d in (matcher.search(normal(text)) if text else {}).items():
+                    for n, d in (matcher.search(searched(text)) if text else {}).items():
                         x = matcher.items[n]
                         found[x.item_id] = min(found.get(x.item_id, (1 << 30, 0)), (d, x.budget))
-                    for k, (d, e) in sorted(found.items()):
+                    for k, (d, e) in found.items():
                         place.append(i)
                         item.append(k)
                         distance.append(d)
@@ -248,7 +256,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
             matcher = matcher_of(key, shared.value)
             for batch in batches:
                 texts = as_bytes(batch.column(batch.schema.get_field_index(text_col)))
-                yield batch.filter(pa.array([not (t and matcher.search(normal(t))) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not (t and matcher.search(searched(t))) for t in texts], pa.bool_()))
 
         out = out.mapInArrow(run, out.schema)
     return out

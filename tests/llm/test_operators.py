@@ -162,6 +162,13 @@ def test_decontamination(spark, docs, nothing, monkeypatch):
     assert {r["item_id"] for r in decontam.matches(docs, items.selectExpr("cast(item_id as int) item_id", "text")).collect()} == {1, 5}
 
 
+def test_short_items_match_whole_words(spark):
+    docs = spark.createDataFrame([(1, "a thing"), (2, "athing at all"), (3, "so, A!"), (4, "of the other"), (5, "often Of  THE"), (6, "proof theory"), (7, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("x", "a"), ("y", "of the")], "item_id string, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, items).collect()} == {(1, "x"), (3, "x"), (4, "y"), (5, "y")}
+    assert {r["doc_id"] for r in decontam.clean(docs, items).collect()} == {2, 6, 7}
+
+
 # ---- language ------------------------------------------------------------------------------
 
 
