@@ -201,10 +201,11 @@ def log_odds(counts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     known = cut(known.where("own or of_stem"))
 
     def largest(df: DataFrame, name: str, value: str) -> dict[str, float]:
-        return {r[0]: r[1] for r in df.select(name, value).orderBy(F.desc(F.abs(value)), name).limit(VOCABULARY).collect()}
+        rows = df.select(name, value).orderBy(F.desc(F.abs(value)), name).limit(VOCABULARY).toArrow()
+        return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
 
     own = largest(known.where("own"), "token", "odds")
-    neutral = [r[0] for r in known.where("not own").select("token").orderBy("token").limit(VOCABULARY).collect()]
+    neutral = known.where("not own").select("token").orderBy("token").limit(VOCABULARY).toArrow().column(0).to_pylist()
     return own | dict.fromkeys(neutral, 0.0), largest(stems.where((F.col("stem_z") >= LEAST_Z) & (F.length("stem") == STEM)), "stem", "stem_odds")
 
 
@@ -241,16 +242,17 @@ def told_by(rows: DataFrame, model: Model) -> DataFrame:
             schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("found", pa.list_(pa.float64())), ("seen", pa.list_(pa.float64())), ("times", pa.list_(pa.int64()))])
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return cut(rows.select("text", "y").mapInArrow(run, "y int, n long, found array<double>, seen array<double>, times array<long>"))
+    told = cut(rows.select("text", "y").mapInArrow(run, "y int, n long, found array<double>, seen array<double>, times array<long>"))
+    shared.destroy()  # the rows are written
+    return told
 
 
-def calibrated(told: DataFrame, model: Model) -> tuple[Model, np.ndarray]:
-    """The model with lambda and K of told_by()'s clean texts, and (y, excess of the best segment, of all significant others) of all: two numbers a text."""
+def calibrated(told: DataFrame) -> tuple[float, float, np.ndarray]:
+    """lambda and K of told_by()'s clean texts, and (y, excess of the best segment, of all significant others) of all: two numbers a text."""
     counted = told.select(F.inline(F.arrays_zip("seen", "times"))).groupBy("seen").agg(F.sum("times").alias("times")).collect()
     scores, times = (np.array([r[k] for r in counted], float) for k in ("seen", "times"))
     clean = told.where((F.col("y") == 0) & (F.size("found") > 0)).select(F.array_max("found").alias("best"), "n").collect()
     lam, k = extreme_values(scores, times, [(r["best"], r["n"]) for r in clean])
-    bare = Model(model.tokens, model.stems, lam, k)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         law = Model(lam=lam, k=k)
@@ -259,7 +261,7 @@ def calibrated(told: DataFrame, model: Model) -> tuple[Model, np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64())], ["y", "best", "rest"])
 
     rows = told.select("y", "n", "found").mapInArrow(run, "y int, best double, rest double").collect()
-    return bare, np.array([tuple(r) for r in rows], float).reshape(-1, 3)
+    return lam, k, np.array([tuple(r) for r in rows], float).reshape(-1, 3)
 
 
 def train(rows: DataFrame) -> Model:
@@ -277,20 +279,21 @@ def train(rows: DataFrame) -> Model:
             some = some.union(counts[p])
         return log_odds(some.groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
 
-    whole = Model(*odds(list(range(PARTS))))
-    if not whole.tokens and not whole.stems:
-        return Model()
     laws, seen = [], []
     for p in range(PARTS):
         model = Model(*odds([q for q in range(PARTS) if q != p]))
         if model.tokens or model.stems:
-            law, found = calibrated(told_by(rows.where(F.col("part") == p), model), model)
-            laws.append((law.lam, law.k))
+            *law, found = calibrated(told_by(rows.where(F.col("part") == p), model))
+            laws.append(law)
             seen.append(found)
+        del model  # the driver holds one at a time
     found = np.concatenate(seen) if seen else np.zeros((0, 3))
+    whole = Model(*odds(list(range(PARTS))))
+    if not whole.tokens and not whole.stems:
+        return Model()
     if not len(set(found[:, 0])) == 2:  # too few rows to part: the model's own are all there is
-        law, found = calibrated(told_by(rows, whole), whole)
-        laws = [(law.lam, law.k)]
+        *law, found = calibrated(told_by(rows, whole))
+        laws = [law]
     lam, k = (float(np.exp(np.mean(np.log([x[m] for x in laws])))) for m in (0, 1))
     return Model(whole.tokens, whole.stems, lam, k, tuple(logistic(features(found[:, 1], found[:, 2]), found[:, 0]).tolist()))
 
