@@ -27,8 +27,8 @@ from orograph.llm.common import components, cut, spans, stored, within_share
 SEED = 42
 #: Vectors of a leaf, about.
 LEAF = 768
-#: How far on both sides of a split vectors go to both, for unit vectors.
-SPILL = 0.015
+#: How far on both sides of a split vectors go to both, in deviations of a unit vector's projection, which are 1 / sqrt(width).
+SPILL = 0.12
 #: Share of the pairs at the threshold that the trees are to find, if vectors lie evenly.
 RECALL = 0.9995
 MOST_TREES = 48
@@ -49,6 +49,7 @@ def trees_needed(depth: int, width: int, threshold: float = THRESHOLD, spill: fl
     """
     if depth == 0:
         return 1
+    spill /= math.sqrt(width)
     s = math.sqrt(max(1e-12, 2 - 2 * threshold) / width)
     z = 2 * spill / s
     tail = 2 * (s * math.exp(-z * z / 2) / math.sqrt(2 * math.pi) - 2 * spill * math.erfc(z / math.sqrt(2)) / 2)
@@ -128,13 +129,15 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 
 def _met(codes: list[np.ndarray], code: int) -> np.ndarray:
-    """A row for each vector: 1 at each of its leaves before that of the code."""
+    """A row for each vector: 1 at each of its leaves before that of the code, of those that another vector here shares."""
     size = np.fromiter(map(len, codes), np.int64, len(codes))
     flat, owner = np.concatenate(codes), np.repeat(np.arange(len(codes)), size)
     before = flat < code
-    seen, at = np.unique(flat[before], return_inverse=True)
-    out = np.zeros((len(codes), len(seen)), np.float32)
-    out[owner[before], at] = 1
+    seen, at, n = np.unique(flat[before], return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    out = np.zeros((len(codes), int((n > 1).sum())), np.float32)
+    shared = n[at] > 1
+    out[owner[before][shared], place[at][shared]] = 1
     return out
 
 
@@ -227,13 +230,14 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD, trees: int | None = No
     for r in sizes.groupBy("width").agg(F.sum("n").alias("n"), F.max("deep").alias("deep")).orderBy("width").toLocalIterator():  # vectors of different length never link
         width, n, depth = r["width"], r["n"], r["deep"]
         needed = np.array([trees or trees_needed(d, width // 8, threshold, spill) for d in range(depth + 1)])
+        reach = spill / math.sqrt(width // 8)
         own = nodes.where(F.length("unit") == width).join(sizes.where(F.col("width") == width).select("label", "deep"), "label")
         some = own.where(within_share(F.xxhash64("node"), min(1.0, sample / n))).select("unit")
         units = [bytes(x["unit"]) for x in some.collect()]  # about as many as the sample, by the hash
         points = np.frombuffer(b"".join(sorted(units)), np.float64).reshape(-1, width // 8)
         shared = spark.sparkContext.broadcast(fit(points, depth, int(needed.max())))
 
-        def place(batches: Iterable[pa.RecordBatch], shared=shared, needed=needed) -> Iterator[pa.RecordBatch]:
+        def place(batches: Iterable[pa.RecordBatch], shared=shared, needed=needed, reach=reach) -> Iterator[pa.RecordBatch]:
             forest = shared.value
             for batch in batches:
                 if not len(batch):
@@ -243,7 +247,7 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD, trees: int | None = No
                 for t in range(len(forest.medians)):
                     some = np.flatnonzero(needed[deep] > t)
                     if len(some):
-                        i, at = forest.leaves(x[some], t, spill, deep[some])
+                        i, at = forest.leaves(x[some], t, reach, deep[some])
                         row.append(some[i])
                         code.append(at + (t << LEAF_BITS))
                 row, code = np.concatenate(row), np.concatenate(code)
