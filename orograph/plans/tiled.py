@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.operators import diffusion, grid, search, tileframes, voxel
-from orograph.plans.shared import CELLS, KEYS, ORACLE_SQL, ROWS, SITES, grid_rows, query
+from orograph.operators import composers, diffusion, fields, grid, noise, raster, search, tileframes, voxel
+from orograph.operators.tiles import assemble
+from orograph.plans.shared import CELLS, KEYS, ORACLE_SQL, ROWS, SITES, grid_rows, query, rounded
+from orograph.plans.worlds import HEIGHTS, block_y_of
+from orograph.sources import chunks
 from orograph.sources.chunks import scratch
 from orograph.sources.tables import cells, sites, table
 from orograph.streaming import recent
@@ -155,3 +159,59 @@ def run_scour(spark, sf_dir):
     c = c.withColumn("runs", soft.cast(voxel.RUNS))
     c = c.withColumn("runs", voxel.scoured_runs(F.col("runs"), F.col("temp_c") > 20, top))
     return voxel.expanded(c).where((F.col("block") == "rock") & soil(F.col("y"))).select("i", "j", "y")
+
+
+# ---- stores, slices, plain tiles, space -----------------------------------------------------------
+
+
+@query(ORACLE_SQL["voxel_fill"].rpartition("SELECT block, fluid")[0] + """, b AS (SELECT CAST(floor(i / 32.0) AS BIGINT) AS chunk_i, CAST(floor(j / 32.0) AS BIGINT) AS chunk_j, coalesce(block, fluid) AS what, y FROM f)
+    SELECT chunk_i, chunk_j, what, count(*) AS voxels, CAST(sum(y) AS BIGINT) AS heights FROM b GROUP BY ALL""")
+def chunk_store(spark, sf_dir):
+    """The columns' runs written by chunk, one chunk of them again, and what the store then holds."""
+    chunk = {f"chunk_{c}": F.floor(F.col(c) / 32.0).cast("long") for c in "ij"}
+    c = run_columns(spark, sf_dir).select("i", "j", "runs").withColumns(chunk)
+    path = scratch(spark, "chunks")
+    for rows in (c, c.where("chunk_i = 0 and chunk_j = 1")):
+        chunks.write_chunks(rows, path, list(chunk), ["i", "j"])
+    held = chunks.read_chunks(spark, path).select(*[F.col(k).cast("long").alias(k) for k in chunk], F.explode("runs").alias("r"))
+    size = (F.col("r.high") - F.col("r.low") + 1).cast("long")
+    parts = held.groupBy(*chunk, F.coalesce("r.block", "r.fluid").alias("what"))
+    return parts.agg(F.sum(size).alias("voxels"), F.sum(F.expr("(cast(r.low as long) + r.high) * (r.high - r.low + 1) div 2")).alias("heights"))
+
+
+@query(ORACLE_SQL["tile_assembly"].partition("SELECT c.i, c.j")[0] + f"""SELECT c.i, c.j, round(c.elev_m, 4) AS elevation_m, {block_y_of(HEIGHTS, "c.elev_m")} AS surface_y, round(s.slope, 4) AS slope
+    FROM cells c JOIN slopes s ON s.i = c.i AND s.j = c.j""")
+def tile_assembly_plain(spark, sf_dir):
+    """Tiles of a world without climate."""
+    c = cells(spark, sf_dir)
+    return rounded(assemble(c, raster.sobel_slope(c, "elev_m", 15.0), HEIGHTS))
+
+
+@query(f"""WITH {CELLS}, w AS (SELECT *, CASE WHEN (i + j) % 6 = 0 THEN 0.0 ELSE 0.25 * (1 + (i * j) % 4) END AS w FROM cells WHERE i BETWEEN 3 AND 21 AND j BETWEEN 5 AND 40)
+    SELECT i - 3 AS i, j - 5 AS j, {', '.join(f'round(CASE WHEN w > 1e-6 THEN (elev_m + {k} * temp_c) * w / w ELSE 0.0 END, 4) + 0.0 AS c{k}' for k in range(6))}, w FROM w""")
+def coarse_slice(spark, sf_dir):
+    """Six weighted channels and their weight, cut to a range and brought back by the weight."""
+    w = F.when((F.col("i") + F.col("j")) % 6 == 0, 0.0).otherwise(0.25 * (1 + (F.col("i") * F.col("j")) % 4))
+    held = cells(spark, sf_dir).withColumn("w", w).withColumns({f"c{k}": (F.col("elev_m") + k * F.col("temp_c")) * F.col("w") for k in range(6)})
+    cut = grid.sliced(held, 3, 22, 5, 41)
+    return cut.select("i", "j", *[(F.round(composers.normalised(F.col(f"c{k}"), F.col("w")), 4) + F.lit(0.0)).alias(f"c{k}") for k in range(6)], "w")
+
+
+EDGE = "[" + ", ".join(f"[{a:.0f}, {b:.0f}, {c:.0f}]" for a, b, c in fields._EDGES) + "]"
+
+
+@query(f"""WITH {CELLS}, p AS (SELECT i, j, i / 9.0 AS x, j / 9.0 AS y, elev_m / 700 AS z FROM cells), c AS (SELECT unnest(range(2)) AS v),
+    k AS (SELECT p.*, a.v AS a, b.v AS b, c.v AS c, x - floor(x) AS u, y - floor(y) AS v, z - floor(z) AS w FROM p, c a, c b, c c),
+    h AS (SELECT *, (xor(xor(xor(31, ((CAST(floor(x) AS BIGINT) + a) * {noise.PRIMES[0]}) & 4294967295), ((CAST(floor(y) AS BIGINT) + b) * {noise.PRIMES[1]}) & 4294967295), ((CAST(floor(z) AS BIGINT) + c) * {noise.PRIMES[2]}) & 4294967295) * {noise.HASH_FACTOR}) & 4294967295 AS h FROM k),
+    g AS (SELECT *, ({EDGE})[((xor(h, h >> 15) >> 2) & 63) + 1] AS g FROM h),
+    t AS (SELECT *, (CASE a WHEN 1 THEN u * u * u * (u * (u * 6 - 15) + 10) ELSE 1 - u * u * u * (u * (u * 6 - 15) + 10) END) * (CASE b WHEN 1 THEN v * v * v * (v * (v * 6 - 15) + 10) ELSE 1 - v * v * v * (v * (v * 6 - 15) + 10) END)
+      * (CASE c WHEN 1 THEN w * w * w * (w * (w * 6 - 15) + 10) ELSE 1 - w * w * w * (w * (w * 6 - 15) + 10) END) AS share FROM g)
+    SELECT i, j, round(sum(share * (g[1] * (u - a) + g[2] * (v - b) + g[3] * (w - c))) * {fields.PERLIN3_SCALE!r}, 6) + 0.0 AS noise FROM t GROUP BY i, j""")
+def noise_in_space(spark, sf_dir):
+    """Gradient noise in three dimensions over the lattice and its heights."""
+    @F.pandas_udf("double")
+    def at(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series(fields.perlin3(31, x.to_numpy(float), y.to_numpy(float), z.to_numpy(float)))
+
+    c = cells(spark, sf_dir)
+    return c.select("i", "j", (F.round(at(F.col("i") / 9.0, F.col("j") / 9.0, F.col("elev_m") / 700), 6) + F.lit(0.0)).alias("noise"))

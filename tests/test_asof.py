@@ -41,3 +41,20 @@ def test_lookup_against_numpy(spark):
         got = {r["n"]: r["mapped"] for r in asof.interpolated(df, table, "v", ranges=ranges).collect()}
         assert np.allclose([got[n] for n, _ in values], np.interp([v for _, v in values], xs, ys))
     assert {r["mapped"] for r in asof.interpolated(df, table.limit(0), "v").collect()} == {None}
+
+
+def test_stored_tables_by_channel(spark, tmp_path):
+    """Quantile tables as a file holds them, joined as rows: each channel with its own, of 50 and of 50 places."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from orograph.sources import model
+
+    r = np.random.default_rng(4)
+    held = [np.sort(r.normal(size=50)).tolist(), np.sort(r.uniform(-5, 5, 50)).tolist()]
+    (tmp_path / "tables.json").write_text(json.dumps({"n_quantiles": 50, "data_quantile_tables": held, "a_temp_std": 1.0, "b_temp_std": 2.0, "temp_std_p1": 3.0, "temp_std_p99": 4.0}))
+    tables = model.quantile_tables(spark, str(tmp_path / "tables.json")).select("channel", (F.col("place") / 49.0).alias("x"), F.col("value").alias("y"))
+    values = [(k, k % 2, float(v)) for k, v in enumerate(r.uniform(-0.2, 1.2, 200))]
+    got = {x["n"]: x["mapped"] for x in asof.interpolated(spark.createDataFrame(values, "n int, channel int, v double"), tables, "v", by=["channel"]).collect()}
+    assert np.allclose([got[n] for n, _, _ in values], [np.interp(v, np.arange(50) / 49.0, held[c]) for _, c, v in values])
