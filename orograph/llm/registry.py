@@ -137,8 +137,10 @@ ORACLE_SQL = {
     "op13_suffix_dedup": """
         WITH texts AS (
             SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents
+        ), segments AS MATERIALIZED (
+            SELECT doc_id, 512 * b AS base, array_slice(x, 512 * b + 1, 512 * b + 561) AS s FROM texts, unnest(range((octet_length(x) + 511) // 512)) AS t(b)
         ), windows AS MATERIALIZED (
-            SELECT doc_id, i, array_slice(x, i + 1, i + 50) AS w FROM texts, unnest(range(octet_length(x) - 49)) AS t(i)
+            SELECT doc_id, base + i AS i, array_slice(s, i + 1, i + 50) AS w FROM segments, unnest(range(least(512, octet_length(s) - 49))) AS t(i)
         ), firsts AS (
             SELECT w, min(doc_id) AS least FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)
         ), gone AS (
