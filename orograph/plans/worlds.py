@@ -195,23 +195,23 @@ AXIS = "{name} AS (SELECT t, s - floor(s) AS f, greatest(0, least({n} - 1, CAST(
 
 def resize_sql(name: str, source: str, n: str, m: int, to_n: str, to_m: int) -> str:
     """CTEs that end with name (i, j, v): source (i, j, v) of n x m resampled."""
-    corner = " ".join(f"JOIN {source} c{p}{q} ON c{p}{q}.i = y.a{p} AND c{p}{q}.j = x.a{q}" for p in (0, 1) for q in (0, 1))
     return f"""{AXIS.format(name=f"y_{name}", n=n, to=to_n)}, {AXIS.format(name=f"x_{name}", n=m, to=to_m)},
-    {name} AS (SELECT y.t AS i, x.t AS j, (1 - y.f) * (1 - x.f) * c00.v + (1 - y.f) * x.f * c01.v + y.f * (1 - x.f) * c10.v + y.f * x.f * c11.v AS v FROM y_{name} y CROSS JOIN x_{name} x {corner})"""
+    {name}_rows AS MATERIALIZED (SELECT y.t AS i, a.j, (1 - y.f) * a.v + y.f * b.v AS v FROM y_{name} y JOIN {source} a ON a.i = y.a0 JOIN {source} b ON b.i = y.a1 AND b.j = a.j),
+    {name} AS MATERIALIZED (SELECT a.i, x.t AS j, (1 - x.f) * a.v + x.f * b.v AS v FROM x_{name} x JOIN {name}_rows a ON a.j = x.a0 JOIN {name}_rows b ON b.j = x.a1 AND b.i = a.i)"""
 
 
 def denoise_sql(low: str, residual: str) -> str:
     """CTEs that end with better (i, j, v): the Laplacian denoising of low by residual, both (i, j, v)."""
-    return f"""p1 AS (SELECT i, j, v FROM {low} UNION ALL SELECT -1, j, sum(CASE WHEN i = 0 THEN 2 * v ELSE -v END) FROM {low} WHERE i <= 1 GROUP BY j
+    return f"""p1 AS MATERIALIZED (SELECT i, j, v FROM {low} UNION ALL SELECT -1, j, sum(CASE WHEN i = 0 THEN 2 * v ELSE -v END) FROM {low} WHERE i <= 1 GROUP BY j
       UNION ALL SELECT {ROWS}, j, sum(CASE WHEN i = {ROWS} - 1 THEN 2 * v ELSE -v END) FROM {low} WHERE i >= {ROWS} - 2 GROUP BY j),
-    p2 AS (SELECT * FROM p1 UNION ALL SELECT i, -1, sum(CASE WHEN j = 0 THEN 2 * v ELSE -v END) FROM p1 WHERE j <= 1 GROUP BY i
+    p2 AS MATERIALIZED (SELECT * FROM p1 UNION ALL SELECT i, -1, sum(CASE WHEN j = 0 THEN 2 * v ELSE -v END) FROM p1 WHERE j <= 1 GROUP BY i
       UNION ALL SELECT i, 50, sum(CASE WHEN j = 49 THEN 2 * v ELSE -v END) FROM p1 WHERE j >= 48 GROUP BY i),
-    pad AS (SELECT i + 1 AS i, j + 1 AS j, v FROM p2), {resize_sql("ex", "pad", f"({ROWS} + 2)", 52, f"({ROWS} * 2 + 4)", 104)},
-    decoded AS (SELECT r.i, r.j, r.v + ex.v AS v FROM {residual} r JOIN ex ON ex.i = r.i + 2 AND ex.j = r.j + 2),
+    pad AS MATERIALIZED (SELECT i + 1 AS i, j + 1 AS j, v FROM p2), {resize_sql("ex", "pad", f"({ROWS} + 2)", 52, f"({ROWS} * 2 + 4)", 104)},
+    decoded AS MATERIALIZED (SELECT r.i, r.j, r.v + ex.v AS v FROM {residual} r JOIN ex ON ex.i = r.i + 2 AND ex.j = r.j + 2),
     {resize_sql("down", "decoded", f"({ROWS} * 2)", 100, ROWS, 50)},
     k AS (SELECT d, exp(-d * d / 50.0) / sum(exp(-d * d / 50.0)) OVER () AS w FROM (SELECT unnest(range(-5, 6)) AS d)), n AS (SELECT max(i) AS mi, max(j) AS mj FROM cells),
-    ba AS (SELECT t.i, t.j, sum(s.v * k.w) AS v FROM down t, k, n, down s WHERE s.i = t.i AND s.j = greatest(0, least(n.mj, t.j + k.d)) GROUP BY t.i, t.j),
-    better AS (SELECT t.i, t.j, sum(s.v * k.w) AS v FROM ba t, k, n, ba s WHERE s.j = t.j AND s.i = greatest(0, least(n.mi, t.i + k.d)) GROUP BY t.i, t.j)"""
+    ba AS MATERIALIZED (SELECT t.i, t.j, sum(s.v * k.w) AS v FROM down t, k, n, down s WHERE s.i = t.i AND s.j = greatest(0, least(n.mj, t.j + k.d)) GROUP BY t.i, t.j),
+    better AS MATERIALIZED (SELECT t.i, t.j, sum(s.v * k.w) AS v FROM ba t, k, n, ba s WHERE s.j = t.j AND s.i = greatest(0, least(n.mi, t.i + k.d)) GROUP BY t.i, t.j)"""
 
 
 FINE = f"fine AS (SELECT a.t AS i, b.t AS j FROM (SELECT unnest(range({ROWS} * 2)) AS t) a, (SELECT unnest(range(100)) AS t) b)"
