@@ -38,13 +38,15 @@ NUMBERS = {
     "StartingClimateSearchRadiusBlocks": (65_536, 512, 4_000_000),
     "StartingClimateNorthSouthCost": (2.0, 1.0, 100.0),
 }
-#: Zero stands for "not set"; anything else is put within the bounds.
+# Name, "not set", least, most. Zero stands for "not set"; anything else is put within the bounds.
 OVERRIDES = {"ScaleOverride": (0, 1, 16), "VerticalExaggerationOverride": (0.0, 0.05, 20.0)}
+# Name and what it may be, the default first.
 CHOICES = {
     "HeightMode": ("isotropic", "manual", "auto"),
     "RainfallBasis": ("moisture", "precipitation"),
     "ClimateMode": ("", "full", "off"),
 }
+# Name, default.
 SWITCHES = {
     "SeasonalTemperature": True,
     "SeasonalPrecipitation": True,
@@ -53,6 +55,7 @@ SWITCHES = {
     "BareSlopeRock": True,
     "GlacierIce": True,
     "StartingClimateSearch": True,
+    "VerboseInference": False,
 }
 
 
