@@ -10,14 +10,38 @@ SOFT = ("soil", "gravel", "sand")
 
 def fill_columns(columns: DataFrame, sea_level: int, surface: str = "surface_y", ocean: Column | None = None, freezes: Column | None = None) -> DataFrame:
     """One row for each voxel (y, block, fluid) from the mantle to the surface or the sea: rock, water, lake ice."""
+    out = columns.withColumn("y", F.explode(F.sequence(F.lit(0), _top(F.col(surface), sea_level))))
+    block, fluid = _held(F.col("y"), F.col(surface), sea_level, ocean, freezes)
+    return out.withColumn("block", block).withColumn("fluid", fluid)
+
+
+def _top(surface: Column, sea_level: int) -> Column:
+    return F.greatest(surface, F.lit(sea_level - 1))
+
+
+def _held(y: Column, surface: Column, sea_level: int, ocean: Column | None, freezes: Column | None) -> tuple[Column, Column]:
+    """The block and the fluid of a column at a height from 0 to its top."""
     ocean, freezes = (F.lit(False) if x is None else x for x in (ocean, freezes))
-    top = F.greatest(F.col(surface), F.lit(sea_level - 1))
-    out = columns.withColumn("y", F.explode(F.sequence(F.lit(0), top)))
-    y = F.col("y")
-    block = F.when(y == 0, "mantle").when(y <= F.col(surface), "rock")
+    block = F.when(y == 0, "mantle").when(y <= surface, "rock")
     ice = (y == sea_level - 1) & freezes & ~ocean
-    fluid = F.when((y > F.col(surface)) & (y > 0), F.when(ice, "lakeice").when(ocean, "saltwater").otherwise("water"))
-    return out.withColumn("block", block).withColumn("fluid", fluid)
+    fluid = F.when((y > surface) & (y > 0), F.when(ice, "lakeice").when(ocean, "saltwater").otherwise("water"))
+    return block, fluid
+
+
+def voxels_at(asked: DataFrame, columns: DataFrame, sea_level: int, surface: str = "surface_y", ocean: Column | None = None, freezes: Column | None = None) -> DataFrame:
+    """asked (i, j, y and more) with the block and fluid that fill_columns() has there: nulls where it has none.
+
+    Columns meet what is asked of them by their places, and a voxel is worked out where they meet, so
+    that neither side holds a row for a voxel that nobody asked for, and neither is sent to all tasks.
+    """
+    # _found tells a voxel of nulls from none: a column whose surface is null has both
+    ground = columns.select("i", "j", F.col(surface).alias("_surface"), (F.lit(False) if ocean is None else ocean).alias("_ocean"), (F.lit(False) if freezes is None else freezes).alias("_freezes"), F.lit(True).alias("_found"))
+    a, c = asked.alias("a"), ground.hint("merge").alias("c")
+    y = F.col("a.y")
+    inside = (y >= 0) & (y <= _top(F.col("c._surface"), sea_level))
+    met = a.join(c, (F.col("a.i") == F.col("c.i")) & (F.col("a.j") == F.col("c.j")) & inside, "left")
+    block, fluid = _held(y, F.col("c._surface"), sea_level, F.col("c._ocean"), F.col("c._freezes"))
+    return met.select("a.*", F.when(F.col("c._found"), block).alias("block"), F.when(F.col("c._found"), fluid).alias("fluid"))
 
 
 def rain_height(surface: Column, sea_level: int, height: int) -> Column:

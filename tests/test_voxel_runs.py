@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orograph.operators import voxel
+from orograph.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +40,24 @@ def test_passes_over_runs_are_those_over_rows(columns):
     got = held.withColumn("runs", voxel.glacier_runs(F.col("runs"), F.col("ice"), top)).withColumn("runs", voxel.scoured_runs(F.col("runs"), F.col("steep"), top))
     assert rows_of(voxel.expanded(got)) == rows_of(want)
     assert rows_of(voxel.expanded(got.withColumn("runs", voxel.merged_runs(F.col("runs"))))) == rows_of(want)
+
+
+def test_voxels_where_they_are_asked_for(spark):
+    """Those that a join with all voxels finds, with columns that share a place, lack a surface or aren't there."""
+    r = random.Random(8)
+    rows = [(r.randrange(12), r.randrange(3), r.choice([None, -2, 0, 1, 18, 19, 20, 25]), r.choice([True, False, None]), r.choice([True, False, None])) for _ in range(60)]
+    columns = spark.createDataFrame([*rows, (None, 1, 5, True, True)], "i long, j long, surface_y int, ocean boolean, freezes boolean")
+    places = [(i, j, y) for i in (*range(14), None) for j in range(3) for y in (-3, 0, 1, 17, 18, 19, 20, 25, 26, None)]
+    asked = spark.createDataFrame(places, "i long, j long, y int")
+    every = voxel.fill_columns(columns, 20, ocean=F.col("ocean"), freezes=F.col("freezes")).select("i", "j", "y", "block", "fluid")
+    want = asked.join(every, ["i", "j", "y"], "left")
+    got = voxel.voxels_at(asked, columns, 20, ocean=F.col("ocean"), freezes=F.col("freezes"))
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_report_of_columns_sends_no_voxels_to_all_tasks(spark):
+    report = QUERIES["report_column"](spark, "/root/testdata/sf0.01")
+    for _ in range(2):
+        assert "Broadcast" not in report._jdf.queryExecution().executedPlan().toString()
+        report.collect()  # the plan may change as it runs
