@@ -110,13 +110,24 @@ def glacier_runs(runs: Column, ice: Column, surface: Column, depth: int = 3) ->
     return F.when(ice, F.transform(cut, lambda r: F.when(capped(r), _run("glacierice", None, r["low"], r["high"])).otherwise(r))).otherwise(runs)
 
 
+def _once(value: Column, then) -> Column:
+    """then(value) with the value worked out once, however often then reads it: lambdas work out anew what isn't their own."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def scoured_runs(runs: Column, steep: Column, surface: Column, most: int = 12) -> Column:
-    """See scour(): the highest run up to the surface that isn't soft bounds what becomes rock."""
-    solid = F.filter(runs, lambda r: (r["low"] <= surface) & ~F.coalesce(r["block"], F.lit("air")).isin(*SOFT))
-    stop = F.greatest(F.coalesce(F.array_max(F.transform(solid, lambda r: F.least(r["high"], surface))), F.lit(-1)), surface - most)
-    cut = split_at(split_at(runs, stop + 1), surface + 1)
-    hit = lambda r: (r["low"] > stop) & (r["high"] <= surface)
-    return F.when(steep, F.transform(cut, lambda r: F.when(hit(r), _run("rock", r["fluid"], r["low"], r["high"])).otherwise(r))).otherwise(runs)
+    """See scour(): the highest run up to the surface that isn't soft bounds what becomes rock.
+
+    Where that run ends another begins, or it passes the surface, so that runs are cut at the surface and at the
+    lowest height that may become rock only.
+    """
+    least = F.greatest(surface - most, F.lit(-1))
+    cut = split_at(split_at(runs, least + 1), surface + 1)
+    solid = lambda r: (r["high"] <= surface) & ~F.coalesce(r["block"], F.lit("air")).isin(*SOFT)
+    stop = lambda rs: F.aggregate(rs, least, lambda s, r: F.when(solid(r), F.greatest(s, r["high"])).otherwise(s))
+    hit = lambda r, s: (r["low"] > s) & (r["high"] <= surface)
+    rock = lambda rs, s: F.transform(rs, lambda r: F.when(hit(r, s), _run("rock", r["fluid"], r["low"], r["high"])).otherwise(r))
+    return F.when(steep, _once(cut, lambda rs: _once(stop(rs), lambda s: rock(rs, s)))).otherwise(runs)
 
 
 def merged_runs(runs: Column) -> Column:
@@ -133,5 +144,6 @@ def merged_runs(runs: Column) -> Column:
 def expanded(columns: DataFrame, runs: str = "runs") -> DataFrame:
     """columns with a row for each voxel (y, block, fluid) in place of the runs."""
     keep = [c for c in columns.columns if c != runs]
-    rows = columns.select(*keep, F.explode(runs).alias("_r"))
+    # outer, as Spark filters what another explode() takes, before anything else, and for that works the runs out twice more
+    rows = columns.select(*keep, F.explode_outer(runs).alias("_r")).where("_r is not null")
     return rows.select(*keep, F.explode(F.sequence("_r.low", "_r.high")).alias("y"), F.col("_r.block").alias("block"), F.col("_r.fluid").alias("fluid"))

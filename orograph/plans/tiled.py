@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orograph.operators import composers, diffusion, fields, grid, noise, raster, search, tileframes, voxel
@@ -126,8 +126,11 @@ def thrash_stream(spark, sf_dir) -> DataFrame:
 # ---- columns as runs ------------------------------------------------------------------------------
 
 
-def run_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir).withColumn("surface_y", F.lit(8) + (F.abs("elev_m") / 200).cast("int"))
+def run_columns(spark: SparkSession, sf_dir: str, kept: Column | None = None) -> DataFrame:
+    """The columns as runs. Those kept are dealt out anew, as a small file of cells is one task's and runs are much work a row."""
+    c = cells(spark, sf_dir)
+    c = c if kept is None else c.where(kept).repartition("i", "j")
+    c = c.withColumn("surface_y", F.lit(8) + (F.abs("elev_m") / 200).cast("int"))
     return c.withColumn("runs", voxel.filled_runs(F.col("surface_y"), 20, F.col("elev_m") < 0, F.col("temp_c") < -10))
 
 
@@ -148,16 +151,15 @@ def run_glacier(spark, sf_dir):
 
 @query(ORACLE_SQL["scour_to_rock"])
 def run_scour(spark, sf_dir):
-    c, top = run_columns(spark, sf_dir), F.col("surface_y")
-    soft = F.col("runs")
-    for k in range(5):
-        soft = voxel.split_at(soft, top - 3 + k)
+    # columns that aren't steep stay as they are and have no rock where soil lies
+    steep, top = F.col("temp_c") > 20, F.col("surface_y")
+    c = run_columns(spark, sf_dir, steep)
     soil = lambda y: (y > top - 4) & ((F.col("i") + F.col("j") + y) % 7 != 0)
-    # levels of their own down to four below the surface; what lies above it is water, one level high where soil could be
+    # one cut, as levels of their own need none: down to four below the surface; what lies above it is water, one level high where soil could be
     one = lambda r: F.flatten(F.transform(F.sequence(r["low"], r["high"]), lambda y: F.array(F.struct(F.when(soil(y), "soil").otherwise(r["block"]).alias("block"), r["fluid"].alias("fluid"), y.alias("low"), y.alias("high")))))
-    soft = F.flatten(F.transform(soft, lambda r: F.when(r["high"] > top - 4, one(r)).otherwise(F.array(r))))
+    soft = F.flatten(F.transform(voxel.split_at(F.col("runs"), top - 3), lambda r: F.when(r["high"] > top - 4, one(r)).otherwise(F.array(r))))
     c = c.withColumn("runs", soft.cast(voxel.RUNS))
-    c = c.withColumn("runs", voxel.scoured_runs(F.col("runs"), F.col("temp_c") > 20, top))
+    c = c.withColumn("runs", voxel.scoured_runs(F.col("runs"), steep, top))
     return voxel.expanded(c).where((F.col("block") == "rock") & soil(F.col("y"))).select("i", "j", "y")
 
 

@@ -61,3 +61,27 @@ def test_a_report_of_columns_sends_no_voxels_to_all_tasks(spark):
     for _ in range(2):
         assert "Broadcast" not in report._jdf.queryExecution().executedPlan().toString()
         report.collect()  # the plan may change as it runs
+
+
+def test_scoured_runs_that_end_at_the_lowest_height(spark):
+    """Soft runs longer than what may be scoured, across the surface and down to the ground."""
+    r = random.Random(9)
+    rows = []
+    for k in range(80):
+        ends = sorted(r.sample(range(0, 18), r.choice([1, 2, 4, 7])))
+        runs = [(r.choice(["soil", "sand", "rock", None]), None, a + 1, b) for a, b in zip([-1, *ends], [*ends, 18], strict=True)]
+        rows.append((k, r.choice([-1, 0, 3, 9, 14, 18, 25]), r.choice([True, True, False, None]), runs))
+    held = spark.createDataFrame(rows, f"n int, surface_y int, steep boolean, runs {voxel.RUNS}")
+    for most in (1, 3, 12, 30):
+        want = voxel.scour(voxel.expanded(held), F.col("steep"), ["n"], most=most)
+        got = voxel.expanded(held.withColumn("runs", voxel.scoured_runs(F.col("runs"), F.col("steep"), F.col("surface_y"), most)))
+        assert rows_of(got) == rows_of(want)
+
+
+def test_runs_are_worked_out_once(spark):
+    """Neither a filter that Spark puts before the voxels nor a lambda works the passes over runs out anew."""
+    for name in ("run_scour", "run_glacier"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+        lines = plan.toString().split("\n")
+        assert not [x for x in lines if "Filter" in x and "lambda" in x]
+        assert sum(x.count("lambdafunction(") for x in lines) < 40
