@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,23 +41,39 @@ def with_band(sites: DataFrame, temp: str) -> DataFrame:
 BIN, LEAST_BINS = 1 << 20, 16
 
 
-def binned(rows: DataFrame, value: str, bins: int | None = None) -> DataFrame:
+def halved(most: int, true: Callable[[Column], Column]) -> Column:
+    """For how many of the places from 0 on, of which there are no more than most, true holds, if for none after the first where it doesn't or is null: by halves."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(true(n + step - 1), n + step).otherwise(n))
+
+
+def at_or_below(edges: Column, x: Column, most: int) -> Column:
+    """How many of the edges, ascending and no more than most, are at or below x, so that many cost little more than few."""
+    return halved(most, lambda k: F.get(edges, k) <= x)
+
+
+def binned(rows: DataFrame, value: str, bins: int | None = None, edge: Column | None = None) -> DataFrame:
     """rows with bin: how many of about so many even quantiles lie at or below value; null values go.
 
-    The edges come from a sketch, so that bins hold about as many rows whatever the values. bins: as
-    many as the rows ask for, if not given.
+    The edges come from a sketch (of edge, or else of value), so that bins hold about as many rows whatever
+    the values. bins: as many as the rows ask for, if not given.
     """
     bins = bins or max(LEAST_BINS, -(-rows.count() // BIN))
-    edges = rows.agg(F.percentile_approx(value, F.array(*[F.lit((k + 1) / bins) for k in range(bins - 1)]), 10_000).alias("_edges"))
-    out = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges))
-    return out.withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
+    rows = rows.where(F.col(value).isNotNull())
+    if bins < 2:
+        return rows.withColumn("bin", F.lit(0))
+    edges = rows.agg(F.percentile_approx(F.col(value) if edge is None else edge, F.array(*[F.lit((k + 1) / bins) for k in range(bins - 1)]), 10_000).alias("_edges"))
+    out = rows.crossJoin(F.broadcast(edges))
+    return out.withColumn("bin", at_or_below(F.col("_edges"), F.col(value), bins - 1)).drop("_edges")
 
 
 def counted(rows: DataFrame, value: str, by: list[str] | None = None, bins: int | None = None) -> DataFrame:
     """(by, v, n, before, total): each value of a group with its rows, the rows below it, and all; values are ranked within bins, whose few totals alone meet."""
     by = by or []
     bins = bins or max(LEAST_BINS, -(-rows.count() // BIN))  # of all rows, which costs less to know than the number of different values
-    counts = binned(rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n")), "v", bins)
+    counts = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    # the edges read n as well, so that Spark sees one exchange in all that read the counts and makes it once
+    counts = binned(counts, "v", bins, F.when(F.col("n") > 0, F.col("v")))
     starts = counts.groupBy(*by, "bin").agg(F.sum("n").alias("m"))
     of = Window.partitionBy(*(by or [F.lit(0)]))
     starts = starts.select(*by, "bin", (F.sum("m").over(of.orderBy("bin")) - F.col("m")).alias("start"), F.sum("m").over(of).alias("total"))
@@ -66,11 +84,17 @@ def counted(rows: DataFrame, value: str, by: list[str] | None = None, bins: int
 def quantile_rows(rows: DataFrame, value: str, by: list[str], fractions: list[float], bins: int | None = None) -> DataFrame:
     """(by, place, value): the exact quantiles of each group, interpolated between neighbours, as rows numbered from 0."""
     c = counted(rows, value, by, bins)
-    # the value at a rank is the greatest with no more rows below it: two partial maxima for each fraction
-    at = [(F.col("total") - 1).cast("double") * f for f in fractions]
-    tops = [F.struct(F.lit(k).alias("place"), *[F.max(F.when(F.col("before") <= r, F.col("v"))).alias(n) for n, r in (("a", F.floor(x)), ("b", F.ceil(x)))], F.max(x - F.floor(x)).alias("part")) for k, x in enumerate(at)]
-    ends = c.groupBy(*by).agg(F.array(*tops).alias("w")).select(*by, F.explode("w").alias("w")).select(*by, "w.*")
-    return ends.select(*by, "place", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).cast("double").alias(value)).where(F.col(value).isNotNull())
+    order = sorted(range(len(fractions)), key=lambda k: fractions[k])
+    sorted_fractions, places = F.array(*[F.lit(float(fractions[k])) for k in order]), F.array(*[F.lit(k) for k in order])
+    spot = lambda k: (F.col("total") - 1).cast("double") * F.get(sorted_fractions, k)
+    # a value holds the ranks from before to before + n: by halves, which of the fractions lie on them or just above or below,
+    # so that a row costs little however many fractions there are, and few rows go on
+    first = halved(len(fractions), lambda k: F.ceil(spot(k)) < F.col("before"))
+    end = halved(len(fractions), lambda k: F.floor(spot(k)) < F.col("before") + F.col("n"))
+    held = c.where(first < end).select(*by, "v", "before", "total", F.explode(F.sequence(first, end - 1)).alias("k"))
+    at = spot(F.col("k"))
+    ends = held.groupBy(*by, "k").agg(F.max(F.when(F.col("before") <= F.floor(at), F.col("v"))).alias("a"), F.max("v").alias("b"), F.max(at - F.floor(at)).alias("part"))
+    return ends.select(*by, F.get(places, F.col("k")).alias("place"), (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).cast("double").alias(value)).where(F.col(value).isNotNull())
 
 
 def tail_order_statistic(cells: DataFrame, value: str, quantile: float) -> DataFrame:

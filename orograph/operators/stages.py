@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orograph.functions.climate import damped_precip_std, lapse_corrected, lit, rescaled_temperature_std, signed_root
-from orograph.operators.asof import RANGE, interpolated
-from orograph.operators.search import BIN, LEAST_BINS, quantile_rows
+from orograph.operators.search import BIN, LEAST_BINS, at_or_below, quantile_rows
 
 SIGMA_DATA = 0.5
 
@@ -110,17 +109,24 @@ def fitted_tables(noise: DataFrame, data: DataFrame, channels: list[str], fracti
     return xs.join(ys, ["channel", "place"])
 
 
-def distributed_as(noise: DataFrame, tables: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
-    """(keys, channels): each noise channel brought to its data's distribution by an as-of join with its table."""
-    values = stacked(noise, channels, keys)
-    ranges = max(1, -(-noise.count() * len(channels) // RANGE))  # the tables are few rows beside them
-    mapped = interpolated(values, tables, "value", by=["channel"], ranges=ranges)
-    return mapped.groupBy(*keys).agg(*[F.max(F.when(F.col("channel") == c, F.col("mapped"))).alias(c) for c in channels])
+def distributed_as(noise: DataFrame, tables: DataFrame, channels: list[str], places: int) -> DataFrame:
+    """noise with each channel brought to its data's distribution by its table of so many places at most.
+
+    A table is as long as the fractions asked for, whatever the rows; so it goes to the rows, as two arrays, and a
+    row's channels stay together: no exchange of the rows, and each noise is worked out once. Tables that grow with
+    the rows are for asof.interpolated().
+    """
+    table = lambda c: F.array_sort(F.collect_list(F.when(F.col("channel") == c, F.struct("x", "y"))))
+    one = tables.agg(*[table(c).alias(f"_{c}") for c in channels])
+    one = one.select(*[F.when(F.size(f"_{c}") > 0, F.struct(F.col(f"_{c}.x").alias("x"), F.col(f"_{c}.y").alias("y"))).alias(f"_{c}") for c in channels])
+    out = noise.crossJoin(F.broadcast(one))
+    mapped = {c: F.when(F.col(c).isNotNull(), lookup(F.col(c), F.col(f"_{c}.x"), F.col(f"_{c}.y"), places)) for c in channels}
+    return out.withColumns(mapped).drop(*[f"_{c}" for c in channels])
 
 
-def lookup(x: Column, xs: Column, ys: Column) -> Column:
-    """Piecewise linear lookup in two arrays of one length, the end values beyond the ends; the bracket comes from one pass over the table."""
-    k = F.size(F.filter(xs, lambda t: t <= x))
+def lookup(x: Column, xs: Column, ys: Column, most: int | None = None) -> Column:
+    """Piecewise linear lookup in two arrays of one length, the end values beyond the ends; the bracket comes from one pass over the table, by halves if it is known to hold no more than most."""
+    k = F.size(F.filter(xs, lambda t: t <= x)) if most is None else at_or_below(xs, x, most)
     x0, x1 = F.get(xs, k - 1), F.get(xs, k)
     y0, y1 = F.get(ys, k - 1), F.get(ys, k)
     return F.when(k == 0, F.get(ys, F.lit(0))).when(k >= F.size(xs), F.element_at(ys, -1)).otherwise((x - x0) / (x1 - x0) * (y1 - y0) + y0)

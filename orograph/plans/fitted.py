@@ -63,11 +63,12 @@ FITTED_SQL = f"""{CELLS}, {SITES}, data AS (SELECT {', '.join(f'{v} AS {k}' for
     round(precip_std * greatest(0.0, (185 - 0.04111 * precip) / 185), 4) AS precip_std FROM z""")
 def synthetic_from_noise(spark, sf_dir):
     """Noise over the lattice, brought to the distributions of the sites by tables fitted on the strided lattice."""
-    c = cells(spark, sf_dir).select("i", "j")
+    # dealt out first, as a small file of cells is one task's and noise is much work a row
+    c = cells(spark, sf_dir).select("i", "j").repartition("i", "j")
     strided, bank = ([F.round(x, 9).alias(k) for k, x in noise.bank_columns(WORLD, FREQUENCIES, stride).items()] for stride in (STRIDE, 1))
     data = sites(spark, sf_dir).select(*[F.col(v).alias(k) for k, v in DATA.items()])
     tables = stages.fitted_tables(c.select(*strided), data, list(DATA), QUANTILES)
-    channels = stages.distributed_as(c.select("i", "j", *bank), tables, list(DATA), ["i", "j"])
+    channels = stages.distributed_as(c.distinct().select("i", "j", *bank), tables, list(DATA), PLACES)
     return rounded(stages.synthetic_map(channels, -8.5, 300.0, 50.0, 900.0).select("i", "j", *DATA))
 
 

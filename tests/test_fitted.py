@@ -81,3 +81,28 @@ def test_map_at_of_shuffled_rows(spark, shuffled):
         i, j = int(np.floor(ax)), int(np.floor(az))
         taps = [((1 - ax + i if a == 0 else ax - i) * (1 - az + j if b == 0 else az - j), value(i + a, j + b)) for a in (0, 1) for b in (0, 1)]
         assert got[n] == tuple(int(np.floor(sum(w * (v >> s & 255) for w, v in taps) + 1e-9)) for s in (16, 8, 0))
+
+
+def test_quantiles_of_many_fractions_cost_no_aggregate_each(spark):
+    r = random.Random(2)
+    rows = [(c, r.choice([1.0, 2.0, 2.0, r.gauss(0, 5)])) for c in "abc" for _ in range({"a": 1, "b": 50, "c": 700}[c])]
+    df = spark.createDataFrame(rows, "c string, v double").repartition(3)
+    fractions = [r.random() for _ in range(60)] + [1.0, 0.0, 0.5, 0.5]
+    found = search.quantile_rows(df, "v", ["c"], fractions, 5)
+    got = {(x["c"], x["place"]): x["v"] for x in found.collect()}
+    assert len(got) == 3 * len(fractions)
+    for c in "abc":
+        assert np.allclose([got[c, k] for k in range(len(fractions))], np.quantile([v for k, v in rows if k == c], fractions))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("max(") < 20
+
+
+def test_channels_stay_together_under_their_tables(spark):
+    tables = {"a": ([0.0, 1.0, 3.0], [5.0, -5.0, 10.0]), "b": ([2.0], [7.0])}
+    rows = spark.createDataFrame([(c, k, x, y) for c, (xs, ys) in tables.items() for k, (x, y) in enumerate(zip(xs, ys, strict=True))], "channel string, place int, x double, y double")
+    values = [(k, k / 10 - 1.5 if k % 7 else None, float(k % 4), 1.0) for k in range(60)]
+    noise = spark.createDataFrame(values, "n int, a double, b double, c double")
+    out = stages.distributed_as(noise, rows.repartition(3), ["a", "b", "c"], 3)
+    got = {r["n"]: r for r in out.collect()}
+    for n, a, b, _ in values:
+        assert got[n]["a"] == (None if a is None else pytest.approx(np.interp(a, *tables["a"]))) and got[n]["b"] == 7.0 and got[n]["c"] is None
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
